@@ -2,3 +2,4 @@
 
 from checks import genome_queries  # noqa: F401
 from checks import interval_queries  # noqa: F401
+from checks import graph_queries  # noqa: F401

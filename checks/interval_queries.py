@@ -12,7 +12,8 @@ DIST = """CASE WHEN a.chromStart >= p.chromEnd THEN a.chromStart - p.chromEnd +
 MERGED = """SELECT {by}chrom, min(chromStart) AS chromStart, max(chromEnd) AS chromEnd FROM (
     SELECT *, sum(f) OVER (PARTITION BY {by}chrom ORDER BY chromStart, chromEnd ROWS UNBOUNDED PRECEDING) AS g FROM (
     SELECT *, CASE WHEN chromStart <= max(chromEnd) OVER (PARTITION BY {by}chrom ORDER BY chromStart, chromEnd
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM {src})) GROUP BY {by}chrom, g"""
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f
+    FROM (SELECT DISTINCT {by}chrom, chromStart, chromEnd FROM {src}))) GROUP BY {by}chrom, g"""
 
 
 @query("ivl01_window_graph", f"""SELECT a.name AS source, p.name AS target, {DIST} AS dist,

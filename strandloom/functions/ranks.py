@@ -145,3 +145,21 @@ def ordered_positions(df: DataFrame, by: Sequence[str], ids: Sequence[str],
     joined = split.join(_offsets(totals, by, ["c"]), [*by, "_bucket"])
     return joined.select(*df.columns, (F.row_number().over(inside) - 1 + F.col("_off_c")).cast("long").alias(out),
                          F.col("tot_c").cast("long").alias(total))
+
+
+def running_sum(df: DataFrame, ids: Sequence[str], measure: str, seed: int = 0,
+                lo: str = "lo", total: str = "total") -> DataFrame:
+    """Exclusive running sum of ``measure`` over all rows in a fixed pseudo-random order.
+
+    Row r covers [lo, lo + measure) of [0, total): the ranges behind weighted draws.
+    """
+    keyed = (df.withColumn("_key", hash_key(*ids, seed=seed))
+               .withColumn("_bucket", F.shiftright("_key", 64 - POSITION_BITS)))
+    totals = keyed.groupBy("_bucket").agg(F.sum(measure).alias("c"))
+    inside = Window.partitionBy("_bucket").orderBy("_key", *ids).rowsBetween(Window.unboundedPreceding, -1)
+    joined = keyed.join(_offsets(totals, [], ["c"]), "_bucket")
+    return joined.select(
+        *df.columns,
+        (F.coalesce(F.sum(measure).over(inside), F.lit(0.0)) + F.col("_off_c")).cast("double").alias(lo),
+        F.col("tot_c").cast("double").alias(total),
+    )
