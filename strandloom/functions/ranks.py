@@ -163,3 +163,24 @@ def running_sum(df: DataFrame, ids: Sequence[str], measure: str, seed: int = 0,
         (F.coalesce(F.sum(measure).over(inside), F.lit(0.0)) + F.col("_off_c")).cast("double").alias(lo),
         F.col("tot_c").cast("double").alias(total),
     )
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+    """One row ``q0, q1, ...``: exact linear-interpolated quantiles over all rows.
+
+    Distinct values are counted and prefix-summed in parallel; no reducer sees all of them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    cum = cumulate(counts, [], value, ["c"])
+
+    def at(pos: Column) -> Column:
+        inside = (F.col("cum_c") - F.col("c") <= pos) & (pos < F.col("cum_c"))
+        return F.max(F.when(inside, F.col(value)))
+
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("tot_c") - 1) * F.lit(float(p))
+        lo, hi = at(F.floor(h)), at(F.ceil(h))
+        frac = F.max(h - F.floor(h))
+        out.append((lo + (hi - lo) * frac).alias(f"q{i}"))
+    return cum.agg(*out)
