@@ -4,3 +4,4 @@ from checks import genome_queries  # noqa: F401
 from checks import interval_queries  # noqa: F401
 from checks import graph_queries  # noqa: F401
 from checks import matrix_queries  # noqa: F401
+from checks import embedding_queries  # noqa: F401

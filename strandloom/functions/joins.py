@@ -29,3 +29,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salt_by: S
     r = (right.join(hot, on, "left")
               .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices"))
     return l.join(r, [*on, "_slice"]).drop("_slice")
+
+
+GRID_ROWS = 100_000
+
+
+def pair_grid(big: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row of ``big`` with every row of ``small``, for operators whose result is that grid.
+
+    Up to ``GRID_ROWS`` rows, ``small`` becomes one array that each row of ``big`` explodes, where
+    ``big`` lies and without a shuffle. Beyond that Spark's partitioned product is used.
+    """
+    if small.count() > GRID_ROWS:
+        return big.crossJoin(small)
+    items = small.agg(F.collect_list(F.struct(*small.columns)).alias("_items")).scalar()
+    return big.withColumn("_item", F.explode(items)).select(*big.columns, "_item.*")

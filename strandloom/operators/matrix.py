@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.joins import pair_grid
 from strandloom.functions.ranks import exact_quantiles, positions, top_per_group, value_ranks
 from strandloom.functions.runtime import scalar
 
@@ -112,7 +113,7 @@ def col_spr(m: DataFrame, m2: DataFrame, cells: DataFrame | None = None) -> Data
 BLOCK = 512
 
 
-def _gram_kernel(block: int):
+def _gram_kernel(block: int, p1: int, p2: int):
     """Adds up X_i' X_j for one pair of feature blocks while the cells stream by."""
 
     def add(g: np.ndarray, rows: pd.DataFrame) -> None:
@@ -128,7 +129,8 @@ def _gram_kernel(block: int):
             g += left.T @ right
 
     def emit(key: tuple, g: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(g)
+        n1, n2 = min(block, p1 - key[0] * block), min(block, p2 - key[1] * block)
+        i, j = np.divmod(np.arange(n1 * n2), n2)
         return pd.DataFrame({"i": key[0] * block + i, "j": key[1] * block + j, "s": g[i, j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +164,7 @@ def _gram_kernel(block: int):
 
 
 def gram(m: DataFrame, m2: DataFrame | None = None, block: int = BLOCK, splits: int | None = None) -> DataFrame:
-    """(f1, f2, s): sums over cells of x[f1] * y[f2], nonzero ones only.
+    """(f1, f2, s): sums over cells of x[f1] * y[f2] for all feature pairs.
 
     Features are cut into blocks; one task streams the cells of one block pair and keeps a
     block x block sum, so no pair of entries is ever materialised. With ``m2`` absent only
@@ -170,9 +172,11 @@ def gram(m: DataFrame, m2: DataFrame | None = None, block: int = BLOCK, splits:
     """
     spark = m.sparkSession
     pos1 = positions(m.select("feature").distinct(), [], ["feature"])
-    nb1 = max(1, -(-pos1.count() // block))
+    p1 = pos1.count()
+    nb1 = max(1, -(-p1 // block))
     pos2 = pos1 if m2 is None else positions(m2.select("feature").distinct(), [], ["feature"])
-    nb2 = nb1 if m2 is None else max(1, -(-pos2.count() // block))
+    p2 = p1 if m2 is None else pos2.count()
+    nb2 = max(1, -(-p2 // block))
     ways = splits or max(1, spark.sparkContext.defaultParallelism // (nb1 * nb2))
 
     def entries(x: DataFrame, pos: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def gram(m: DataFrame, m2: DataFrame | None = None, block: int = BLOCK, splits:
         rows = rows.unionByName(p)
     keyed = rows.withColumn("split", F.pmod(F.xxhash64("cell"), F.lit(ways)).cast("int"))
     streamed = keyed.repartition("bi", "bj", "split").sortWithinPartitions("bi", "bj", "split", "cell")
-    sums = streamed.mapInPandas(_gram_kernel(block), "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    sums = streamed.mapInPandas(_gram_kernel(block, p1, p2), "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     if m2 is None and nb1 > 1:
         off = sums.where(F.floor(F.col("i") / block) != F.floor(F.col("j") / block))
         sums = sums.unionByName(off.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
@@ -208,13 +212,11 @@ def gram(m: DataFrame, m2: DataFrame | None = None, block: int = BLOCK, splits:
 
 
 def _pair_table(m: DataFrame, m2: DataFrame | None) -> DataFrame:
-    """Dense (f1, f2) table with sums, squares and cross sums; a dense table is what the
-    operator returns, so pairs without a common cell are listed too, each with s = 0."""
+    """(f1, f2) table with sums, squares and cross sums of every feature pair."""
     s1 = _sums(m, "x").select(F.col("feature").alias("f1"), F.col("_sx").alias("sx"), F.col("_qx").alias("xx"))
     other = m if m2 is None else m2
     s2 = _sums(other, "y").select(F.col("feature").alias("f2"), F.col("_sy").alias("sy"), F.col("_qy").alias("yy"))
-    grid = s1.withColumn("_k", F.lit(1)).join(s2.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return grid.join(gram(m, m2), ["f1", "f2"], "left").fillna(0.0, ["s"])
+    return gram(m, m2).join(s1, "f1").join(s2, "f2")
 
 
 def cov_mat(m: DataFrame, m2: DataFrame | None = None, cells: DataFrame | None = None, bias: bool = False) -> DataFrame:
@@ -333,7 +335,7 @@ def scale_sparse(m: DataFrame, cells: DataFrame, max_value: float | None = 10, m
 def scale(m: DataFrame, cells: DataFrame, max_value: float | None = 10, mask: DataFrame | None = None) -> DataFrame:
     """Dense standardised MATRIX: one row per (cell, feature). Select features first."""
     diff, level = scale_sparse(m, cells, max_value, mask)
-    grid = cells.select("cell").withColumn("_k", F.lit(1)).join(level.withColumn("_k", F.lit(1)), "_k")
+    grid = pair_grid(cells.select("cell"), level)
     return grid.join(diff, ["cell", "feature"], "left").select(
         "cell", "feature", (F.col("zero") + F.coalesce("value", F.lit(0.0))).alias("value"))
 
