@@ -86,22 +86,27 @@ def col_pcc(m: DataFrame, m2: DataFrame, cells: DataFrame | None = None) -> Data
     return sums.select("feature", F.when(ok, F.expr("xy / n - (sx / n) * (sy / n)") / F.sqrt(vx * vy)).alias("corr"))
 
 
-def rank_matrix(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """MATRIX of average-tie ranks per feature, shifted so that the zero block has rank 0.
+def rank_parts(m: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Average-tie ranks per feature as a sparse MATRIX plus (feature, zero_rank).
 
-    The z missing entries of a column form one tie block; its rank is subtracted from all, which
-    leaves correlations unchanged and the matrix as sparse as before.
+    The z missing entries of a column form one tie block; its rank is subtracted from the stored
+    ranks, so that a missing entry stands for ``zero_rank`` and the matrix stays as sparse.
     """
     stored = m.where(F.col("value") != 0).select("cell", "feature", "value")
     ranks = value_ranks(stored, ["feature"], "value")
-    neg = stored.groupBy("feature").agg(F.count_if(F.col("value") < 0).alias("_neg"))
-    full = ranks.join(neg, "feature").withColumn("_n", n_cells(m, cells))
-    zeros = F.col("_n") - F.col("n_total")
-    zero_rank = F.col("_neg") + (zeros + 1) / 2
-    rank = F.col("rank") + F.when(F.col("value") > 0, zeros).otherwise(0)
-    shifted = F.when(zeros > 0, rank - zero_rank).otherwise(rank)
-    table = full.select("feature", "value", shifted.cast("double").alias("_rank"))
-    return stored.join(table, ["feature", "value"]).select("cell", "feature", F.col("_rank").alias("value"))
+    neg = stored.groupBy("feature").agg(F.count_if(F.col("value") < 0).alias("_neg"), F.count(F.lit(1)).alias("_nnz")).withColumn(
+        "_zeros", n_cells(m, cells) - F.col("_nnz"))
+    level = neg.select("feature", "_zeros", F.when(F.col("_zeros") > 0, F.col("_neg") + (F.col("_zeros") + 1) / 2).otherwise(0.0).alias("zero_rank"))
+    full = ranks.join(level, "feature")
+    rank = F.col("rank") + F.when(F.col("value") > 0, F.col("_zeros")).otherwise(0) - F.col("zero_rank")
+    table = full.select("feature", "value", rank.cast("double").alias("_rank"))
+    out = stored.join(table, ["feature", "value"]).select("cell", "feature", F.col("_rank").alias("value"))
+    return out, level.select("feature", "zero_rank")
+
+
+def rank_matrix(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Ranks shifted by each column's zero rank: correlations are the same as of full ranks."""
+    return rank_parts(m, cells)[0]
 
 
 def col_spr(m: DataFrame, m2: DataFrame, cells: DataFrame | None = None) -> DataFrame:
