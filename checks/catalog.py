@@ -6,3 +6,4 @@ from checks import graph_queries  # noqa: F401
 from checks import matrix_queries  # noqa: F401
 from checks import embedding_queries  # noqa: F401
 from checks import aggregate_queries  # noqa: F401
+from checks import inference_queries  # noqa: F401
