@@ -7,3 +7,5 @@ from checks import matrix_queries  # noqa: F401
 from checks import embedding_queries  # noqa: F401
 from checks import aggregate_queries  # noqa: F401
 from checks import inference_queries  # noqa: F401
+from checks import cohort_queries  # noqa: F401
+from checks import source_queries  # noqa: F401

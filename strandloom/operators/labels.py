@@ -206,4 +206,4 @@ def consensus_markers(markers: DataFrame, n: int = 5) -> DataFrame:
     agg = markers.groupBy("names", "group").agg(F.count_distinct("domain").alias("_k"), F.avg(F.abs("scores")).alias("scores"),
                                                 F.avg(F.abs("logfoldchanges")).alias("logfoldchanges")).withColumn("_d", total)
     full = agg.where(F.col("_k") == F.col("_d")).select("names", "group", "scores", "logfoldchanges")
-    return top_per_group(full, ["group"], [F.col("logfoldchanges").desc(), F.col("names")], n, out="rank")
+    return top_per_group(full, ["group"], [F.round("logfoldchanges", 9).desc(), F.col("names")], n, out="rank")
