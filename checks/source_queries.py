@@ -18,9 +18,9 @@ def put_text(spark, df, name):
 
 
 def put_ordered(spark, df, name):
-    """Write lines whose order matters as a single file."""
+    """Write lines whose order (column ``o``) matters as a single file."""
     path = scratch_path(spark, name)
-    df.coalesce(1).write.text(path)
+    df.repartition(1).sortWithinPartitions("o").select("value").write.text(path)
     return path
 
 
@@ -73,16 +73,16 @@ def _(spark, sf):
 @query("src08_read_mtx", """SELECT concat('cell', l_suppkey) AS cell, concat('gene', l_partkey) AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2""")
 def _(spark, sf):
     li = load(spark, sf, "lineitem")
-    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).orderBy("k")
-    p = load(spark, sf, "part").select(F.col("p_partkey").alias("k")).orderBy("k")
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     low = {"s": s.agg(F.min("k")).first()[0], "p": p.agg(F.min("k")).first()[0]}
     sizes = (p.count(), s.count(), li.select("l_partkey", "l_suppkey").distinct().count())
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), ("%",), (f"{sizes[0]} {sizes[1]} {sizes[2]}",)], "value string").coalesce(1)
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general", 0), ("%", 1), (f"{sizes[0]} {sizes[1]} {sizes[2]}", 2)], "value string, o int")
     body = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q")).select(
-        F.concat_ws(" ", F.col("l_partkey") - low["p"] + 1, F.col("l_suppkey") - low["s"] + 1, "q").alias("value"))
+        F.concat_ws(" ", F.col("l_partkey") - low["p"] + 1, F.col("l_suppkey") - low["s"] + 1, "q").alias("value"), F.lit(3).alias("o"))
     mtx = put_ordered(spark, head.union(body), "mtx")
-    barcodes = put_ordered(spark, s.select(F.concat(F.lit("cell"), "k").alias("value")), "barcodes")
-    feats = put_ordered(spark, p.select(F.concat(F.lit("gene"), "k", F.lit("\tx")).alias("value")), "features")
+    barcodes = put_ordered(spark, s.select(F.concat(F.lit("cell"), "k").alias("value"), F.col("k").alias("o")), "barcodes")
+    feats = put_ordered(spark, p.select(F.concat(F.lit("gene"), "k", F.lit("\tx")).alias("value"), F.col("k").alias("o")), "features")
     return tx.read_mtx(spark, mtx, barcodes, feats)
 
 
@@ -128,7 +128,7 @@ def _(spark, sf):
     path = scratch_path(spark, "runs")
     lines = runs.select("dataset", "method", F.concat(F.lit("seed:"), "seed").alias("s"),
                         F.concat(F.lit("cmd: python run.py\nmap: "), F.round("map", 8), F.lit("\nn: "), "n", F.lit("\nargs: {}")).alias("value"))
-    lines.select(F.col("value"), F.concat_ws("/", "dataset", "method", "s").alias("p")).write.partitionBy("p").text(path)
+    lines.select(F.col("value"), F.concat_ws("/", "dataset", "method", "s").alias("p")).repartition("p").write.partitionBy("p").text(path)
     return rounded(tx.read_runs(spark, path, "p={dataset}/{method}/seed:{seed}", ["map", "n"]), 4)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strandloom.functions.joins import pair_grid, salted_join
 from strandloom.functions.ranks import bh_fdr, positions, top_per_group
@@ -145,7 +146,7 @@ def balance_by_group(a: DataFrame, b: DataFrame, by: str, seed: int = 0) -> tupl
     return out[0], out[1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability."""
     return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) if v == v and v is not None else np.nan for v in z])
