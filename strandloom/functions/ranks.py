@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.runtime import hash_key
+from strandloom.functions.runtime import cut_lineage, hash_key
 
 POSITION_BITS = 12
 
@@ -63,6 +63,7 @@ def cumulate(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[st
     ``df`` must hold one row per (``by``, ``value``): aggregate it first.
     """
     by = list(by)
+    df = cut_lineage(df)  # read for the bounds, for the bucket totals, and for the sums
     split = with_value_bucket(df, df, value, buckets)
     totals = split.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -120,7 +121,7 @@ def bh_fdr(df: DataFrame, pval: str, out: str = "qval", by: Sequence[str] = ())
     """Benjamini-Hochberg q-values: running minimum of p * n / rank from the largest p down."""
     by = list(by)
     valid = df.where(F.col(pval).isNotNull() & ~F.isnan(pval))
-    counts = valid.groupBy(*by, pval).agg(F.count(F.lit(1)).alias("c"))
+    counts = cut_lineage(valid.groupBy(*by, pval).agg(F.count(F.lit(1)).alias("c")))
     cum = cumulate(counts, by, pval, ["c"])
     raw = cum.withColumn("_raw", F.col(pval) * F.col("tot_c") / F.col("cum_c"))
     # backward running minimum, again bucket by bucket

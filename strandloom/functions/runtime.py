@@ -32,9 +32,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: used between rounds of iterative operators."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table that is read more than once to the shared folder and read it back.
+
+    The plan restarts from Parquet: columns can be pruned, sizes are known to the join planner, and
+    a lost executor costs a re-read, not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hash_key(*cols: Column | str, seed: int = 0) -> Column:

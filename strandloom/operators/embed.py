@@ -92,7 +92,7 @@ def svd(m: DataFrame, k: int, cells: DataFrame, center: bool = False, n_iter: in
     Beyond that, subspace iteration: V <- X'(X V) with joins and map-side combined sums; only
     (k + 10)-sized matrices reach the driver.
     """
-    m = m.select("cell", "feature", "value")
+    m, cells = cut_lineage(m.select("cell", "feature", "value")), cut_lineage(cells.select("cell"))
     features = cut_lineage(positions(m.select("feature").distinct(), [], ["feature"]))
     p, n = features.count(), cells.count()
     k = min(k, p, n)
@@ -155,14 +155,14 @@ def lsi(m: DataFrame, cells: DataFrame, n_components: int = 20, features: DataFr
     """
     if features is not None:
         m = m.join(features.where("highly_variable").select("feature"), "feature", "left_semi")
-    x = _lsi_input(m, cells)
+    x = cut_lineage(_lsi_input(m, cells))
     out = svd(x, n_components, x.select("cell").distinct(), n_iter=n_iter, gram_limit=gram_limit)
     return out.u.withColumn("rep", zscore("rep"))
 
 
 def lsi_project(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame, gram_limit: int = GRAM_LIMIT) -> DataFrame:
     """LSI fitted on the masked cells and projected to all: X V / s, then z-scored per cell."""
-    x = _lsi_input(m, cells)
+    x = cut_lineage(_lsi_input(m, cells))
     fit = svd(x.join(mask.select("cell"), "cell", "left_semi"), k, mask, gram_limit=gram_limit)
     size = len(fit.s)
     inv = F.array(*[F.lit(1.0 / s if s > 1e-12 else 0.0) for s in fit.s])
@@ -213,7 +213,7 @@ def pca(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame | None = None, m
     removes: the decomposition runs on the sparse part. ``mask`` picks the cells used for fitting.
     """
     diff, _ = mt.scale_sparse(m, cells, max_value, mask)
-    diff = cut_lineage(diff)
+    diff, cells = cut_lineage(diff), cut_lineage(cells.select("cell"))
     base, used = (diff, cells) if mask is None else (diff.join(mask.select("cell"), "cell", "left_semi"), mask)
     fit = svd(base, k, used, center=True, gram_limit=gram_limit)
     n = used.count()

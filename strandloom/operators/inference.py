@@ -95,6 +95,7 @@ def regulatory_inference(embeddings: Sequence[DataFrame], skeleton: DataFrame, a
     if alternative not in ("two.sided", "greater", "less"):
         raise ValueError("unknown alternative")
     nodes = cut_lineage(skeleton.select(F.explode(F.array("source", "target")).alias("node")).distinct())
+    skeleton, embeddings = cut_lineage(skeleton), [cut_lineage(e.select("node", "rep")) for e in embeddings]
     if len({e.count() for e in embeddings}) != 1:
         raise ValueError("all embeddings must have the same number of rows")
     for e in embeddings:
@@ -148,18 +149,21 @@ def cis_regulatory_enrichment(gene2region: DataFrame, region2tf: DataFrame, regi
     exceed the observed one. Only samples above it have to be counted, so pairs and samples
     without a path never appear as rows. ``regions`` is (region [, length]).
     """
-    obs = cut_lineage(edge_product(gene2region, region2tf).select(F.col("source").alias("gene"), F.col("target").alias("tf"), F.col("weight").alias("observed")))
+    g2r = cut_lineage(gene2region.groupBy("source", "target").agg(F.count(F.lit(1)).alias("d")))
+    r2t = cut_lineage(region2tf.groupBy("source", "target").agg(F.count(F.lit(1)).alias("d")))
+    obs = cut_lineage(edge_product(g2r, r2t, "d").select(F.col("source").alias("gene"), F.col("target").alias("tf"), F.col("weight").alias("observed")))
     if not n_samples:
         return obs.withColumn("enrich", F.col("observed"))
+    regions = cut_lineage(regions)
     lens = regions.select("region", F.col("length").cast("double").alias("length")) if "length" in regions.columns else regions.select("region", F.lit(1.0).alias("length"))
     unique = lens.agg(F.count_distinct("length")).first()[0]
     binned = qcut(lens, "length", min(unique, 500))
     place = cut_lineage(positions(binned, ["bin"], ["region"], seed).select("region", "bin", "pos", "n"))
-    links = gene2region.groupBy(F.col("source").alias("gene"), F.col("target").alias("region")).agg(F.count(F.lit(1)).alias("d")).join(place, "region")
+    links = g2r.select(F.col("source").alias("gene"), F.col("target").alias("region"), "d").join(place, "region")
     draws = links.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     draws = draws.select("gene", "d", "k", "bin", F.floor(hash_uniform("gene", "region", "k", seed=seed + 1) * F.col("n")).cast("long").alias("pos"))
     drawn = draws.join(place.select("bin", "pos", "region"), ["bin", "pos"]).groupBy("gene", "k", "region").agg(F.sum("d").alias("d"))
-    hits = region2tf.groupBy(F.col("source").alias("region"), F.col("target").alias("tf")).agg(F.count(F.lit(1)).alias("c"))
+    hits = r2t.select(F.col("source").alias("region"), F.col("target").alias("tf"), F.col("d").alias("c"))
     paths = salted_join(drawn, hits, ["region"], ["gene", "k"]).select("gene", "tf", "k", (F.col("d") * F.col("c")).alias("p"))
     per = paths.join(obs.select("gene", "tf"), ["gene", "tf"], "left_semi").groupBy("gene", "tf", "k").agg(F.sum("p").alias("p"))
     above = per.join(obs, ["gene", "tf"]).where(F.col("p") > F.col("observed")).groupBy("gene", "tf").agg(F.count(F.lit(1)).alias("_above"))

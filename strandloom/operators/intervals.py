@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.genome import interval_dist
 from strandloom.functions.joins import HOT_ROWS, salted_join
 from strandloom.functions.ranks import with_value_bucket
-from strandloom.functions.runtime import scalar
+from strandloom.functions.runtime import cut_lineage, scalar
 
 BASE_BIN = 64
 LEVEL_FACTOR = 4
@@ -97,7 +97,7 @@ def merge_intervals(bed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     of the earlier ones, so a single chromosome is swept by many tasks.
     """
     group = [*by, "chrom"]
-    spans = bed.groupBy(*group, "chromStart").agg(F.max("chromEnd").alias("chromEnd"))
+    spans = cut_lineage(bed.groupBy(*group, "chromStart").agg(F.max("chromEnd").alias("chromEnd")))
     split = with_value_bucket(spans, spans, "chromStart")
     reach = split.groupBy(*group, "_bucket").agg(F.max("chromEnd").alias("_hi"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

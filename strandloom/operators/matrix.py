@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.joins import pair_grid
 from strandloom.functions.ranks import exact_quantiles, positions, top_per_group, value_ranks
-from strandloom.functions.runtime import scalar
+from strandloom.functions.runtime import cut_lineage, scalar
 
 
 def n_cells(m: DataFrame, cells: DataFrame | None = None) -> Column:
@@ -92,7 +92,7 @@ def rank_parts(m: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame,
     The z missing entries of a column form one tie block; its rank is subtracted from the stored
     ranks, so that a missing entry stands for ``zero_rank`` and the matrix stays as sparse.
     """
-    stored = m.where(F.col("value") != 0).select("cell", "feature", "value")
+    stored = cut_lineage(m.where(F.col("value") != 0).select("cell", "feature", "value"))
     ranks = value_ranks(stored, ["feature"], "value")
     neg = stored.groupBy("feature").agg(F.count_if(F.col("value") < 0).alias("_neg"), F.count(F.lit(1)).alias("_nnz")).withColumn(
         "_zeros", n_cells(m, cells) - F.col("_nnz"))
@@ -176,6 +176,7 @@ def gram(m: DataFrame, m2: DataFrame | None = None, block: int = BLOCK, splits:
     pairs of blocks with i <= j are computed and the result is mirrored.
     """
     spark = m.sparkSession
+    m = cut_lineage(m.select("cell", "feature", "value"))
     pos1 = positions(m.select("feature").distinct(), [], ["feature"])
     p1 = pos1.count()
     nb1 = max(1, -(-p1 // block))
