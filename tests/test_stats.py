@@ -66,6 +66,17 @@ def test_lasso_meets_its_optimality_conditions(spark):
     assert np.all(np.abs(g) <= alpha + 1e-8) and np.allclose(g[w != 0], alpha * np.sign(w[w != 0]))
 
 
+def test_hub_regression_equals_single_task_fit(spark):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.random((40, 6)) * 50)
+    x[:, 5] = np.round(x[:, 0] * 0.5 + x[:, 1] + rng.random(40) * 5)
+    m, c = long_of(spark, x), cells_of(spark, x).select("cell")
+    edges = spark.createDataFrame([(f"f{i:03d}", "f005") for i in range(5)] + [("f999", "f005"), ("f001", "f000")], "source string, target string")
+    one = rows(sk.skeleton_regr([m], edges, c, "Lasso", alpha=0.01))
+    hub = rows(sk.skeleton_regr([m], edges, c, "Lasso", alpha=0.01, task_values=100, max_iter=30, tol=1e-6))
+    assert [r[:2] for r in one] == [r[:2] for r in hub] and np.allclose([r[2] for r in one], [r[2] for r in hub], atol=2e-3)
+
+
 def test_feature_r2_of_several_layers(spark):
     rng = np.random.default_rng(4)
     a, b = rng.random((60, 3)), rng.random((60, 3))
