@@ -126,10 +126,9 @@ def _(spark, sf):
 def _(spark, sf):
     runs = load(spark, sf, "runs").groupBy("dataset", "method", "seed").agg(F.avg("m1").alias("map"), F.count(F.lit(1)).alias("n"))
     path = scratch_path(spark, "runs")
-    lines = runs.select("dataset", "method", F.concat(F.lit("seed:"), "seed").alias("s"),
-                        F.concat(F.lit("cmd: python run.py\nmap: "), F.round("map", 8), F.lit("\nn: "), "n", F.lit("\nargs: {}")).alias("value"))
-    lines.select(F.col("value"), F.concat_ws("/", "dataset", "method", "s").alias("p")).repartition("p").write.partitionBy("p").text(path)
-    return rounded(tx.read_runs(spark, path, "p={dataset}/{method}/seed:{seed}", ["map", "n"]), 4)
+    lines = runs.select("dataset", "method", "seed", F.concat(F.lit("cmd: python run.py\nmap: "), F.round("map", 8), F.lit("\nn: "), "n", F.lit("\nargs: {}")).alias("value"))
+    lines.repartition("dataset", "method", "seed").write.partitionBy("dataset", "method", "seed").text(path)
+    return rounded(tx.read_runs(spark, path, "dataset={dataset}/method={method}/seed={seed}", ["map", "n"]), 4)
 
 
 @query("snk01_write_bed", "SELECT chrom, chromStart, chromEnd, name, '.' AS strand FROM anchors")

@@ -163,7 +163,7 @@ def read_runs(spark: SparkSession, path: str, pattern: str, metrics: Sequence[st
     names = re.findall(r"\{(\w+)\}", pattern)
     regex = re.sub(r"\\\{\w+\\\}", "([^/]+)", re.escape(pattern))
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    where = F.url_decode(F.input_file_name())
+    where = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     params = [F.regexp_extract(where, regex, i + 1).alias(n) for i, n in enumerate(names)]
     value = {m: F.regexp_extract("value", rf"(?m)^{re.escape(m)}:\s*(\S+)\s*$", 1) for m in metrics}
     return files.select(*params, *[v.try_cast("double").alias(m) for m, v in value.items()])
