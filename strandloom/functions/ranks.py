@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 from strandloom.functions.runtime import cut_lineage, hash_key
 
 POSITION_BITS = 12
+# Tables up to this size need no buckets: one task can order all of their rows.
+SMALL_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Size check of a table that was just written (a count from file footers)."""
+    return df.count() <= SMALL_ROWS
+
+
+def _group(by: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in by] or [F.lit(0)]
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -45,7 +56,7 @@ def with_value_bucket(df: DataFrame, source: DataFrame, value: str, buckets: int
 
 
 def _offsets(totals: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    group = [F.col(c) for c in by] or [F.lit(0)]
+    group = _group(by)
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     return totals.select(
@@ -64,6 +75,11 @@ def cumulate(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[st
     """
     by = list(by)
     df = cut_lineage(df)  # read for the bounds, for the bucket totals, and for the sums
+    if is_small(df):
+        whole = Window.partitionBy(*_group(by))
+        running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+                         *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures])
     split = with_value_bucket(df, df, value, buckets)
     totals = split.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -124,11 +140,14 @@ def bh_fdr(df: DataFrame, pval: str, out: str = "qval", by: Sequence[str] = ())
     counts = cut_lineage(valid.groupBy(*by, pval).agg(F.count(F.lit(1)).alias("c")))
     cum = cumulate(counts, by, pval, ["c"])
     raw = cum.withColumn("_raw", F.col(pval) * F.col("tot_c") / F.col("cum_c"))
+    if is_small(counts):
+        down = Window.partitionBy(*_group(by)).orderBy(F.col(pval).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        q = raw.select(*by, pval, F.least(F.min("_raw").over(down), F.lit(1.0)).alias(out))
+        return df.join(q, [*by, pval], "left")
     # backward running minimum, again bucket by bucket
     split = with_value_bucket(raw, counts, pval)
     lows = split.groupBy(*by, "_bucket").agg(F.min("_raw").alias("_low"))
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    after = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*_group(by)).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     lows = lows.select(*by, "_bucket", F.min("_low").over(after).alias("_later"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(pval).desc()).rowsBetween(Window.unboundedPreceding, 0)
     q = split.join(lows, [*by, "_bucket"]).select(

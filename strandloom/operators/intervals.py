@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.genome import interval_dist
 from strandloom.functions.joins import HOT_ROWS, salted_join
-from strandloom.functions.ranks import with_value_bucket
+from strandloom.functions.ranks import is_small, with_value_bucket
 from strandloom.functions.runtime import cut_lineage, scalar
 
 BASE_BIN = 64
@@ -98,6 +98,11 @@ def merge_intervals(bed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     group = [*by, "chrom"]
     spans = cut_lineage(bed.groupBy(*group, "chromStart").agg(F.max("chromEnd").alias("chromEnd")))
+    if is_small(spans):
+        w = Window.partitionBy(*group).orderBy("chromStart")
+        opens = F.when(F.col("chromStart") <= F.max("chromEnd").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+        runs = spans.withColumn("_new", opens).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy(*group, "_run").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd")).drop("_run")
     split = with_value_bucket(spans, spans, "chromStart")
     reach = split.groupBy(*group, "_bucket").agg(F.max("chromEnd").alias("_hi"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from strandloom.functions import ranks as rk
 from strandloom.functions.genome import interval_dist
 from strandloom.operators import intervals as iv
 
@@ -48,7 +50,9 @@ def test_distance_and_overlap_rule_agree(spark):
     assert interval_dist(F.lit(0), F.lit(5), F.lit(5), F.lit(9)) is not None
 
 
-def test_merge_random(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_merge_random(spark, monkeypatch, limit):
+    monkeypatch.setattr(rk, "SMALL_ROWS", limit)
     a, data = random_bed(spark, 200, 7, 20)
     want = []
     for chrom in ("chr0", "chr1"):

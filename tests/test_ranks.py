@@ -9,6 +9,12 @@ from strandloom.functions.joins import salted_join
 from strandloom.operators import inference as nf
 
 
+@pytest.fixture(autouse=True, params=[0, 10**6], ids=["buckets", "small"])
+def size_limit(request, monkeypatch):
+    """Run every test through the bucketed and the plain path."""
+    monkeypatch.setattr(rk, "SMALL_ROWS", request.param)
+
+
 @pytest.fixture
 def skewed(spark):
     """One group holds most rows; many ties."""
