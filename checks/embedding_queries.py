@@ -6,7 +6,6 @@ from checks.registry import query, rounded
 from checks.views import load
 from strandloom.functions.vectors import cosine, l2_normalize
 from strandloom.operators import embed as em
-from strandloom.operators import matrix as mt
 from strandloom.operators import metrics as me
 from strandloom.operators import neighbors as nb
 

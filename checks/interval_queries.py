@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from checks.views import load
-from strandloom.functions.genome import dist_power_decay, expand
+from strandloom.functions.genome import dist_power_decay
 from strandloom.operators import intervals as iv
 
 DIST = """CASE WHEN a.chromStart >= p.chromEnd THEN a.chromStart - p.chromEnd + 1
