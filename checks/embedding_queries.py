@@ -25,6 +25,16 @@ def _(spark, sf):
     return em.lsi(load(spark, sf, "mx"), load(spark, sf, "mx_cells"), 10)
 
 
+@query("emb01_lsi_row_norms", """WITH t AS (SELECT cell, value / sum(value) OVER (PARTITION BY feature) AS t FROM mx), x AS (SELECT cell, ln(1 + t / sum(t) OVER (PARTITION BY cell) * 10000) AS x FROM t)
+    SELECT cell, round(sqrt(sum(x * x)), 5) AS row_norm FROM x GROUP BY cell""")
+def _(spark, sf):
+    # with every component kept, U * s has the row norms of the decomposed matrix
+    x = em._lsi_input(load(spark, sf, "mx"), load(spark, sf, "mx_cells"))
+    out = em.svd(x, 25, x.select("cell").distinct())
+    scaled = F.aggregate(F.zip_with("rep", F.array(*[F.lit(s) for s in out.s]), lambda u, s: u * s * u * s), F.lit(0.0), lambda a, b: a + b)
+    return rounded(out.u.select("cell", F.sqrt(scaled).alias("row_norm")), 5)
+
+
 @query("emb02_lsi_fit_transform")
 def _(spark, sf):
     m, c = load(spark, sf, "mx"), load(spark, sf, "mx_cells")

@@ -80,11 +80,13 @@ def _(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2]).select("cell", "batch", "balancing")
 
 
-@query("lab05_balancing_weight_by_size")
+@query("lab05_balancing_weight_by_size", f"""WITH {BAL.replace('list(rep) AS reps', '1 AS one')}, sz AS (SELECT domain AS d, cell_type AS k, sum(CAST(cell AS BIGINT) % 7 + 1) AS z FROM cells GROUP BY 1, 2),
+    r2 AS (SELECT cells.cell, cells.domain, coalesce(s, 0) / z AS raw FROM cells JOIN sz ON sz.d = domain AND sz.k = cell_type LEFT JOIN w ON w.d = domain AND w.k = cell_type)
+    SELECT cell, round(raw / avg(raw) OVER (PARTITION BY domain), 5) AS nc_balancing FROM r2""")
 def _(spark, sf):
     a, b = [c.withColumn("n_cells", F.col("cell").cast("long") % 7 + 1) for c in halves(spark, sf)]
     out = lb.balancing_weight(a, b, cluster="cell_type", cutoff=0.2, size_col="n_cells", key_added="nc_balancing")
-    return out[0].unionByName(out[1]).select("cell", "nc_balancing")
+    return rounded(out[0].unionByName(out[1]).select("cell", "nc_balancing"), 5)
 
 
 @query("lab06_balance_by_group", """WITH a AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer WHERE c_nationkey < 10 GROUP BY 1), b AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer WHERE c_nationkey >= 10 GROUP BY 1),
