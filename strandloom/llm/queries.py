@@ -39,6 +39,27 @@ def _(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "members")
 
 
+@query("op2_secret_scan")
+def _(spark, sf_dir):
+    from strandloom.llm.secret_scan import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def _(spark, sf_dir):
+    from strandloom.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op4_quality_classifier")
+def _(spark, sf_dir):
+    from strandloom.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -132,3 +153,10 @@ def _(spark, sf_dir):
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_pii")
+def _(spark, sf_dir):
+    from strandloom.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))

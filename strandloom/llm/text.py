@@ -38,17 +38,30 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def spans(text: Column, pattern: str, group_pattern: Column | None = None) -> Column:
-    """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
+def spans(text: Column, pattern: str, sure: Column | None = None) -> Column:
+    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     The pieces between the matches give the places: a match starts after all pieces and matches before it.
-    Only rows with a match pay for the split.
+    Rows without a match (or where ``sure`` is false) stop at the first test.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("len"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, start, lambda a, s: F.struct(
-        (a["at"] + s["gap"] + s["len"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match")))).alias("out")),
-        lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
+                       lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("match")))
+    steps = F.filter(found, lambda s: s["match"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    taken = F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["out"], F.array(F.struct(
+        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match")))).alias("out")), lambda a: a["out"])
+    test = F.regexp_like(text, F.lit(pattern))
+    return F.when(test if sure is None else sure & test, taken).otherwise(F.array().cast(SPANS))
+
+
+def tagged(found: Column, order: int, kind: str) -> Column:
+    """Spans with their kind and its place in the order of kinds."""
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def joined(found: Column) -> Column:
+    """kind:start:end, comma-joined, by start and then by kind as listed."""
+    return F.array_join(F.transform(F.sort_array(found), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
