@@ -10,6 +10,8 @@ from strandloom.llm.text import require, whole
 
 #: Text and framing bytes that one bucket of the first pass holds on average.
 BUCKET_BYTES = 8 << 20
+#: Buckets at most; beyond that they grow. It bounds the table of their offsets, which is broadcast (24 bytes a row).
+MOST_BUCKETS = 1 << 20
 
 
 def record_size(text: Column) -> Column:
@@ -20,11 +22,11 @@ def scatter_and_shuffle(docs: DataFrame, seed: int = 29, bucket_bytes: int = BUC
     """Pass 1 scatters rows uniformly into memory-sized buckets by a seeded hash; pass 2 shuffles each bucket and writes it.
 
     The written table has the columns of ``docs`` and _bucket, _at (place in the bucket). The number of buckets follows from the summed sizes,
-    so a bucket stays as large at any scale. The hash covers id, text and the scan partition, so that repeated rows spread, too.
+    so a bucket stays as large at any scale up to 8 TB, and then grows (100 MB at 100 TB). The hash covers id, text and the scan partition, so that repeated rows spread, too.
     Rows arrive sorted by hash; ``shuffle`` is the seeded Fisher-Yates of the SQL functions, over one array per bucket.
     """
     total = docs.agg(F.sum(record_size(F.col(text_col))).alias("_n")).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
+    n = min(MOST_BUCKETS, max(1, -(-total // bucket_bytes)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = (docs.select(row.alias("_row"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), whole(F.col(text_col)), F.spark_partition_id()).alias("_h"))
                  .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(n)).cast("int")))
@@ -47,7 +49,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 29, bucket_bytes: int
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({"_base": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(Window.partitionBy())}).select("_bucket", "_base", "_total")
     at = F.col("_base") + F.col("_at")
-    out = placed.join(offsets, "_bucket").withColumn("_pos", at)
+    out = placed.join(F.broadcast(offsets), "_bucket").withColumn("_pos", at)
     out = out.withColumn("_shard", F.expr(f"cast((_pos * {n_shards}) div _total as int)"))
     first = F.expr(f"(_shard * _total + {n_shards - 1}) div {n_shards}")
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
