@@ -39,21 +39,23 @@ def _skip_tables() -> np.ndarray:
 _SKIP = _skip_tables()
 
 
-def crc32c_words(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """CRC-32C of records of 32-bit little-endian words; ``words`` holds them in a row, each at least one word long.
+def crc32c(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32C of records of 16-bit little-endian units; ``units`` holds them in a row, each at least one unit long.
 
     Records are padded in front to whole blocks (zeros before the start leave a zero register as it is; the initial ones are put into
-    the first word), all blocks advance together, and a record's blocks are folded in order.
+    the first four bytes), all blocks advance together, and a record's blocks are folded in order. Records of one unit are stepped by byte.
     """
-    per = BLOCK // 4
+    per = BLOCK // 2
     blocks = -(-lengths // per)
     first = np.concatenate([[0], np.cumsum(blocks)])
-    grid = np.zeros(int(first[-1]) * per, np.uint32)
+    grid = np.zeros(int(first[-1]) * per, "<u2")
     begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     at = first[1:] * per - lengths
-    grid[np.repeat(at - begin, lengths) + np.arange(len(words))] = words
-    grid[at] ^= np.uint32(0xFFFFFFFF)
-    grid = np.ascontiguousarray(grid.reshape(-1, per).T)
+    grid[np.repeat(at - begin, lengths) + np.arange(len(units))] = units
+    long = lengths > 1
+    grid[at[long]] ^= np.uint16(0xFFFF)
+    grid[at[long] + 1] ^= np.uint16(0xFFFF)
+    grid = np.ascontiguousarray(grid.view("<u4").reshape(-1, BLOCK // 4).T)
     reg = np.zeros(grid.shape[1], np.uint32)
     for row in grid:
         reg = _step(reg ^ row)
@@ -63,6 +65,10 @@ def crc32c_words(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         live = order[:np.searchsorted(-blocks[order], -k, "left")]
         o = out[live]
         out[live] = _SKIP[0][o & 255] ^ _SKIP[1][(o >> 8) & 255] ^ _SKIP[2][(o >> 16) & 255] ^ _SKIP[3][o >> 24] ^ reg[first[live] + k]
+    one = np.full(int((~long).sum()), 0xFFFFFFFF, np.uint32)
+    for shift in (0, 8):
+        one = _T[0][(one ^ (units[begin[~long]].astype(np.uint32) >> shift)) & 255] ^ (one >> 8)
+    out[~long] = one
     return out ^ np.uint32(0xFFFFFFFF)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +15,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.runtime import cut_lineage, scratch_path
-from strandloom.llm.crc32c import crc32c_words, masked
+from strandloom.llm.crc32c import crc32c, masked
 from strandloom.llm.text import require, whole
 
-#: One entry of an index: id of the document and whether it has one, offset of the record in the file, number of ids.
-INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("offset", "<u8"), ("n", "<u4")])
-#: A record: length in bytes (8), masked checksum of these (4), ids as 32-bit little-endian, masked checksum of the ids (4).
+#: One entry of an index: id of the document and whether it has one, offset of the record in the file, number of ids, bytes of an id.
+INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("width", "<u1"), ("offset", "<u8"), ("n", "<u4")])
+#: A record: length in bytes (8), masked checksum of these (4), ids as little-endian numbers, masked checksum of the ids (4).
+#: Ids take two bytes if the vocabulary has no more than 65,536, else four.
 FRAME = 16
-#: Distinct pieces of text whose ids a worker remembers; ids framed at once.
-REMEMBERED, IDS_AT_ONCE = 300_000, 1 << 20
+#: Distinct pieces of text whose ids a worker remembers; texts encoded and ids framed at once.
+REMEMBERED, TEXTS_AT_ONCE, IDS_AT_ONCE = 700_000, 256, 1 << 20
 
 #: White space with the word after it. A tokenizer that works on pre-tokens never joins a non-blank with a blank that follows, so these
 #: pieces are encoded on their own. Texts with the separators 1C-1F, on which notions of white space differ, are encoded whole.
 PIECES = re.compile(r"\s*\S+|\s+")
 UNSURE = re.compile("[\x1c-\x1f]")
+TAIL = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f][.,]$")
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -36,28 +39,38 @@ class PieceEncoder:
     """Encodes texts with a tokenizers file, each distinct piece once while it is remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.code = "H" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.memo: dict[str, bytes] = {}
 
     def batch(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if UNSURE.search(text):
-                yield self.batch([text])[0]
-                continue
-            pieces = PIECES.findall(text)
-            memo = self.memo
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-            if new:
-                if len(memo) + len(new) > REMEMBERED:
-                    memo.clear()
-                    new = list(dict.fromkeys(pieces))
-                memo.update(zip(new, self.batch(new), strict=True))
-            yield b"".join([memo[p] for p in pieces])
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as bytes. A full stop or comma after a Latin letter is a pre-token of its own, so a new piece that ends so
+        is looked up without it first."""
+        memo = self.memo
+        cut = [[t] if UNSURE.search(t) else PIECES.findall(t) for t in texts]
+        got = [list(map(memo.get, pieces)) for pieces in cut]
+        missed = dict.fromkeys(p for pieces, ids in zip(cut, got, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None)
+        if missed:
+            split = {p: p[:-1] for p in missed if TAIL.search(p)}
+            stems = [p for p in dict.fromkeys(split.get(p, p) for p in [*missed, ".", ","]) if p not in memo]
+            new = dict(zip(stems, self.batch(stems), strict=True))
+            for p in missed:
+                if p not in new:
+                    stem = split.get(p, p)
+                    new[p] = (new.get(stem) or memo[stem]) + (new.get(p[-1]) or memo[p[-1]])
+            got = [[new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids for pieces, ids in zip(cut, got, strict=True)]
+            if len(memo) + len(new) > REMEMBERED:
+                memo.clear()
+            memo.update(new)
+        return list(map(b"".join, got))
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -68,16 +81,12 @@ def encoder(path: str) -> PieceEncoder:
 
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records of some id sequences (each one id or more) and the length of each record."""
-    n = np.array([len(p) // 4 for p in payloads], np.int64)
-    head = np.zeros((len(n), 2), np.uint32)
-    head[:, 0] = 4 * n & 0xFFFFFFFF
-    head[:, 1] = 4 * n >> 32
-    head_crc = masked(crc32c_words(head.ravel(), np.full(len(n), 2)))
-    data_crc = masked(crc32c_words(np.frombuffer(b"".join(payloads), "<u4"), n))
-    parts = []
-    for h, hc, p, pc in zip(head, head_crc, payloads, data_crc, strict=True):
-        parts += [h.astype("<u4").tobytes(), hc.astype("<u4").tobytes(), p, pc.astype("<u4").tobytes()]
-    return b"".join(parts), 4 * n + FRAME
+    n = np.array([len(p) for p in payloads], np.int64)
+    head = n.astype("<u8")
+    head_crc = masked(crc32c(head.view("<u2"), np.full(len(n), 4))).astype("<u4").tobytes()
+    data_crc = masked(crc32c(np.frombuffer(b"".join(payloads), "<u2"), n // 2)).astype("<u4").tobytes()
+    head = head.tobytes()
+    return b"".join([x for k, p in enumerate(payloads) for x in (head[8 * k:8 * k + 8], head_crc[4 * k:4 * k + 4], p, data_crc[4 * k:4 * k + 4])]), n + FRAME
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -95,7 +104,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str |
         fs, root = pafs.FileSystem.from_uri(path)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs.create_dir(root, recursive=True)
-        name, enc, end = f"part-{part:06d}-{attempt}", encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        name, enc, end = f"part-{part:06d}-{attempt}", encoder(tokenizer), array(encoder(tokenizer).code, [end_id]).tobytes()
         offset = records = ids = 0
         with fs.open_output_stream(f"{root}/{name}.rec") as rec, fs.open_output_stream(f"{root}/{name}.idx") as idx:
             def flush(who: list, held: list[bytes]) -> None:
@@ -105,20 +114,23 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str |
                 entry["has_id"] = [w is not None for w in who]
                 entry["doc_id"] = [w or 0 for w in who]
                 entry["offset"] = offset + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                entry["n"] = (sizes - FRAME) // 4
+                entry["width"] = len(end)
+                entry["n"] = (sizes - FRAME) // len(end)
                 rec.write(data)
                 idx.write(entry.tobytes())
                 offset, records, ids = offset + len(data), records + len(held), ids + int(entry["n"].sum())
 
             who, held, size = [], [], 0
             for batch in batches:
-                for d, seq in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                    who.append(d)
-                    held.append(seq + end)
-                    size += len(seq)
-                    if size >= 4 * IDS_AT_ONCE:
-                        flush(who, held)
-                        who, held, size = [], [], 0
+                for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                    some = batch.slice(i, TEXTS_AT_ONCE)
+                    for d, seq in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+                        who.append(d)
+                        held.append(seq + end)
+                        size += len(seq)
+                        if size >= 2 * IDS_AT_ONCE:
+                            flush(who, held)
+                            who, held, size = [], [], 0
             if held:
                 flush(who, held)
         if records:
@@ -145,15 +157,18 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 cut = np.unique(np.searchsorted(place, np.arange(0, place[-1] + IDS_AT_ONCE, IDS_AT_ONCE)).clip(0, len(entry)))
                 with fs.open_input_file(root) as f:
                     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                        begin, n = int(entry["offset"][a]), entry["n"][a:b].astype(np.int64)
+                        begin, n, width = int(entry["offset"][a]), entry["n"][a:b].astype(np.int64), int(entry["width"][a])
+                        units = n * width // 2
                         f.seek(begin)
-                        data = np.frombuffer(f.read(int(entry["offset"][b - 1] - begin) + 4 * int(n[-1]) + FRAME), "<u4")
-                        at = (entry["offset"][a:b].astype(np.int64) - begin) // 4
-                        flat = data[np.repeat(at + 3 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
-                        if (np.any(data[at].astype(np.int64) + (data[at + 1].astype(np.int64) << 32) != 4 * n)
-                                or np.any(masked(crc32c_words(np.stack([data[at], data[at + 1]], 1).ravel(), np.full(len(n), 2))) != data[at + 2])
-                                or np.any(masked(crc32c_words(flat, n)) != data[at + 3 + n])):
+                        data = np.frombuffer(f.read(int(entry["offset"][b - 1]) - begin + width * int(n[-1]) + FRAME), "<u2")
+                        at = (entry["offset"][a:b].astype(np.int64) - begin) // 2
+                        head = data[at[:, None] + np.arange(6)]
+                        flat = data[np.repeat(at + 6 - np.concatenate([[0], np.cumsum(units)[:-1]]), units) + np.arange(int(units.sum()))]
+                        tail = np.ascontiguousarray(data[(at + 6 + units)[:, None] + np.arange(2)]).view("<u4").ravel()
+                        size, check = np.ascontiguousarray(head[:, :4]), np.ascontiguousarray(head[:, 4:]).view("<u4").ravel()
+                        if np.any(size.view("<u8").ravel() != 2 * units) or np.any(masked(crc32c(size.ravel(), np.full(len(n), 4))) != check) or np.any(masked(crc32c(flat, units)) != tail):
                             raise ValueError(f"damaged record in {file}")
+                        flat = flat.view(f"<u{width}")
                         ends = np.cumsum(n)
                         raw = memoryview(flat.astype("<u4").tobytes())
                         crc = [zlib.crc32(raw[4 * (e - m):4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
