@@ -61,8 +61,10 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
     t = F.col("_t")
     df = docs.withColumn("_t", whole(F.col("text")))
     df = df.withColumn("base", F.concat(*[tagged(s, k, KINDS[k]) for k, s in enumerate(base_spans(t))]))
-    found = F.concat(*[F.transform(spans(t, p), lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k + 4).alias("order"), s["end"].alias("end"), s["match"].alias("match")))
-                       for k, p in enumerate(GENERATORS.values())])
+    def ordered(k: int, pattern: str) -> Column:
+        return F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), s["match"].alias("match")))
+
+    found = F.concat(*[ordered(k + 4, p) for k, p in enumerate(GENERATORS.values())])
     df = df.withColumn("_found", found)
 
     def measured(s: Column) -> Column:

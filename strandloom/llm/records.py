@@ -24,7 +24,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("width", "<u1"), ("offs
 #: Ids take two bytes if the vocabulary has no more than 65,536, else four.
 FRAME = 16
 #: Distinct pieces of text whose ids a worker remembers; texts encoded and ids framed at once.
-REMEMBERED, TEXTS_AT_ONCE, IDS_AT_ONCE = 700_000, 256, 1 << 20
+REMEMBERED, TEXTS_AT_ONCE, IDS_AT_ONCE = 1_200_000, 256, 1 << 20
 
 #: White space with the word after it. A tokenizer that works on pre-tokens never joins a non-blank with a blank that follows, so these
 #: pieces are encoded on their own. Texts with the separators 1C-1F, on which notions of white space differ, are encoded whole.
@@ -143,13 +143,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str |
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """(part, doc_id, place, n_tokens, ids_crc32) of every record, from the files alone; a wrong checksum ends the job.
+    """(doc_id, start, n_tokens, ids_crc32) of every record, from the files alone; a wrong checksum ends the job.
 
-    place counts the ids before the record in its file. Each file is a task and is read in bounded runs of records.
+    start counts all ids before the record in the order of the files; the files' totals are added up, one row per file. Each file is a task and is read in bounded runs of records.
     """
     def run(batches):
         for batch in batches:
-            for part, file, index in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for base, file, index in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 fs, root = pafs.FileSystem.from_uri(file)
                 with fs.open_input_stream(pafs.FileSystem.from_uri(index)[1]) as f:
                     entry = np.frombuffer(f.read(), INDEX)
@@ -173,21 +173,14 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         raw = memoryview(flat.astype("<u4").tobytes())
                         crc = [zlib.crc32(raw[4 * (e - m):4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                         ids = [int(d) if h else None for d, h in zip(entry["doc_id"][a:b], entry["has_id"][a:b], strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(place[a:b]), pa.array(n), pa.array(crc, pa.int64())],
-                                                         names=["part", "doc_id", "place", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + place[a:b]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.count()
-    return (manifest.select("part", "file", "index").repartition(max(1, files), "part")
-                    .mapInArrow(run, "part int, doc_id long, place long, n_tokens long, ids_crc32 long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.select(F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"), "file", "index")
+    return placed.repartition(max(1, files), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per row of ``docs``, read back from the record files it was written to.
-
-    start counts all ids before the record in the order of the files; the files' totals are added up, one row per file.
-    """
-    manifest = write_records(docs, tokenizer, end_id, path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
-    return (read_records(docs.sparkSession, manifest).join(base, "part")
-            .select("doc_id", (F.col("_base") + F.col("place")).cast("long").alias("start"), "n_tokens", "ids_crc32"))
+    """(doc_id, start, n_tokens, ids_crc32) per row of ``docs``, read back from the record files it was written to."""
+    return read_records(docs.sparkSession, write_records(docs, tokenizer, end_id, path))
