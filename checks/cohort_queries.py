@@ -83,10 +83,10 @@ def _(spark, sf):
     return co.map_barcodes(c, load(spark, sf, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value")))
 
 
-@query("coh08_pair_partially_counts", "SELECT CAST(400 AS BIGINT) AS paired, count(*) - 400 AS unpaired FROM customer")
+@query("coh08_pair_partially_counts", "SELECT CAST(floor(count(*) / 4) AS BIGINT) AS paired, count(*) - CAST(floor(count(*) / 4) AS BIGINT) AS unpaired FROM customer")
 def _(spark, sf):
     c = cust(spark, sf).select("cell")
-    a, b = co.pair_partially(c.withColumn("cell", F.concat("cell", F.lit("_RNA"))), c.withColumn("cell", F.concat("cell", F.lit("_ATAC"))), 4, 5, 400)
+    a, b = co.pair_partially(c.withColumn("cell", F.concat("cell", F.lit("_RNA"))), c.withColumn("cell", F.concat("cell", F.lit("_ATAC"))), 4, 5, c.count() // 4)
     both = a.join(b, "cell").agg(F.count(F.lit(1)).alias("paired"))
     return both.withColumn("unpaired", a.where(F.col("cell").endswith("_RNA")).agg(F.count(F.lit(1))).scalar())
 

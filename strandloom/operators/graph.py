@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.joins import salted_join
@@ -323,33 +323,33 @@ def drop_edges(edges: DataFrame, pairs: DataFrame, keep_types: Sequence[str] | N
     return keyed.join(bad, ["_lo", "_hi"], "left").where(kept | F.col("_bad").isNull()).select(*edges.columns)
 
 
-def corrupt_edges(edges: DataFrame, rate: float, sources: DataFrame, targets: DataFrame, seed: int = 0,
-                  max_rounds: int = 100) -> DataFrame:
+def corrupt_edges(edges: DataFrame, rate: float, sources: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Replace round(rate * E) random edges by random pairs that are no edges; each new edge
-    takes over the attributes of the one it replaces."""
+    takes over the attributes of the one it replaces.
+
+    Pairs come from the complement: a source is drawn by its number of free targets, then one of these by rank. The j-th free position of a
+    source is j plus the number of its k-th neighbours t with t - k <= j, a running count over neighbours and draws together. Without a free pair it raises.
+    """
     attrs = [c for c in edges.columns if c not in ("source", "target")]
     keyed = cut_lineage(positions(edges, [], edges.columns, seed))
-    n_edges = keyed.count()
-    n_bad = round(rate * n_edges)
+    n_bad = round(rate * keyed.count())
     if n_bad == 0:
         return edges
     kept = keyed.where(F.col("pos") >= n_bad).select(*edges.columns)
     src = cut_lineage(positions(sources.select("node").distinct(), [], ["node"], seed + 1).select(F.col("pos").alias("_ps"), F.col("node").alias("source")))
     tgt = cut_lineage(positions(targets.select("node").distinct(), [], ["node"], seed + 2).select(F.col("pos").alias("_pt"), F.col("node").alias("target")))
-    ns, nt = src.count(), tgt.count()
-    known = edges.select("source", "target").distinct()
-    open_ = keyed.where(F.col("pos") < n_bad).select("pos", *attrs)
-    added = []
-    for r in range(max_rounds):
-        pick = open_.withColumns({"_ps": F.floor(hash_uniform("pos", seed=seed + 3 + 2 * r) * ns).cast("long"),
-                                  "_pt": F.floor(hash_uniform("pos", seed=seed + 4 + 2 * r) * nt).cast("long")})
-        drawn = cut_lineage(pick.join(src, "_ps").join(tgt, "_pt").select("pos", "source", "target", *attrs))
-        added.append(drawn.join(known, ["source", "target"], "left_anti").select(*edges.columns))
-        open_ = drawn.join(known, ["source", "target"], "left_semi").select("pos", *attrs)
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError("the graph is too dense to draw non-edges")
-    for a in added:
-        kept = kept.unionByName(a)
-    return kept
+    known = cut_lineage(edges.select("source", "target").distinct().join(src, "source").join(tgt, "target").select("_ps", "_pt"))
+    nt = tgt.count()
+    taken = known.groupBy("_ps").agg(F.count(F.lit(1)).alias("_taken"))
+    free = cut_lineage(src.join(taken, "_ps", "left").select("_ps", "source", (nt - F.coalesce("_taken", F.lit(0))).cast("double").alias("free")).where("free > 0"))
+    total, n = free.agg(F.sum("free"), F.count(F.lit(1))).first()
+    if not n:
+        raise RuntimeError("every pair is an edge")
+    draws = keyed.where(F.col("pos") < n_bad).select("pos", *attrs, F.floor(hash_uniform("pos", seed=seed + 3) * total).cast("double").alias("u"))
+    drawn = cut_lineage(_draw(draws, running_sum(free, ["_ps"], "free", seed + 4), "free", F.lit(total / n)).withColumn("_j", (F.col("u") - F.col("lo")).cast("long")))
+    order = Window.partitionBy("_ps").orderBy("_pt")
+    steps = known.select("_ps", (F.col("_pt") - F.row_number().over(order) + 1).cast("long").alias("_j"), F.lit(1).alias("_known"), F.lit(None).cast("long").alias("pos"))
+    events = steps.unionByName(drawn.select("_ps", "_j", F.lit(0).alias("_known"), F.col("pos").cast("long").alias("pos")))
+    upto = Window.partitionBy("_ps").orderBy("_j", F.col("_known").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = events.withColumn("_pt", F.col("_j") + F.sum("_known").over(upto)).where(F.col("pos").isNotNull()).select("pos", "_pt").join(tgt, "_pt")
+    return kept.unionByName(drawn.drop("_pt").join(placed.select("pos", "target"), "pos").select(*edges.columns))

@@ -229,20 +229,20 @@ def _thin(points: DataFrame, max_points: int) -> DataFrame:
 def roc(df: DataFrame, label: str, score: str, max_points: int = 500) -> DataFrame:
     """(fpr, tpr, threshold) points of the ROC curve."""
     return _thin(_thresholds(df, label, score), max_points).select(
-        (F.col("cum_n") / F.col("tot_n")).alias("fpr"), (F.col("cum_p") / F.col("tot_p")).alias("tpr"), (-F.col("_neg")).alias("threshold"))
+        F.coalesce(F.try_divide("cum_n", "tot_n"), F.lit(float("nan"))).alias("fpr"), F.coalesce(F.try_divide("cum_p", "tot_p"), F.lit(float("nan"))).alias("tpr"), (-F.col("_neg")).alias("threshold"))
 
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve: each threshold's negatives see the positives above it plus half of its own."""
+    """Area under the ROC curve (NaN with one class): each threshold's negatives see the positives above it plus half of its own."""
     t = _thresholds(df, label, score)
-    area = F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2)) / (F.max("tot_p") * F.max("tot_n"))
+    area = F.coalesce(F.try_divide(F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2)), F.max("tot_p") * F.max("tot_n")), F.lit(float("nan")))
     return t.agg(area.alias("auroc"))
 
 
 def prc(df: DataFrame, label: str, score: str, max_points: int = 500) -> DataFrame:
     """(recall, precision, threshold) points."""
     return _thin(_thresholds(df, label, score), max_points).select(
-        (F.col("cum_p") / F.col("tot_p")).alias("recall"), (F.col("cum_p") / (F.col("cum_p") + F.col("cum_n"))).alias("precision"), (-F.col("_neg")).alias("threshold"))
+        F.coalesce(F.try_divide("cum_p", "tot_p"), F.lit(float("nan"))).alias("recall"), (F.col("cum_p") / (F.col("cum_p") + F.col("cum_n"))).alias("precision"), (-F.col("_neg")).alias("threshold"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -129,7 +129,7 @@ def balancing_weight(*datasets: DataFrame, use_rep: str = "rep", cluster: str |
             "_key", (F.coalesce("_s", F.lit(0.0)) / F.col("_size")).alias("_raw"))
         w = c.join(raw, "_key")
         mean = w.groupBy(F.col(batch).alias("_mb")).agg(F.avg("_raw").alias("_mean"))
-        out.append(w.join(mean, F.col(batch) == F.col("_mb")).withColumn(key_added, F.col("_raw") / F.col("_mean")).select(*d.columns, key_added))
+        out.append(w.join(mean, F.col(batch) == F.col("_mb")).withColumn(key_added, F.coalesce(F.try_divide("_raw", "_mean"), F.lit(float("nan")))).select(*d.columns, key_added))
     return out
 
 

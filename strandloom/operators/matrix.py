@@ -28,7 +28,7 @@ def n_cells(m: DataFrame, cells: DataFrame | None = None) -> Column:
 def _scaled(m: DataFrame, target: Column) -> DataFrame:
     totals = m.groupBy("cell").agg(F.sum("value").alias("_total"))
     return m.join(totals, "cell").withColumn("_target", target).withColumn(
-        "value", F.log1p(F.col("value") * F.col("_target") / F.col("_total"))).drop("_total", "_target")
+        "value", F.log1p(F.coalesce(F.try_divide(F.col("value") * F.col("_target"), F.col("_total")), F.lit(0.0)))).drop("_total", "_target")
 
 
 def count_prep(m: DataFrame, target: float | None = None) -> DataFrame:
@@ -303,7 +303,7 @@ def merge_mc_cov(m: DataFrame) -> DataFrame:
 
 def methylation_rates(m: DataFrame) -> DataFrame:
     """rate = mc / cov (0 if uncovered), the cell's global rate, and rate / global rate."""
-    totals = m.groupBy("cell").agg((F.sum("mc") / F.sum("cov")).alias("global_rate"))
+    totals = m.groupBy("cell").agg(F.try_divide(F.sum("mc"), F.sum("cov")).alias("global_rate"))
     rate = F.when(F.col("cov") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("mc") / F.col("cov"), F.lit(0.0)))
     out = m.join(totals, "cell").withColumn("rate", rate)
     norm = F.when(F.col("global_rate") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("rate") / F.col("global_rate"), F.lit(0.0)))
