@@ -76,25 +76,25 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
     """Rows gathered to pieces of bounded size; a longer text comes in several, cut where no word is. True: the row goes on."""
     ids, parts, more, held = [], [], [], 0
+    ok = _word_bytes()
     for i, text in enumerate(texts):
         data = (text or "").encode().lower()
-        while len(data) > PIECE:
-            at = PIECE
-            ok = _word_bytes()
-            while at < len(data) and ok[data[at]]:
-                at += 1
-            yield [i], [data[:at]], [at < len(data)]
-            data = data[at:]
-            if not data:
-                break
-        else:
-            ids.append(i)
-            parts.append(data)
-            more.append(False)
-            held += len(data)
-            if held >= PIECE:
-                yield ids, parts, more
-                ids, parts, more, held = [], [], [], 0
+        if len(data) > PIECE:  # its pieces come in a row and alone, so that each finds the last words of the one before
+            start = 0
+            while start < len(data):
+                end = min(start + PIECE, len(data))
+                while end < len(data) and ok[data[end]]:
+                    end += 1
+                yield [i], [data[start:end]], [end < len(data)]
+                start = end
+            continue
+        ids.append(i)
+        parts.append(data)
+        more.append(False)
+        held += len(data)
+        if held >= PIECE:
+            yield ids, parts, more
+            ids, parts, more, held = [], [], [], 0
     if ids:
         yield ids, parts, more
 

@@ -157,6 +157,26 @@ def test_decontamination(spark, docs, empty):
     assert contamination(empty, bdf).count() == 0 and decontaminated(docs, bdf.where("false")).count() == docs.count()
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from strandloom.llm import decontaminate as d
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, n)) for n in (30, 900, 40, 2500, 0, 13)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+
+    def marks():
+        rows = [r for b in d.fingerprints((3,), None)([batch]) for r in b.to_pylist()]
+        return ({(r["key"], r["row_words"]) for r in rows if r["hash"] is None}, {(r["key"], r["size"], r["hash"], r["pos"]) for r in rows if r["hash"] is not None})
+
+    whole = marks()
+    for piece in (257, 1000):
+        monkeypatch.setattr(d, "PIECE", piece)
+        assert marks() == whole
+
+
 def test_mixing(spark, docs, empty):
     from strandloom.llm.mixing import mix, mixture
 
