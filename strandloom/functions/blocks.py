@@ -35,15 +35,55 @@ class Kernel:
         raise NotImplementedError
 
 
-def squared_distances(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
-    """Matrix of squared Euclidean distances, rounded so that equal vectors tie exactly."""
-    d2 = (q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2.0 * (q @ r.T)
-    return np.maximum(np.round(d2, digits), 0.0)
-
-
-def round_digits(max_norm2: float) -> int:
-    """Decimals that hold for squared distances of vectors of this size in double precision."""
-    return int(12 - np.ceil(np.log10(max(max_norm2, 1e-300)))) if max_norm2 > 0 else 12
+#: Pairs whose coordinates are gathered at once to measure them anew.
+PAIRS_AT_ONCE = 1 << 16
+#: A squared distance below this share of its vectors' squared norms has lost digits in the product form.
+CLOSE = 1e-4
+
+
+def pair_squares(q: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sums of squared differences of the given pairs, coordinate by coordinate, so that a pair gives the same number wherever it is measured."""
+    out = np.zeros(len(rows))
+    for at in range(0, len(rows), PAIRS_AT_ONCE):
+        some = slice(at, at + PAIRS_AT_ONCE)
+        diff = q[rows[some]] - r[cols[some]]
+        for x in (diff * diff).T:
+            out[some] += x
+    return out
+
+
+def pair_products(q: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Inner products of the given pairs, coordinate by coordinate."""
+    out = np.zeros(len(rows))
+    for at in range(0, len(rows), PAIRS_AT_ONCE):
+        some = slice(at, at + PAIRS_AT_ONCE)
+        for x in (q[rows[some]] * r[cols[some]]).T:
+            out[some] += x
+    return out
+
+
+def fast_squares(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances in product form and, pair by pair, a bound on their error. Vectors are taken from the median of ``q`` first."""
+    centre = np.median(q, axis=0) if len(q) else 0.0
+    a, b = q - centre, r - centre
+    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    d2 = size - 2.0 * (a @ b.T)
+    size *= 2 * (q.shape[1] + 8) * np.finfo(float).eps
+    return d2, size
+
+
+def fast_products(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products and, pair by pair, a bound on their error."""
+    size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
+    return q @ r.T, size * (2 * (q.shape[1] + 8) * np.finfo(float).eps)
+
+
+def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Matrix of squared Euclidean distances; those of close pairs are measured anew, so that each has nearly all its digits."""
+    d2, error = fast_squares(q, r)
+    rows, cols = np.nonzero(d2 * (2 * (q.shape[1] + 8) * np.finfo(float).eps) < CLOSE * error)
+    d2[rows, cols] = pair_squares(q, r, rows, cols)
+    return np.maximum(d2, 0.0)
 
 
 def _runner(make: Callable[[], Kernel], schema: pa.Schema):

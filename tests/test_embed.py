@@ -101,6 +101,27 @@ def test_allcools_transform_of_fit_data_is_u(spark, sparse):
         em.AllCoolsLsi(4).transform(m)
 
 
+@pytest.mark.parametrize("prune_from", [20_000, 10])
+def test_outlier_leaves_other_neighbours_alone(spark, prune_from):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((60, 9)), np.full((1, 9), 1e7), rng.random((1, 9)) - 3e6])
+    x[5] = x[4]
+    c = cells_of(spark, x, ct=[str(i % 2) for i in range(62)]).cache()
+    full = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    names = [r.cell for r in c.orderBy("cell").collect()]
+    got = {(r["query"], r["rank"]): r["ref"] for r in nb.knn(c, c, 4, exclude_self=True, prune_from=prune_from).collect()}
+    for i in range(62):
+        order = [j for j in np.argsort(full[i], kind="stable") if j != i][:4]
+        assert [got[names[i], k + 1] for k in range(4)] == [names[j] for j in order]
+    ip = {(r["query"], r["rank"]): r["ref"] for r in nb.knn(c, c, 3, "ip").collect()}
+    assert all(ip[names[i], 1] == names[np.argmax(x[i] @ x.T)] for i in range(60))
+    y = c.withColumn("rep", F.transform("rep", lambda v: v + 0.05))
+    diff = ((x[:, None] - (x + 0.05)[None]) ** 2).sum(axis=2)
+    want = {names[i]: ((diff[i] < diff[i, i]) & (np.arange(62) != i)).mean() for i in range(60) if i not in (4, 5)}
+    far = {r["cell"]: r["foscttm_x"] for r in me.foscttm(c.select("cell", "rep"), y.select("cell", "rep")).collect()}
+    assert all(np.isclose(far[k], v) for k, v in want.items())
+
+
 def test_gram_blocks(spark, sparse):
     got = {(a, b): s for a, b, s in rows(mt.gram(long_of(spark, sparse), block=7, splits=3))}
     want = sparse.T @ sparse
