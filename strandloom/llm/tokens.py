@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,12 @@ CHUNK, OVERLAP, CALL = 32_768, 256, 1 << 20
 #: depend on nothing before it.
 BLANK = " \t\n\r"
 
+WORD = re.compile(f"[^{BLANK}]+")
+#: Bytes of remembered pieces and counts in a worker, about.
+REMEMBERED = 192 << 20
+
 _LOADED: dict[str, object] = {}
+_MEMORIES: dict[str, Memory | None] = {}
 
 
 def tokenizer(path: str):
@@ -55,15 +61,53 @@ def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         at = place
 
 
+def parts_at_blanks(tok) -> bool:
+    """Whether a text's tokens are those of its pieces between blanks: blanks are dropped, nothing is put before a text, and no added token takes blanks in."""
+    if tok.pre_tokenizer is None or (tok.normalizer is not None and tok.normalizer.normalize_str("a") != "a"):
+        return False
+    added = tok.get_added_tokens_decoder().values()
+    return [p for p, _ in tok.pre_tokenizer.pre_tokenize_str("a \t\n\r b")] == ["a", "b"] and not any(
+        t.lstrip or t.rstrip or t.single_word or set(BLANK) & set(t.content) for t in added)
+
+
+class Memory:
+    """Counts texts piece by piece, for tokenizers that part at blanks; each distinct piece is encoded once while it is remembered."""
+
+    def __init__(self, tok) -> None:
+        self.tok, self.known, self.held = tok, {}, 0
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = [WORD.findall(t) for t in texts]
+        new = set().union(*cut).difference(self.known)
+        weight = sum(4 * len(p) + 128 for p in new)
+        if self.held + weight > REMEMBERED:
+            self.known, new = {}, set().union(*cut)
+            self.held, weight = 0, sum(4 * len(p) + 128 for p in new)
+        pieces = list(new)
+        self.known.update(zip(pieces, map(len, self.tok.encode_batch_fast(pieces, add_special_tokens=False)), strict=True))
+        self.held += weight
+        return [sum(map(self.known.__getitem__, pieces)) for pieces in cut]
+
+
+def memory(path: str) -> Memory | None:
+    if path not in _MEMORIES:
+        _MEMORIES[path] = Memory(tokenizer(path)) if parts_at_blanks(tokenizer(path)) else None
+    return _MEMORIES[path]
+
+
 def counts(path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     def run(batches):
-        tok = tokenizer(path)
+        tok, known = tokenizer(path), memory(path)
+
+        def lengths(texts: list[str]) -> list[int]:
+            return known.count(texts) if known else list(map(len, tok.encode_batch_fast(texts, add_special_tokens=False)))
+
         for texts in batches:
             out, held, size = [0] * len(texts), [], 0
 
             def flush() -> None:
-                for i, e in zip(held, tok.encode_batch_fast([texts.iloc[i] for i in held], add_special_tokens=False), strict=True):  # noqa: B023
-                    out[i] = len(e)  # noqa: B023
+                for i, n in zip(held, lengths([texts.iloc[i] for i in held]), strict=True):  # noqa: B023
+                    out[i] = n  # noqa: B023
             for i, t in enumerate(texts):
                 if len(t) > chunk + overlap:
                     out[i] = count_spliced(tok, t, chunk, overlap)
@@ -95,7 +139,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     """(doc_id, n_bytes, n_tokens, over_limit) per row of ``docs`` (doc_id, text), as the tokenizers library counts without added tokens.
 
     Strings of special tokens inside a text count as the library's default has it. Null and empty texts have 0 bytes and 0 tokens; repeated
-    rows are counted one by one; extra columns are dropped. One narrow stage; memory is bounded by a chunk of a text, and by CALL characters.
+    rows are counted one by one; extra columns are dropped. Texts longer than a chunk and its overlap are spliced; where the tokenizer drops blanks, shorter ones
+    are counted piece by piece, with a bounded memory of pieces. One narrow stage; memory is bounded by a chunk of a text, and by CALL characters.
     """
     require(docs, "doc_id", "text")
     df = docs.select("doc_id", whole(F.col("text")).alias("text"))
