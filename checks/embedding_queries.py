@@ -38,7 +38,13 @@ def _(spark, sf):
 @query("emb02_lsi_fit_transform")
 def _(spark, sf):
     m, c = load(spark, sf, "mx"), load(spark, sf, "mx_cells")
-    return em.AllCoolsLsi(8).fit(m, c, downsample=500).transform(m)
+    return em.AllCoolsLsi(8).fit(m, c).transform(m, cells=c)
+
+
+@query("emb02_lsi_downsampled_fit")
+def _(spark, sf):
+    m, c = load(spark, sf, "mx"), load(spark, sf, "mx_cells")
+    return em.AllCoolsLsi(8).fit(m, c, downsample=500).transform(m, cells=c)
 
 
 @query("emb03_pca_variances", f"""WITH g AS (SELECT c.c_custkey, f.feature, coalesce(mx.value, 0) AS x FROM customer c CROSS JOIN (SELECT DISTINCT feature FROM mx) f

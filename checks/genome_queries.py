@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("gen10_nucleotide_content", """WITH reg AS (SELECT CAST(d.doc_id AS VARCHAR) AS chrom, CAST(k * 40 AS BIGINT) AS chromStart,
     CAST(k * 40 + 100 AS BIGINT) AS chromEnd, concat('r', doc_id, '_', k) AS name, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand,
-    substring(text, CAST(k * 40 + 1 AS INTEGER), 100) AS s FROM documents d, (SELECT unnest([0, 1, 2]) AS k)),
+    substring(text, CAST(k * 40 + 1 AS INTEGER), 100) AS s FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text), 1) - 1) // 40 + 1)) AS k FROM documents) d),
     c AS (SELECT *, length(s) AS n, length(s) - length(translate(s, 'Aa', '')) AS a, length(s) - length(translate(s, 'Cc', '')) AS c,
     length(s) - length(translate(s, 'Gg', '')) AS g, length(s) - length(translate(s, 'Tt', '')) AS t,
     length(s) - length(translate(s, 'Nn', '')) AS nn FROM reg)
@@ -91,7 +91,8 @@ def _(spark, sf):
     chunks = docs.select(F.col("doc_id").cast("string").alias("chrom"), "text", F.explode(pieces).alias("chunk")).select(
         "chrom", "chunk", F.substring("text", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
     k = F.col("k")
-    bed = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select(
+    tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 40))
+    bed = docs.select("doc_id", F.explode(tiles).alias("k")).select(
         F.col("doc_id").cast("string").alias("chrom"), (k * 40).cast("long").alias("chromStart"),
         (k * 40 + 100).cast("long").alias("chromEnd"), F.concat(F.lit("r"), "doc_id", F.lit("_"), "k").alias("name"),
         F.when(k % 2 == 0, "+").otherwise("-").alias("strand"))

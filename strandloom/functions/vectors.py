@@ -34,11 +34,12 @@ def sigmoid(x: Column | str) -> Column:
 
 
 def zscore(a: Column | str) -> Column:
-    """Centre one vector on its own mean and divide by its own sample deviation."""
+    """Centre one vector on its own mean and divide by its own sample deviation; NaN throughout where that is 0 or undefined."""
     n = F.size(_c(a))
     mean = F.aggregate(_c(a), F.lit(0.0), lambda s, x: s + x) / n
     centred = F.transform(_c(a), lambda x: x - mean)
-    return F.transform(centred, lambda x: x / (norm(centred) / F.sqrt(n - 1)))
+    deviation = F.try_divide(norm(centred), F.sqrt(n - 1))
+    return F.transform(centred, lambda x: F.coalesce(F.try_divide(x, deviation), F.lit(float("nan"))))
 
 
 def dimension(df: DataFrame, rep: str) -> int:

@@ -151,22 +151,23 @@ def lsi(m: DataFrame, cells: DataFrame, n_components: int = 20, features: DataFr
         gram_limit: int = GRAM_LIMIT) -> DataFrame:
     """(cell, rep): left singular vectors of the log-scaled TF-IDF matrix, each cell z-scored.
 
-    ``features`` with a ``highly_variable`` flag restricts the input.
+    ``features`` with a ``highly_variable`` flag restricts the input. Every row of ``cells`` comes out; a cell without an entry in
+    the features has zeros, which the z-score makes NaN.
     """
     if features is not None:
         m = m.join(features.where("highly_variable").select("feature"), "feature", "left_semi")
     x = cut_lineage(_lsi_input(m, cells))
-    out = svd(x, n_components, x.select("cell").distinct(), n_iter=n_iter, gram_limit=gram_limit)
+    out = svd(x, n_components, cells, n_iter=n_iter, gram_limit=gram_limit)
     return out.u.withColumn("rep", zscore("rep"))
 
 
 def lsi_project(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame, gram_limit: int = GRAM_LIMIT) -> DataFrame:
-    """LSI fitted on the masked cells and projected to all: X V / s, then z-scored per cell."""
+    """LSI fitted on the masked cells and projected to all: X V / s, then z-scored per cell (NaN for a cell without entries)."""
     x = cut_lineage(_lsi_input(m, cells))
     fit = svd(x.join(mask.select("cell"), "cell", "left_semi"), k, mask, gram_limit=gram_limit)
     size = len(fit.s)
     inv = F.array(*[F.lit(1.0 / s if s > 1e-12 else 0.0) for s in fit.s])
-    rep = project(x, fit.v, size).withColumn("rep", F.zip_with("rep", inv, lambda a, b: a * b))
+    rep = project(x, fit.v, size, cells).withColumn("rep", F.zip_with("rep", inv, lambda a, b: a * b))
     return rep.withColumn("rep", zscore("rep"))
 
 
@@ -194,11 +195,12 @@ class AllCoolsLsi:
         self.v, self.s = out.v, out.s
         return self
 
-    def transform(self, m: DataFrame, normalize: bool = True) -> DataFrame:
+    def transform(self, m: DataFrame, normalize: bool = True, cells: DataFrame | None = None) -> DataFrame:
+        """(cell, rep) of every row of ``cells``, with zeros for one without entries; without ``cells``, of the cells that have entries."""
         if self.v is None:
             raise ValueError("fit before transform")
         x, _ = mt.tfidf_allcools(m, self.scale_factor, self.idf)
-        rep = project(x, self.v, len(self.s))
+        rep = project(x, self.v, len(self.s), cells)
         if not normalize:
             return rep
         inv = F.array(*[F.lit(1.0 / s if s > 1e-12 else 0.0) for s in self.s])

@@ -84,6 +84,16 @@ def test_lsi_matches_numpy(spark, sparse):
     assert np.allclose(got, u, atol=1e-6)
 
 
+def test_lsi_keeps_cells_without_entries(spark, sparse):
+    m, c = long_of(spark, sparse), cells_of(spark, sparse).select("cell")
+    more = c.union(spark.createDataFrame([("bare1",), ("bare2",)], "cell string"))
+    model = em.AllCoolsLsi(4).fit(m, more)
+    for out, odd in ((em.lsi(m, more, 4), np.isnan), (em.lsi_project(m, more, 4, c), np.isnan), (model.transform(m, cells=more), lambda v: np.array(v) == 0)):
+        got = {r["cell"]: r["rep"] for r in out.collect()}
+        assert len(got) == len(sparse) + 2
+        assert all((cell.startswith("bare")) == bool(np.all(odd(rep))) for cell, rep in got.items())
+
+
 def test_pca_matches_dense(spark, sparse):
     m, c = long_of(spark, sparse), cells_of(spark, sparse).select("cell")
     _, var = em.pca(m, c, 3)
