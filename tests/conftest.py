@@ -25,8 +25,3 @@ def bed(spark):
         [("chr1", 0, 10, "a", ".", "+"), ("chr1", 20, 30, "b", ".", "+"), ("chr1", 30, 40, "c", ".", "-"),
          ("chr2", 0, 10, "d", ".", "+"), ("chr2", 10, 20, "e", ".", "-"), ("chr3", 0, 10, "f", ".", "+")],
         "chrom string, chromStart long, chromEnd long, name string, score string, strand string")
-
-
-def rows(df, *cols):
-    """Sorted list of row tuples."""
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))
