@@ -9,8 +9,11 @@ from strandloom.llm.text import WS_CHARS, require, whole, words
 
 WINDOW = 8
 
-#: A line is navigation if bars or arrows part at least three of its items, or if it is nothing but menu entries.
-NAVIGATION = r"([|>»][^|>»]*){3,}|^\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)(\s*[|/>,·-]?\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us))*\s*$"
+#: A line is navigation if bars or arrows part at least three of its items, or if it is nothing but menu entries. The three bars are written out and
+#: the menu's loops are possessive, so that a line of any length is matched without recursion; no entry begins with a blank, a mark or another entry.
+BARS = r"[|>»][^|>»]*+[|>»][^|>»]*+[|>»]"
+ENTRY = r"(?:home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)"
+MENU = rf"^\s*+{ENTRY}(?:\s*+[|/>,·-]?+\s*+{ENTRY})*+\s*+$"
 #: A line is boilerplate if it holds one of these.
 BOILERPLATE = r"all rights reserved|privacy policy|terms of (use|service)|cookie(s)? (policy|settings|consent)|accept (all )?cookies|enable javascript|subscribe to our|click here|lorem ipsum"
 #: A word decorated with marks, and the share of such words that fails a line.
@@ -26,7 +29,7 @@ def line_fails(line: Column) -> Column:
     ws = words(line)
     decorated = F.size(F.filter(ws, lambda w: F.regexp_like(w, F.lit(DECORATED))))
     return (F.size(ws) > 0) & (F.regexp_like(line, F.lit(NO_CONTENT)) | (decorated > F.size(ws) * DECORATED_SHARE)
-                               | F.regexp_like(low, F.lit(NAVIGATION)) | F.regexp_like(low, F.lit(BOILERPLATE)))
+                               | F.regexp_like(low, F.lit(BARS)) | F.regexp_like(low, F.lit(MENU)) | F.regexp_like(low, F.lit(BOILERPLATE)))
 
 
 def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:

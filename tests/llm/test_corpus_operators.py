@@ -126,6 +126,27 @@ def test_quality_rules(spark, docs, empty):
     assert keep_good(empty).count() == 0
 
 
+def test_long_navigation_lines(spark, tmp_path):
+    """Lines of 1 MB, and short ones against the rule as one plain pattern."""
+    from strandloom.llm.quality_rules import BARS, MENU, clean_lines
+
+    entry = "(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)"
+    plain = re.compile(rf"([|>»][^|>»]*){{3,}}|^\s*{entry}(\s*[|/>,·-]?\s*{entry})*\s*$", re.A)
+    rng = np.random.default_rng(5)
+    parts = ["home", "log in", "login", "sign up", "about us", "next", " ", "  ", "|", ">", "»", "/", ",", "·", "-", "x", "logout"]
+    short = sorted({"".join(parts[int(i)] for i in rng.integers(0, len(parts), k)) for k in rng.integers(1, 7, 3000)})
+    matches = F.regexp_like("l", F.lit(BARS)) | F.regexp_like("l", F.lit(MENU))
+    got = spark.createDataFrame([(x,) for x in short], "l string").select("l", matches.alias("bad")).collect()
+    assert len(got) > 1000 and {r.bad for r in got} == {True, False} and all(r.bad == bool(plain.search(r.l)) for r in got)
+    tail = "\n" + prose(6, 40)
+    size = 1 << 20
+    long = {1: "ab | cde | " * (size // 11), 2: "home " * (size // 5), 3: "home | log in > " * (size // 16), 4: "home " * (size // 5) + "x", 5: "a" + " | b" * 2 + " word" * (size // 5)}
+    path = str(tmp_path / "long")
+    spark.createDataFrame([(k, v + tail) for k, v in long.items()], "doc_id long, text string").write.parquet(path)
+    cleaned = {r.doc_id: r.cleaned for r in clean_lines(spark.read.parquet(path)).select("doc_id", "cleaned").collect()}
+    assert all(cleaned[k] == (tail[1:] if k < 4 else long[k] + tail) for k in long)
+
+
 def test_decontamination(spark, docs, empty):
     from strandloom.llm.decontaminate import contamination, decontaminated
 
