@@ -9,13 +9,18 @@ from strandloom.llm.text import WS_CHARS, require, whole, words
 
 WINDOW = 8
 
-#: A line is navigation if bars or arrows part at least three of its items, or if it is nothing but menu entries. The three bars are written out and
-#: the menu's loops are possessive, so that a line of any length is matched without recursion; no entry begins with a blank, a mark or another entry.
+#: A line may be navigation if it holds three bars or arrows, one of them behind other text (a quoted reply has all in front), and it is navigation
+#: if items of SHORT_ITEM characters or fewer make up half of it, or if it is nothing but menu entries. Rows with a bar at both ends belong to
+#: tables and fail only as menus. The bars are written out and the loops are possessive, so that a line of any length is matched without
+#: recursion; no entry begins with a blank, a mark or another entry.
 BARS = r"[|>»][^|>»]*+[|>»][^|>»]*+[|>»]"
+BAR_BEHIND = r"^[|>»\s]*+[^|>»]++[|>»]"
+SHORT_ITEM = 30
 ENTRY = r"(?:home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)"
 MENU = rf"^\s*+{ENTRY}(?:\s*+[|/>,·-]?+\s*+{ENTRY})*+\s*+$"
-#: A line is boilerplate if it holds one of these.
+#: A line is boilerplate if these make up a tenth or more of its characters: one phrase fails a short line, not a long paragraph.
 BOILERPLATE = r"all rights reserved|privacy policy|terms of (use|service)|cookie(s)? (policy|settings|consent)|accept (all )?cookies|enable javascript|subscribe to our|click here|lorem ipsum"
+BOILERPLATE_SHARE = 0.1
 #: A word decorated with marks, and the share of such words that fails a line.
 DECORATED = r"[!?#*$%&<>~^=_]{2,}$"
 DECORATED_SHARE = 0.3
@@ -23,13 +28,28 @@ DECORATED_SHARE = 0.3
 NO_CONTENT = r"^[^0-9A-Za-z\x{80}-\x{10FFFF}]+$"
 
 
+def navigation(low: Column) -> Column:
+    """Whether a line in lower case is navigation."""
+    ends = F.btrim(low, F.lit(WS_CHARS))
+    sizes = F.transform(F.split(low, "[|>»]", -1), lambda x: F.length(F.btrim(x, F.lit(WS_CHARS))))
+    # characters of short items minus those of the others
+    balance = F.aggregate(sizes, F.lit(0), lambda a, n: a + F.when(n <= SHORT_ITEM, n).otherwise(-n))
+    listed = F.when(F.startswith(ends, F.lit("|")) & F.endswith(ends, F.lit("|")), F.regexp_like(F.btrim(low, F.lit(WS_CHARS + "|")), F.lit(MENU))).otherwise(balance >= 0)
+    return (F.regexp_like(low, F.lit(BARS)) & F.regexp_like(low, F.lit(BAR_BEHIND)) & listed) | F.regexp_like(low, F.lit(MENU))
+
+
+def boilerplate(low: Column) -> Column:
+    """Whether boilerplate phrases make up enough of a line in lower case."""
+    covered = F.length(low) - F.length(F.regexp_replace(low, BOILERPLATE, ""))
+    return F.regexp_like(low, F.lit(BOILERPLATE)) & (covered >= F.length(F.array_join(words(low), " ")) * BOILERPLATE_SHARE)
+
+
 def line_fails(line: Column) -> Column:
     """Whether the punctuation, navigation or boilerplate rule removes a line. Lines without a word always stay."""
     low = F.lower(line)
     ws = words(line)
     decorated = F.size(F.filter(ws, lambda w: F.regexp_like(w, F.lit(DECORATED))))
-    return (F.size(ws) > 0) & (F.regexp_like(line, F.lit(NO_CONTENT)) | (decorated > F.size(ws) * DECORATED_SHARE)
-                               | F.regexp_like(low, F.lit(BARS)) | F.regexp_like(low, F.lit(MENU)) | F.regexp_like(low, F.lit(BOILERPLATE)))
+    return (F.size(ws) > 0) & (F.regexp_like(line, F.lit(NO_CONTENT)) | (decorated > F.size(ws) * DECORATED_SHARE) | navigation(low) | boilerplate(low))
 
 
 def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:

@@ -147,6 +147,22 @@ def test_long_navigation_lines(spark, tmp_path):
     assert all(cleaned[k] == (tail[1:] if k < 4 else long[k] + tail) for k in long)
 
 
+def test_clean_long_lines(spark):
+    """A phrase or a few bars in a long line are no evidence against it; tables and quoted replies are no navigation."""
+    from strandloom.llm.quality_rules import clean_lines
+
+    text = prose(7, 3000, 5000)
+    half = len(text) // 2
+    stay = [text[:half] + " click here " + text[half:], text[:half] + " privacy policy " + text[half:], text[:half] + " a > b | c > d " + text[half:],
+            "\n".join(f"> > > reply {k} to the letter." for k in range(30)), "\n".join(f"| row {k} | {k * k} | {k + 7} |" for k in range(30))]
+    go = ["home > shoes > red shoes > sale", "| Home | Menu | About us | Contact |", "Shop | Prices and offers | Our team | News", "(c) 2020 Some Firm Inc. All rights reserved.",
+          "By using this site you agree to our Privacy Policy and Terms of Use."]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(stay + [text + "\n" + x for x in go])], "doc_id long, text string")
+    got = {r.doc_id: r for r in clean_lines(table).collect()}
+    assert all(got[k].cleaned == x and got[k].kept for k, x in enumerate(stay))
+    assert all(got[len(stay) + k].cleaned == text for k in range(len(go)))
+
+
 def test_decontamination(spark, docs, empty):
     from strandloom.llm.decontaminate import contamination, decontaminated
 
