@@ -29,10 +29,16 @@ KINDS = ["email", "ip", "card", "phone", *GENERATORS]
 #: Words that announce personal data, looked for in the CONTEXT characters before a candidate.
 CUES = r"(?i)(phone|tel|call|mobile|fax|mail|contact|write to|card|visa|account|iban|bank|ssn|social|passport|id|ip|host|address)[^A-Za-z]*$"
 CONTEXT = 24
+#: Checks of the generators' candidates that need no cue; IBANs are checked by iban_fits, long numbers by luhn.
+NATIONAL_ID = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+#: Groups of local phone numbers: area, exchange and line, or a trunk zero with 9 to 12 digits in all that do not begin as a date.
+PHONE_GROUPS = r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$|^(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4})\(?0[1-9][0-9]{0,3}\)?(?:[\x20./-][0-9]{2,5}){2,4}$"
+TLD = r"(?:com|org|net|edu|gov|info|biz|io|co|me|uk|ie|us|ca|mx|br|ar|au|nz|in|jp|cn|kr|za|ru|eu|de|at|ch|fr|be|nl|es|pt|it|se|no|dk|fi|pl)"
+SPELT = rf"(?i)[(\[]|\x20dot\x20{TLD}$"
 
 #: Features of a candidate, all small integers: kind, digits, length, separators, longest run of digits, distinct digits, whether a cue stands
-#: before it, whether a letter touches it.
-FEATURES = ["kind", "digits", "length", "separators", "run", "variety", "cue", "touched"]
+#: before it, whether a letter touches it, whether its kind's check fits, whether it overlaps a base span.
+FEATURES = ["kind", "digits", "length", "separators", "run", "variety", "cue", "touched", "check", "overlap"]
 
 
 def digits_of(m: Column) -> Column:
@@ -46,6 +52,21 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(back, value), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def iban_fits(m: Column) -> Column:
+    """Whether length and check digits (modulo 97) are those of an IBAN."""
+    bare = F.regexp_replace(m, "[^0-9A-Z]", "")
+    chars = F.split(F.concat(F.substring(bare, 5, 34), F.substring(bare, 1, 4)), "(?!$)", -1)
+    step = lambda a, c: F.when(F.ascii(c) < 58, a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.length(bare).between(15, 34) & (F.aggregate(chars, F.lit(0), step) == 1)
+
+
+def check_fits(kind: Column, m: Column) -> Column:
+    """Whether a generator's candidate passes the check of its kind, whatever stands around it."""
+    tests = {"local_phone": F.regexp_like(m, F.lit(PHONE_GROUPS)) & F.length(digits_of(m)).between(9, 12), "spelt_email": F.regexp_like(m, F.lit(SPELT)),
+             "iban": iban_fits(m), "national_id": F.regexp_like(m, F.lit(NATIONAL_ID)), "long_number": F.regexp_like(m, F.lit("^4[0-9]{12}$")) & luhn(m)}
+    return reduce(lambda a, k: F.when(kind == KINDS.index(k), tests[k]).otherwise(a), tests, F.lit(False))
+
+
 def base_spans(text: Column) -> list[Column]:
     """Validated spans of email, ip, card and phone."""
     size = lambda s: F.length(digits_of(s["match"]))
@@ -72,13 +93,15 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
         before = F.substring(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
         near = F.concat(F.when(s["start"] > 0, F.substring(t, s["start"], F.lit(1))).otherwise(F.lit("")), F.substring(t, s["end"] + 1, F.lit(1)))
         runs = F.array_max(F.transform(F.split(s["match"], "[^0-9]+", -1), lambda x: F.length(x)))
+        cue = F.regexp_like(before, F.lit(CUES))
+        check = check_fits(s["order"], s["match"])
+        valid = F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         bins = [s["order"], F.least(F.length(d), F.lit(20)), F.least(F.length(s["match"]), F.lit(40)), F.least(F.length(F.regexp_replace(s["match"], "[0-9A-Za-z]", "")), F.lit(10)),
                 F.least(F.coalesce(runs, F.lit(0)), F.lit(16)), F.when(d == "", F.lit(0)).otherwise(F.size(F.array_distinct(F.split(d, "(?!$)", -1)))),
-                F.regexp_like(before, F.lit(CUES)).cast("int"), F.regexp_like(near, F.lit("[A-Za-z]")).cast("int")]
-        valid = F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        strict = valid | (F.regexp_like(before, F.lit(CUES)) & (F.length(d) >= 7)) | (s["order"] == F.lit(KINDS.index("spelt_email"))) & F.regexp_like(s["match"], F.lit(r"[(\[]"))
+                cue.cast("int"), F.regexp_like(near, F.lit("[A-Za-z]")).cast("int"), check.cast("int"), valid.cast("int")]
+        spelt = (s["order"] == F.lit(KINDS.index("spelt_email"))) & F.regexp_like(s["match"], F.lit(rf"(?i)(?:\.|dot[)\]]?)\x20?{TLD}$"))
         return F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["order"] + 1).alias("kind"),
-                        F.array(*bins).alias("x"), strict.cast("int").alias("y"))
+                        F.array(*bins).alias("x"), (valid | check).cast("int").alias("y"), (check | cue & ((F.length(d) >= 7) | spelt)).alias("sure"))
 
     return df.withColumn("options", F.transform("_found", measured)).drop("_t", "_found")
 
@@ -153,8 +176,8 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rate: f
 def fit(rows: DataFrame) -> Boosted:
     """Boosted trees from all candidates: counts per distinct feature row are summed first.
 
-    There are no labelled spans; a candidate counts as personal data where it overlaps a validated base span, or a cue stands before
-    seven digits or more, or an address is spelt with brackets. Only distinct rows of small integers reach the driver: their number is
+    There are no labelled spans; a candidate counts as personal data where it overlaps a validated base span or passes the check of its kind
+    (see check_fits). The cue is a feature only, so that what it tells is learned from labels made without it. Only distinct rows of small integers reach the driver: their number is
     bounded by the bins of FEATURES, not by the documents.
     """
     hist = (rows.select(F.explode("options").alias("o")).groupBy(F.col("o.x").alias("x")).agg(F.sum("o.y").alias("pos"), F.count(F.lit(1)).alias("n")).collect())
@@ -167,8 +190,9 @@ def fit(rows: DataFrame) -> Boosted:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, found): validated base spans, and all spans, for every row of ``docs`` (doc_id, text).
 
-    Candidates of all generators are measured in their row, the trees are column expressions, and candidates above their kind's threshold join the
-    base spans, which always stay. Null and empty texts have none; rows are independent of one another; extra columns are dropped. Spans are
+    Candidates of all generators are measured in their row. Those that pass the check of their kind, or have seven digits or more or a spelt
+    address behind a cue, join the base spans, which always stay, whatever else the table holds; so do those above their kind's threshold, the trees
+    being column expressions. Null and empty texts have none; rows are independent of one another; extra columns are dropped. Spans are
     written once between fitting and selection, without the texts.
     """
     require(docs, "doc_id", "text")
@@ -177,7 +201,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def chosen(o: Column) -> Column:
         tests = [(o["order"] == k) & (model.column(o["x"]) >= t) for k, t in model.thresholds.items()]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
+        return reduce(lambda a, b: a | b, tests, o["sure"])
 
     more = F.transform(F.filter("options", chosen), lambda o: F.struct(o["start"].alias("start"), o["order"].alias("order"), o["end"].alias("end"), o["kind"].alias("kind")))
     return rows.select("doc_id", "base", F.concat("base", more).alias("found"))

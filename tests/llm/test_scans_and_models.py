@@ -68,6 +68,23 @@ def test_personal_data(docs):
     assert pii_digest(docs.where("false")).count() == 0
 
 
+def test_personal_data_without_cue(spark):
+    """Checks that need no cue decide alone, in any table; candidates that fail them stay."""
+    from strandloom.llm.pii import pii_digest
+
+    found = {1: ("x DE89 3704 0044 0532 0130 00 y", "iban:2:29"), 2: ("x GB82WEST12345698765432 y", "iban:2:24"), 3: ("x 123-45-6789 y", "national_id:2:13"),
+             4: ("x bob at example dot com y", "spelt_email:2:24"), 5: ("x bob (at) example.org y", "spelt_email:2:22"), 6: ("x (212) 555-0134 y", "local_phone:2:16"),
+             7: ("x 030 1234 5678 y", "local_phone:2:15"), 8: ("x 4222222222222 y", "long_number:2:15"), 9: ("mail: bob at example.com y", "spelt_email:6:24"), 10: ("account: 123456789 y", "long_number:9:18")}
+    none = {11: "x DE88 3704 0044 0532 0130 00 y", 12: "x 000-45-6789 y", 13: "x 666-45-6789, 912-45-6789, 123-00-6789, 123-45-0000 y", 14: "of at and. The y", 15: "x 01.02.2003 10 y", 16: "x 4222222222223 y"}
+    rows = [(k, t) for k, (t, _) in found.items()] + list(none.items())
+    schema = "doc_id long, text string"
+    many = [(100 + k, f"{none[11 + k % 6]} {k}") for k in range(300)]
+    for table in (rows, rows + many):
+        got = {r.doc_id: r.spans for r in pii_digest(spark.createDataFrame(table, schema)).collect()}
+        assert all(span in got[k].split(",") for k, (_, span) in found.items()), got
+        assert not any(got[k] for k, _ in table if k > 10), got
+
+
 def test_token_counts(docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
