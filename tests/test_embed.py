@@ -53,6 +53,19 @@ def test_knn_approx_full_probe_equals_exact(spark):
     assert rows(nb.knn_approx(c, c, 5, n_lists=6, n_probe=6), "query", "ref", "rank") == rows(nb.knn(c, c, 5), "query", "ref", "rank")
 
 
+def test_knn_approx_recall(spark):
+    for n in (400, 6400):
+        c = cells_of(spark, np.random.default_rng(n).normal(size=(n, 12)))
+        want, got = (set(rows(f(c.where("cell < 'c0300'"), c, 10), "query", "ref")) for f in (nb.knn, nb.knn_approx))
+        assert len(got) == len(want) == 3000 and len(got & want) >= 0.9 * len(want), (n, len(got & want))
+
+
+def test_knn_approx_widens_until_k_rows(spark):
+    x = np.repeat(np.arange(20.0) * 100, 3)[:, None] + np.random.default_rng(2).normal(size=(60, 2))
+    c = cells_of(spark, x)
+    assert nb.knn_approx(c, c, 30, n_lists=20, n_probe=1).count() == 60 * 30
+
+
 def test_components(spark):
     edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20) if i not in (6, 13)]
     e = spark.createDataFrame(edges + [(b, a) for a, b in edges], "source string, target string")
