@@ -160,3 +160,48 @@ def _(spark, sf_dir):
     from strandloom.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_suffix_dedup")
+def _(spark, sf_dir):
+    from strandloom.llm.suffix_dedup import n_removed, repeated_spans
+
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", n_removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_embedding_whitening")
+def _(spark, sf_dir):
+    from strandloom.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings")).select(F.col("row.vec_id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, g, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS d FROM t),
+h AS (SELECT c, c - c % 20 AS b, xor(list_reduce(list_concat([4294967295::UBIGINT],
+      flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_concat([ascii(x)::UBIGINT], [1000::UBIGINT, 1000, 1000, 1000, 1000, 1000, 1000, 1000])))),
+    lambda a, x: CASE WHEN x < 1000 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END), 4294967295::UBIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT h.c, any_value(h.h) AS h, count(o.c) AS n FROM h LEFT JOIN o ON o.c = h.b AND o.d <= h.h GROUP BY h.c),
+r AS (SELECT h.c, o.d, o.g, o.words FROM h JOIN o ON o.c = h.b AND o.d <= h.h
+    UNION ALL SELECT o.c, k.n + o.d - k.h, o.g, o.words FROM o JOIN k ON o.c = k.c WHERE o.d > k.h UNION ALL SELECT c, 0, '', 0 FROM h),
+p AS (SELECT c, d, words, string_agg(g, '') OVER w AS key, lead(d) OVER w IS NULL AS ends FROM r WINDOW w AS (PARTITION BY c ORDER BY d)),
+nd AS (SELECT key, d, min(c) AS c0, count(*) AS n, max(words) AS words FROM p GROUP BY key, d),
+ch AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n FROM nd WHERE d > 0 GROUP BY 1),
+f AS (SELECT nd.*, coalesce(ch.n, 0) AS kids FROM nd LEFT JOIN ch ON nd.key = ch.key),
+tot AS (SELECT p.key, count(*) FILTER (kids = 0) AS leaves, sum((f.n - 1) * f.words) AS saved FROM f JOIN p ON p.c = f.c0 AND p.d <= f.d GROUP BY p.key),
+e AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS x FROM p WHERE ends GROUP BY key)
+SELECT f.c0::BIGINT AS conv_id, f.d::BIGINT AS depth, pa.c0::BIGINT AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+    saved::BIGINT AS saved_tokens, coalesce(e.x, sha256('')) AS ends_sha256
+FROM f JOIN tot ON f.key = tot.key LEFT JOIN f pa ON f.d > 0 AND pa.key = left(f.key, greatest(length(f.key) - 32, 0)) LEFT JOIN e ON f.key = e.key
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def _(spark, sf_dir):
+    from strandloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
