@@ -105,7 +105,7 @@ def _(spark, sf):
 @query("emb07_knn_approx")
 def _(spark, sf):
     c = load(spark, sf, "cells")
-    return nb.knn_approx(c, c, 10, n_probe=6)
+    return nb.knn_approx(c, c, 10)
 
 
 GRAPH = f"(SELECT query AS source, ref AS target FROM {NN.format(on='a.cell <> b.cell')} WHERE rank <= 14 UNION SELECT ref, query FROM {NN.format(on='a.cell <> b.cell')} WHERE rank <= 14)"

@@ -132,6 +132,36 @@ def _(spark, sf):
     return gr.sample_edges(load(spark, sf, "ed"), neg_samples=2, seed=7)
 
 
+@query("grf14_invariants", """WITH n AS (SELECT CAST(round_even(sum(weight), 0) AS BIGINT) AS n FROM ed) SELECT n AS positives, 2 * n AS negatives, CAST(0 AS BIGINT) AS unknown_positives,
+    CAST(0 AS BIGINT) AS known_negatives, CAST(0 AS BIGINT) AS broken_copies FROM n""")
+def _(spark, sf):
+    ed = load(spark, sf, "ed")
+    return _sampled(ed, gr.sample_edges(ed, neg_samples=2, seed=7))
+
+
+DENSE = "SELECT concat('n', a.p_size) AS source, concat('n', b.p_size) AS target, CAST(a.p_size AS DOUBLE) / 50 AS weight, 1 AS sign FROM {0} a CROSS JOIN {0} b WHERE (a.p_size * 7 + b.p_size * 3) % 20 <> 0"
+
+
+@query("grf14_dense_graph", f"WITH s AS (SELECT DISTINCT p_size FROM part), e AS ({DENSE.format('s')}), " + """n AS (SELECT CAST(round_even(sum(weight), 0) AS BIGINT) AS n FROM e)
+    SELECT n AS positives, 3 * n AS negatives, CAST(0 AS BIGINT) AS unknown_positives, CAST(0 AS BIGINT) AS known_negatives, CAST(0 AS BIGINT) AS broken_copies FROM n""")
+def _(spark, sf):
+    """Edges between 95 of 100 pairs of nodes."""
+    load(spark, sf, "part").select("p_size").distinct().createOrReplaceTempView("dense_sizes")
+    dense = spark.sql(DENSE.format("dense_sizes"))
+    return _sampled(dense, gr.sample_edges(dense, neg_samples=3, seed=1))
+
+
+def _sampled(edges, out):
+    """Counts that hold whatever was drawn."""
+    known = edges.select("source", "target", "sign").distinct().withColumn("known", F.lit(True))
+    own = out.where("copy = -1").select("draw", F.col("source").alias("s0"), F.col("sign").alias("g0"))
+    j = out.join(known, ["source", "target", "sign"], "left").join(own, "draw", "left")
+    positive = F.col("copy") == -1
+    return j.agg(F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives"), F.count_if(positive & F.col("known").isNull()).alias("unknown_positives"),
+                 F.count_if(~positive & F.col("known").isNotNull()).alias("known_negatives"),
+                 F.count_if(~(F.col("source") == F.col("s0")) | ~(F.col("sign") == F.col("g0")) | (F.col("weight") != positive.cast("double"))).alias("broken_copies"))
+
+
 @query("grf15_validate_edges", """SELECT count(*) FILTER (WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
     OR l_partkey NOT IN (SELECT p_partkey FROM part)) AS missing_vertices, count(*) FILTER (WHERE l_tax <= 0 OR l_tax > 1) AS invalid_weights,
     count(*) FILTER (WHERE l_linenumber NOT IN (1, -1)) AS invalid_signs, count(*) AS n_edges FROM lineitem""")
@@ -203,6 +233,24 @@ def _(spark, sf):
     return gr.drop_edges(ed, gr.reverse(ed.where("sign = -1")), ["O"]).drop("sign")
 
 
+@query("grf23_invariants", """WITH n AS (SELECT count(*) AS n, CAST(round_even(0.1 * count(*), 0) AS BIGINT) AS b FROM ed) SELECT n AS edges, b AS new_edges,
+    (SELECT round(sum(weight), 4) FROM ed) AS weights FROM n""")
+def _(spark, sf):
+    """Size and attributes stay; so many pairs are new."""
+    ed = load(spark, sf, "ed")
+    out = gr.corrupt_edges(ed, 0.1, ed.select(F.col("source").alias("node")), ed.select(F.col("target").alias("node")), seed=3)
+    new = out.join(ed.select("source", "target").distinct().withColumn("known", F.lit(True)), ["source", "target"], "left")
+    return new.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("known").isNull()).alias("new_edges"), F.round(F.sum("weight"), 4).alias("weights"))
+
+
+@query("grf04_chain", "SELECT concat('n', k) AS node FROM (SELECT p_partkey % 1000 AS k FROM part UNION SELECT 5) WHERE k >= 5")
+def _(spark, sf):
+    """Nodes behind the fifth of a chain of a thousand, one part a link."""
+    links = load(spark, sf, "part").select((F.col("p_partkey") % 1000).alias("k")).distinct().where("k > 0")
+    chain = links.select(F.concat(F.lit("n"), F.col("k") - 1).alias("source"), F.concat(F.lit("n"), "k").alias("target"))
+    return gr.reachable(chain, spark.sql("SELECT 'n5' AS node"))
+
+
 @query("grf23_corrupt_edges")
 def _(spark, sf):
     ed = load(spark, sf, "ed")
@@ -210,37 +258,54 @@ def _(spark, sf):
 
 
 def features(spark, sf, view, hv):
-    return load(spark, sf, view).groupBy("name").agg(*[F.min(c).alias(c) for c in ("chrom", "chromStart", "chromEnd", "score", "strand")]).select(
-        F.col("name").alias("feature"), "chrom", "chromStart", "chromEnd", "score", "strand", hv.alias("highly_variable"))
+    return load(spark, sf, view).select(F.col("name").alias("feature"), "chrom", "chromStart", "chromEnd", "score", "strand", hv.alias("highly_variable"))
 
 
-GUI = """WITH pk AS (SELECT name, min(chrom) AS chrom, min(chromStart) AS chromStart, min(chromEnd) AS chromEnd FROM peaks GROUP BY name),
-    a AS (SELECT name, chrom, {bounds} FROM anchors), f AS (SELECT a.name AS source, p.name AS target, abs({dist}) AS dist FROM a JOIN pk p
+GUI = """WITH pk AS (SELECT *, {sign} AS sign FROM peaks_u),
+    a AS (SELECT name, chrom, {bounds} FROM anchors), f AS (SELECT a.name AS source, p.name AS target, abs({dist}) AS dist, sign FROM a JOIN pk p
     ON a.chrom = p.chrom AND a.chromStart - {w} < p.chromEnd AND p.chromStart < a.chromEnd + {w}),
-    g AS (SELECT source, target, dist, round(power((dist + 1000.0) / 1000.0, -0.75), 6) AS weight, {sign} AS sign FROM f)
+    g AS (SELECT source, target, dist, round(power((dist + 1000.0) / 1000.0, -0.75), 6) AS weight, sign FROM f)
     SELECT source, target, dist, weight, sign, 'fwd' AS type FROM g UNION ALL SELECT target, source, dist, weight, sign, 'rev' FROM g
     UNION ALL SELECT name, name, CAST(NULL AS BIGINT), CAST(1 AS DOUBLE), 1, 'loop' FROM a UNION ALL SELECT name, name, NULL, 1, 1, 'loop' FROM pk"""
 COMBINED = """CASE WHEN strand = '+' THEN greatest(chromStart - 200, 0) ELSE greatest(chromStart, 0) END AS chromStart,
     CASE WHEN strand = '+' THEN chromEnd ELSE chromEnd + 200 END AS chromEnd"""
+PROMOTER = """CASE WHEN strand = '+' THEN greatest(chromStart - 200, 0) ELSE greatest(chromEnd - 1, 0) END AS chromStart,
+    CASE WHEN strand = '+' THEN chromStart + 1 ELSE chromEnd + 200 END AS chromEnd"""
+BY_LENGTH = "CASE WHEN chromEnd - chromStart <= 30 THEN 1 ELSE -1 END"
 
 
 @query("gui01_rna_anchored_graph", GUI.format(bounds=COMBINED, dist=DIST, w=50, sign=-1))
 def _(spark, sf):
     rna = features(spark, sf, "anchors", F.col("chromStart") > 0)
-    return rounded(rna_anchored_guidance_graph(rna, features(spark, sf, "peaks", F.lit(True)), promoter_len=200, extend_range=50, signs=[-1],
+    return rounded(rna_anchored_guidance_graph(rna, features(spark, sf, "peaks_u", F.lit(True)), promoter_len=200, extend_range=50, signs=[-1],
                                                propagate_highly_variable=False)[0])
 
 
-@query("gui01_propagated_flags", f"""WITH pk AS (SELECT name, min(chrom) AS chrom, min(chromStart) AS chromStart, min(chromEnd) AS chromEnd FROM peaks GROUP BY name),
-    a AS (SELECT name, chrom, {COMBINED} FROM anchors WHERE strand = '+')
-    SELECT p.name AS feature, EXISTS (SELECT 1 FROM a WHERE a.chrom = p.chrom AND a.chromStart < p.chromEnd AND p.chromStart < a.chromEnd) AS highly_variable FROM pk p""")
+def _two_datasets(spark, sf, **kw):
+    """Short and long peaks as two datasets with different signs."""
+    peaks, length = features(spark, sf, "peaks_u", F.lit(False)), F.col("chromEnd") - F.col("chromStart")
+    return rna_anchored_guidance_graph(features(spark, sf, "anchors", F.col("strand") == "+"), peaks.where(length <= 30), peaks.where(length > 30), signs=[1, -1], **kw)
+
+
+@query("gui01_promoter_two_datasets", GUI.format(bounds=PROMOTER, dist=DIST, w=25, sign=BY_LENGTH))
+def _(spark, sf):
+    return rounded(_two_datasets(spark, sf, gene_region="promoter", promoter_len=200, extend_range=25, propagate_highly_variable=False)[0])
+
+
+@query("gui01_gene_body_two_datasets", GUI.format(bounds="chromStart, chromEnd", dist=DIST, w=0, sign=BY_LENGTH))
+def _(spark, sf):
+    return rounded(_two_datasets(spark, sf, gene_region="gene_body")[0])
+
+
+@query("gui01_propagated_flags", f"""WITH a AS (SELECT name, chrom, {COMBINED} FROM anchors WHERE strand = '+'),
+    h AS (SELECT DISTINCT p.name FROM peaks_u p JOIN a ON a.chrom = p.chrom AND a.chromStart < p.chromEnd AND p.chromStart < a.chromEnd)
+    SELECT p.name AS feature, h.name IS NOT NULL AS highly_variable FROM peaks_u p LEFT JOIN h ON h.name = p.name""")
 def _(spark, sf):
-    rna = features(spark, sf, "anchors", F.col("strand") == "+")
-    flags = rna_anchored_guidance_graph(rna, features(spark, sf, "peaks", F.lit(True)), promoter_len=200)[1][0]
-    return flags.select("feature", "highly_variable")
+    short, long = _two_datasets(spark, sf, promoter_len=200)[1]
+    return short.unionByName(long).select("feature", "highly_variable")
 
 
 @query("gui02_anchored_graph", GUI.format(bounds="chromStart, chromEnd", dist=DIST, w=40, sign=1))
 def _(spark, sf):
     anchor = features(spark, sf, "anchors", F.lit(True))
-    return rounded(anchored_guidance_graph(anchor, features(spark, sf, "peaks", F.lit(True)), extend_range=40, propagate_highly_variable=False)[0])
+    return rounded(anchored_guidance_graph(anchor, features(spark, sf, "peaks_u", F.lit(True)), extend_range=40, propagate_highly_variable=False)[0])

@@ -180,11 +180,11 @@ def _(spark, sf):
 def binding(spark, sf):
     motifs = load(spark, sf, "motifs")
     tfs = motifs.select(F.col("name").alias("tf")).distinct()
-    return tf_binding(load(spark, sf, "peaks"), motifs, tfs), tfs
+    return tf_binding(load(spark, sf, "peaks_u"), motifs, tfs), tfs
 
 
 def gene2peak(spark, sf):
-    return window_graph(load(spark, sf, "anchors"), load(spark, sf, "peaks"), 0).select("source", "target")
+    return window_graph(load(spark, sf, "anchors"), load(spark, sf, "peaks_u"), 0).select("source", "target")
 
 
 def genes(spark, sf):
@@ -192,25 +192,52 @@ def genes(spark, sf):
 
 
 def regions(spark, sf):
-    return load(spark, sf, "peaks").groupBy(F.col("name").alias("region")).agg(F.min(F.col("chromEnd") - F.col("chromStart")).alias("length"))
+    return load(spark, sf, "peaks_u").select(F.col("name").alias("region"), (F.col("chromEnd") - F.col("chromStart")).alias("length"))
 
 
-OBS = """gp AS (SELECT a.name AS gene, p.name AS peak FROM anchors a JOIN peaks p ON a.chrom = p.chrom AND a.chromStart < p.chromEnd AND p.chromStart < a.chromEnd),
-    pt AS (SELECT p.name AS peak, m.name AS tf FROM peaks p JOIN motifs m ON p.chrom = m.chrom AND p.chromStart < m.chromEnd AND m.chromStart < p.chromEnd),
-    ob AS (SELECT gene, tf, sum(1.0 * a.n * b.n) AS o FROM (SELECT gene, peak, count(*) AS n FROM gp GROUP BY 1, 2) a JOIN (SELECT peak, tf, count(*) AS n FROM pt GROUP BY 1, 2) b ON a.peak = b.peak GROUP BY 1, 2)"""
+OBS = """gp AS (SELECT a.name AS gene, p.name AS peak FROM anchors a JOIN peaks_u p ON a.chrom = p.chrom AND a.chromStart < p.chromEnd AND p.chromStart < a.chromEnd),
+    pt AS (SELECT p.name AS peak, m.name AS tf FROM peaks_u p JOIN motifs m ON p.chrom = m.chrom AND p.chromStart < m.chromEnd AND m.chromStart < p.chromEnd),
+    gn AS (SELECT gene, peak, count(*) AS d FROM gp GROUP BY 1, 2), pn AS (SELECT peak, tf, count(*) AS c FROM pt GROUP BY 1, 2),
+    ob AS (SELECT gene, tf, sum(1.0 * d * c) AS o FROM gn JOIN pn ON gn.peak = pn.peak GROUP BY 1, 2), tf AS (SELECT DISTINCT name AS tf FROM motifs)"""
+#: Peaks have seven lengths, so there are seven bins. Samples are drawn as the library states it.
+SAMPLED = """qe AS (SELECT list_sort(list_distinct(quantile_cont(CAST(chromEnd - chromStart AS DOUBLE), [0, 1/7, 2/7, 3/7, 4/7, 5/7, 6/7, 1]))) AS e FROM peaks_u),
+    rb AS (SELECT name AS peak, CAST('0x' || substr(md5('0|' || name), 1, 15) AS BIGINT) AS pk, greatest(len(list_filter(e, lambda x: x < chromEnd - chromStart)), 1) AS bin FROM peaks_u, qe),
+    pl AS (SELECT peak, bin, row_number() OVER (PARTITION BY bin ORDER BY pk, peak) - 1 AS pos, count(*) OVER (PARTITION BY bin) AS n FROM rb),
+    ls0 AS (SELECT gene, gn.peak, d, bin, n, md5('1|' || gene || '|' || gn.peak) AS h FROM gn JOIN pl ON gn.peak = pl.peak),
+    ls1 AS (SELECT gene, d, bin, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 AS s0, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 AS s1,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) % 2147483647 AS s2, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 2147483647 AS s3 FROM ls0),
+    dr AS (SELECT gene, d, bin, k, ((((s3 * k + s2) % 2147483647 * k + s1) % 2147483647 * k + s0) % 2147483647) * n // 2147483647 AS pos FROM ls1, (SELECT unnest(range(0, 1000)) AS k)),
+    sm AS (SELECT dr.gene, pn.tf, k, sum(d * c) AS p FROM dr JOIN pl ON dr.bin = pl.bin AND dr.pos = pl.pos JOIN pn ON pl.peak = pn.peak GROUP BY 1, 2, 3),
+    en AS (SELECT ob.gene, ob.tf, 1000.0 - count(sm.p) AS o FROM ob LEFT JOIN sm ON ob.gene = sm.gene AND ob.tf = sm.tf AND sm.p > ob.o GROUP BY 1, 2)"""
 
 
-@query("inf04_cis_ranking_observed", f"""WITH {OBS}, tf AS (SELECT DISTINCT name AS tf FROM motifs), gr AS (SELECT a.name AS gene, tf.tf, coalesce(o, 0) AS o FROM anchors a CROSS JOIN tf LEFT JOIN ob ON ob.gene = a.name AND ob.tf = tf.tf)
-    SELECT gene, tf, CAST(rank() OVER (PARTITION BY tf ORDER BY o DESC) + (count(*) OVER (PARTITION BY tf, o) - 1) / 2.0 AS DOUBLE) AS rank FROM gr""")
+def all_ranks(table: str, more: str = "") -> str:
+    return f"""SELECT gene, tf, {more}CAST(rank() OVER (PARTITION BY tf ORDER BY o DESC) + (count(*) OVER (PARTITION BY tf, o) - 1) / 2.0 AS DOUBLE) AS rank
+        FROM (SELECT a.name AS gene, tf.tf, coalesce(o, 0) AS o FROM anchors a CROSS JOIN tf LEFT JOIN {table} t ON t.gene = a.name AND t.tf = tf.tf)"""
+
+
+@query("inf04_cis_ranking_observed", f"WITH {OBS} {all_ranks('ob')}")
 def _(spark, sf):
     r2t, tfs = binding(spark, sf)
     return nf.cis_regulatory_ranking(gene2peak(spark, sf), r2t, genes(spark, sf), regions(spark, sf), tfs, n_samples=0)
 
 
-@query("inf04_cis_regulatory_ranking")
+@query("inf04_cis_regulatory_ranking", f"WITH {OBS}, {SAMPLED} {all_ranks('en')}")
 def _(spark, sf):
     r2t, tfs = binding(spark, sf)
-    return nf.cis_regulatory_ranking(gene2peak(spark, sf), r2t, genes(spark, sf), regions(spark, sf), tfs, n_samples=20)
+    return nf.cis_regulatory_ranking(gene2peak(spark, sf), r2t, genes(spark, sf), regions(spark, sf), tfs)
+
+
+@query("inf04_one_region_per_bin", """WITH ob AS (SELECT DISTINCT concat('s', l_suppkey) AS gene, b.p_type AS tf FROM lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON a.p_brand = b.p_brand),
+    g AS (SELECT concat('s', s_suppkey) AS gene FROM supplier), t AS (SELECT DISTINCT p_type AS tf FROM part), f AS (SELECT g.gene, t.tf, CASE WHEN ob.gene IS NULL THEN 0 ELSE 1000 END AS o FROM g CROSS JOIN t LEFT JOIN ob ON ob.gene = g.gene AND ob.tf = t.tf)
+    SELECT gene, tf, CAST(rank() OVER (PARTITION BY tf ORDER BY o DESC) + (count(*) OVER (PARTITION BY tf, o) - 1) / 2.0 AS DOUBLE) AS rank FROM f""")
+def _(spark, sf):
+    """Each brand is a region of a length of its own: every sample draws what is observed."""
+    part, brand = load(spark, sf, "part"), F.col("p_brand").alias("source")
+    g2r = load(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.col("p_brand").alias("target"))
+    lens = part.select(F.col("p_brand").alias("region"), F.substring("p_brand", 7, 9).cast("int").alias("length")).distinct()
+    all_genes, tfs = load(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("gene")), part.select(F.col("p_type").alias("tf")).distinct()
+    return nf.cis_regulatory_ranking(g2r, part.select(brand, F.col("p_type").alias("target")), all_genes, lens, tfs)
 
 
 @query("inf05_qcut", """WITH q AS (SELECT list_sort(list_distinct(quantile_cont(CAST(p_size AS DOUBLE), [i / 40.0 for i in range(0, 41)]))) AS e FROM part)
@@ -226,18 +253,22 @@ def _(spark, sf):
     return rounded(nf.quantile_edges(load(spark, sf, "orders"), "o_totalprice", 100), 5)
 
 
-@query("inf06_cis_enrichment_fraction")
+@query("inf06_cis_enrichment_fraction", f"WITH {OBS}, {SAMPLED} {all_ranks('en', 'CAST(o / 1000 AS DOUBLE) AS fraction, ')}")
 def _(spark, sf):
     r2t, tfs = binding(spark, sf)
-    return nf.cis_regulatory_ranking(gene2peak(spark, sf), r2t, genes(spark, sf), regions(spark, sf), tfs, n_samples=20, normalize=True)
+    return nf.cis_regulatory_ranking(gene2peak(spark, sf), r2t, genes(spark, sf), regions(spark, sf), tfs, normalize=True)
+
+
+FLANKS = """fl AS (SELECT name AS gene, chrom, greatest(CASE WHEN strand = '+' THEN chromStart ELSE chromEnd - 1 END - 500, 0) AS f0, CASE WHEN strand = '+' THEN chromStart ELSE chromEnd - 1 END + 501 AS f1 FROM anchors),
+    fo AS (SELECT gene, m.name AS tf, count(*) AS o FROM fl JOIN motifs m ON fl.chrom = m.chrom AND f0 < m.chromEnd AND m.chromStart < f1 GROUP BY 1, 2)"""
 
 
-@query("inf07_tf_target_ranks")
+@query("inf07_tf_target_ranks", f"""WITH {OBS}, {SAMPLED}, {FLANKS}, a AS ({all_ranks('en')}), b AS ({all_ranks('fo')})
+    SELECT gene, tf || '_peak' AS tf, rank FROM a UNION ALL SELECT gene, tf || '_flank' AS tf, rank FROM b""")
 def _(spark, sf):
     motifs = load(spark, sf, "motifs")
     tfs = motifs.select(F.col("name").alias("tf")).distinct()
-    pk = load(spark, sf, "peaks").groupBy("name").agg(*[F.min(c).alias(c) for c in ("chrom", "chromStart", "chromEnd", "score", "strand")])
-    return tf_target_ranks(load(spark, sf, "anchors"), pk, gene2peak(spark, sf), tfs, motifs, n_samples=10)
+    return tf_target_ranks(load(spark, sf, "anchors"), load(spark, sf, "peaks_u"), gene2peak(spark, sf), tfs, motifs)
 
 
 @query("inf08_evidence_table", """WITH sk AS (SELECT DISTINCT source, target FROM ed), f AS (SELECT source, target, bool_or(sign = -1) AS ret, coalesce(max(weight) FILTER (WHERE type = 'O'), 0) AS open_w, min(dist) AS dist FROM ed GROUP BY 1, 2)

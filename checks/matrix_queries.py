@@ -146,10 +146,13 @@ def _(spark, sf):
 SV = """e AS (SELECT m.feature, m.value AS v, c.{grp} AS g FROM {mat} m JOIN {cells} c ON m.cell = c.cell), z AS (SELECT {grp} AS g, count(*) AS n FROM {cells} GROUP BY {grp}),
     st AS (SELECT e.g, feature, any_value(n) AS n, sum(v) / any_value(n) AS mean, (sum(v * v) / any_value(n) - (sum(v) / any_value(n)) ** 2) * any_value(n) / (any_value(n) - 1) AS var FROM e JOIN z ON e.g = z.g GROUP BY e.g, feature),
     ok AS (SELECT *, log10(mean) AS x, log10(var) AS y FROM st WHERE mean > 0 AND var > 1e-12),
-    ln1 AS (SELECT g, regr_slope(x * x, x) AS qb, regr_intercept(x * x, x) AS qa, regr_slope(y, x) AS yb, regr_intercept(y, x) AS ya FROM ok GROUP BY g),
-    rs AS (SELECT ok.*, qa, qb, ya, yb, x * x - qa - qb * x AS rq, y - ya - yb * x AS ry FROM ok JOIN ln1 ON ok.g = ln1.g),
-    bd AS (SELECT g, regr_slope(ry, rq) AS c FROM rs GROUP BY g),
-    ft AS (SELECT rs.*, sqrt(10 ** (ya + yb * x + coalesce(c, 0) * rq)) AS sd FROM rs JOIN bd ON rs.g = bd.g),
+    pr AS (SELECT a.g, a.feature, b.x - a.x AS d, b.y, row_number() OVER (PARTITION BY a.g, a.feature ORDER BY abs(b.x - a.x)) AS r, greatest(floor(count(*) OVER (PARTITION BY a.g, a.feature) * 0.3 + 1e-5), 3) AS q
+        FROM ok a JOIN ok b ON a.g = b.g),
+    bw AS (SELECT g, feature, max(abs(d)) AS h FROM pr WHERE r <= q GROUP BY g, feature),
+    wt AS (SELECT pr.g, pr.feature, d / h AS d, y, (1 - (abs(d) / h) ** 3) ** 3 AS w FROM pr JOIN bw ON pr.g = bw.g AND pr.feature = bw.feature WHERE abs(d) < h),
+    mo AS (SELECT g, feature, sum(w) AS s0, sum(w * d) AS s1, sum(w * d ** 2) AS s2, sum(w * d ** 3) AS s3, sum(w * d ** 4) AS s4, sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d ** 2 * y) AS t2 FROM wt GROUP BY g, feature),
+    lo AS (SELECT g, feature, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) AS trend FROM mo),
+    ft AS (SELECT ok.*, sqrt(10 ** trend) AS sd FROM ok JOIN lo ON ok.g = lo.g AND ok.feature = lo.feature),
     sc AS (SELECT ft.g, ft.feature, (any_value(ft.n) * any_value(mean) ** 2 + sum(least(v, sd * sqrt(ft.n) + mean) ** 2) - 2 * any_value(mean) * sum(least(v, sd * sqrt(ft.n) + mean)))
         / ((any_value(ft.n) - 1) * any_value(sd) ** 2) AS score FROM ft JOIN e ON ft.g = e.g AND ft.feature = e.feature GROUP BY ft.g, ft.feature),
     pk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, feature) AS r FROM sc),

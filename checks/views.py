@@ -17,6 +17,11 @@ VIEWS = {
         CAST(l_partkey * 50 + l_quantity AS BIGINT) AS chromStart,
         CAST(l_partkey * 50 + l_quantity AS BIGINT) + 10 * l_linenumber AS chromEnd,
         concat('o', l_orderkey) AS name, '.' AS score, '+' AS strand FROM lineitem""",
+    "peaks_u": """SELECT DISTINCT concat('chr', l_suppkey % 5) AS chrom,
+        CAST(l_partkey * 50 + l_quantity AS BIGINT) AS chromStart,
+        CAST(l_partkey * 50 + l_quantity AS BIGINT) + 10 * l_linenumber AS chromEnd,
+        concat('o', l_orderkey, '.', l_linenumber, '.', l_partkey, '.', l_suppkey, '.', CAST(l_quantity AS BIGINT)) AS name,
+        '.' AS score, '+' AS strand FROM lineitem""",
     "motifs": """SELECT concat('chr', l_suppkey % 5) AS chrom, l_partkey * 50 + 5 AS chromStart,
         l_partkey * 50 + 5 + 3 * l_linenumber AS chromEnd, concat('tf', l_suppkey % 20) AS name,
         '.' AS score, '+' AS strand FROM lineitem WHERE l_returnflag = 'R'""",

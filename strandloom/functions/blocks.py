@@ -1,9 +1,10 @@
 """Streaming of one table past small blocks of another, for distance work.
 
-Left rows are cut into blocks of bounded size. Right rows are sent to every block that needs
-them, cut into slices of bounded size. Inside a task the rows of one (block, slice) arrive in
-Arrow batches, left rows first; a kernel folds the right rows into per-left-row results, so
-memory stays at one batch and one block, and pairs are never written out.
+Left rows are cut into tiles of up to ``TILE`` rows. Right rows are sent to every tile that needs
+them, cut into slices of bounded size, so a row is copied once per tile or slice of the other side.
+Inside a task the rows of one (tile, slice) arrive in Arrow batches, left rows first; a kernel folds
+the right rows into per-left-row results, ``LEFT_BLOCK`` by ``RIGHT_BLOCK`` pairs at once, so memory
+stays at a tile and a block of distances, and pairs are never written out.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.runtime import hash_key
 
+TILE = 50_000
 LEFT_BLOCK = 1024
+RIGHT_BLOCK = 4096
 RIGHT_SLICE = 262_144
 
 
@@ -35,6 +38,11 @@ class Kernel:
         raise NotImplementedError
 
 
+def left_blocks(n: int) -> Iterator[slice]:
+    for at in range(0, n, LEFT_BLOCK):
+        yield slice(at, min(n, at + LEFT_BLOCK))
+
+
 #: Pairs whose coordinates are gathered at once to measure them anew.
 PAIRS_AT_ONCE = 1 << 16
 #: A squared distance below this share of its vectors' squared norms has lost digits in the product form.
@@ -112,7 +120,11 @@ def _runner(make: Callable[[], Kernel], schema: pa.Schema):
                 x = part.column("rep").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
                 args = (part.column("id").to_pylist(), x, part.column("aux").to_pylist(),
                         part.column("num").to_numpy(zero_copy_only=False))
-                (kernel.left if ids3[lo, 2] == 0 else kernel.right)(*args)
+                if ids3[lo, 2] == 0:
+                    kernel.left(*args)
+                    continue
+                for at in range(0, hi - lo, RIGHT_BLOCK):
+                    kernel.right(*[a[at:at + RIGHT_BLOCK] for a in args])
         if kernel is not None:
             yield from result(kernel)
 
@@ -126,22 +138,28 @@ def _rows(df: DataFrame, grp: Column, blk: Column, slc: Column, tag: int, order:
                      (F.col("num") if "num" in df.columns else F.lit(0.0)).cast("double").alias("num"))
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions of kernel work. The number is given, because Spark would merge partitions by their bytes, which say little of the work."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def run_rows(rows: DataFrame, make: Callable[[], Kernel], schema: str, arrow: pa.Schema) -> DataFrame:
-    keyed = rows.repartition("grp", "blk", "slc").sortWithinPartitions("grp", "blk", "slc", "tag", "ord")
+    keyed = rows.repartition(task_count(rows.sparkSession), "grp", "blk", "slc").sortWithinPartitions("grp", "blk", "slc", "tag", "ord")
     return keyed.mapInArrow(_runner(make, arrow), schema)
 
 
-def block_rows(left: DataFrame, right: DataFrame, by: Sequence[str] = (), block: int | None = None) -> DataFrame:
-    """Rows for :func:`run_rows`: every left block meets all right rows of its group.
+def block_rows(left: DataFrame, right: DataFrame, by: Sequence[str] = (), block: int | None = None, sliced: bool = True) -> DataFrame:
+    """Rows for :func:`run_rows`: every left tile meets all right rows of its group.
 
     Inputs have columns id, rep [, aux, num] and the ``by`` columns. A group of any size is
-    spread over ceil(left / block) x ceil(right / slice) tasks.
+    spread over ceil(left / block) x ceil(right / slice) tasks; without slices each tile streams
+    all right rows, for kernels whose results of slices cannot be added up.
     """
-    size = block or max(64, min(LEFT_BLOCK, -(-left.count() // left.sparkSession.sparkContext.defaultParallelism)))
+    size = max(64, min(block or TILE, -(-left.count() // left.sparkSession.sparkContext.defaultParallelism)))
     grp = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
     l, r = left.withColumn("grp", grp), right.withColumn("grp", grp)
     plan = (l.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_nb"))
-             .join(r.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / RIGHT_SLICE).cast("int").alias("_ns")), "grp"))
+             .join(r.groupBy("grp").agg((F.ceil(F.count(F.lit(1)) / RIGHT_SLICE) if sliced else F.lit(1)).cast("int").alias("_ns")), "grp"))
     lj, rj = l.join(plan, "grp"), r.join(plan, "grp")
     lj = lj.withColumn("_blk", F.pmod(hash_key("id", seed=5), "_nb")).withColumn("_slc", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)))
     rj = rj.withColumn("_slc", F.pmod(hash_key("id", seed=6), "_ns")).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))

@@ -107,13 +107,14 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank"
 
 
 def positions(df: DataFrame, by: Sequence[str], ids: Sequence[str], seed: int = 0,
-              out: str = "pos", total: str = "n") -> DataFrame:
+              out: str = "pos", total: str = "n", key: Column | None = None) -> DataFrame:
     """0-based position of each row in the group's pseudo-random order, and the group size.
 
-    The order key is a hash of the row's own ID, so its leading bits are even buckets.
+    The order key is a hash of the row's own ID, so its leading bits are even buckets. Another
+    64-bit hash can be given as ``key``.
     """
     by = list(by)
-    keyed = (df.withColumn("_key", hash_key(*ids, seed=seed))
+    keyed = (df.withColumn("_key", hash_key(*ids, seed=seed) if key is None else key)
                .withColumn("_bucket", F.shiftright("_key", 64 - POSITION_BITS)))
     totals = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("c"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *ids)
@@ -169,9 +170,9 @@ def ordered_positions(df: DataFrame, by: Sequence[str], ids: Sequence[str],
 
 def running_sum(df: DataFrame, ids: Sequence[str], measure: str, seed: int = 0,
                 lo: str = "lo", total: str = "total") -> DataFrame:
-    """Exclusive running sum of ``measure`` over all rows in a fixed pseudo-random order.
+    """Exclusive running sum of the whole numbers ``measure`` over all rows in a fixed pseudo-random order.
 
-    Row r covers [lo, lo + measure) of [0, total): the ranges behind weighted draws.
+    Row r covers [lo, lo + measure) of [0, total): the ranges behind weighted draws. Integers leave no gaps between them.
     """
     keyed = (df.withColumn("_key", hash_key(*ids, seed=seed))
                .withColumn("_bucket", F.shiftright("_key", 64 - POSITION_BITS)))
@@ -180,8 +181,8 @@ def running_sum(df: DataFrame, ids: Sequence[str], measure: str, seed: int = 0,
     joined = keyed.join(_offsets(totals, [], ["c"]), "_bucket")
     return joined.select(
         *df.columns,
-        (F.coalesce(F.sum(measure).over(inside), F.lit(0.0)) + F.col("_off_c")).cast("double").alias(lo),
-        F.col("tot_c").cast("double").alias(total),
+        (F.coalesce(F.sum(measure).over(inside), F.lit(0)) + F.col("_off_c")).cast("long").alias(lo),
+        F.col("tot_c").cast("long").alias(total),
     )
 
 

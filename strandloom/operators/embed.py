@@ -6,21 +6,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.runtime import cut_lineage, hash_uniform
+from strandloom.functions.krylov import SparseRows, leading_vectors
 from strandloom.functions.ranks import positions
+from strandloom.functions.runtime import cut_lineage
 from strandloom.functions.vectors import sum_vectors, zscore
 from strandloom.operators import matrix as mt
 
-GRAM_LIMIT = 1024
-OVERSAMPLE = 10
-
 
 @dataclass
 class Svd:
@@ -32,41 +29,6 @@ class Svd:
     shift: list[float]
 
 
-def _times(df: DataFrame, rep: str, w: np.ndarray) -> DataFrame:
-    """Right-multiply every row vector by a small matrix, in Arrow batches."""
-    names = [c for c in df.columns if c != rep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = b.column(rep).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ w
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))],
-                                             names=[*names, rep])
-
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], f"`{rep}` array<double>"])
-    return df.select(*names, rep).mapInArrow(run, schema)
-
-
-def _small_gram(df: DataFrame, rep: str, size: int) -> np.ndarray:
-    """size x size sum of outer products: one partial matrix per task, added up by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((size, size))
-        for b in batches:
-            x = b.column(rep).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            g += x.T @ x
-        i, j = np.divmod(np.arange(size * size), size)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(g.ravel())], names=["i", "j", "s"])
-
-    rows = df.select(rep).mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    g = np.zeros((size, size))
-    for r in rows:
-        g[r["i"], r["j"]] = r["s"]
-    return g
-
-
 def project(m: DataFrame, v: DataFrame, size: int, cells: DataFrame | None = None, shift: list[float] | None = None) -> DataFrame:
     """(cell, rep): matrix times V, minus a constant row; sums are combined map-side."""
     joined = m.join(v, "feature")
@@ -79,66 +41,35 @@ def project(m: DataFrame, v: DataFrame, size: int, cells: DataFrame | None = Non
     return rep
 
 
-def _mean_times(means: DataFrame, v: DataFrame, size: int) -> list[float]:
-    sums = means.join(v, "feature").agg(*[F.sum(F.col("mean") * F.col("vec")[i]).alias(f"c{i}") for i in range(size)]).first()
-    return [float(x or 0.0) for x in sums]
-
+def svd(m: DataFrame, k: int, cells: DataFrame, center: bool = False, seed: int = 0, tol: float = 1e-9) -> Svd:
+    """Truncated SVD of the (centred) matrix by a block Krylov method, the same for any number of features.
 
-def svd(m: DataFrame, k: int, cells: DataFrame, center: bool = False, n_iter: int = 8, seed: int = 0,
-        gram_limit: int = GRAM_LIMIT) -> Svd:
-    """Truncated SVD of the (centred) matrix.
-
-    Up to ``gram_limit`` features the p x p Gram matrix is summed by Spark and decomposed exactly.
-    Beyond that, subspace iteration: V <- X'(X V) with joins and map-side combined sums; only
-    (k + 10)-sized matrices reach the driver.
+    An error is raised if the residual of a wanted pair stays above ``tol`` times the largest squared singular value.
     """
     m, cells = cut_lineage(m.select("cell", "feature", "value")), cut_lineage(cells.select("cell"))
-    features = cut_lineage(positions(m.select("feature").distinct(), [], ["feature"]))
-    p, n = features.count(), cells.count()
-    k = min(k, p, n)
-    means = m.groupBy("feature").agg((F.sum("value") / n).alias("mean")) if center else None
-    spark = m.sparkSession
-    if p <= gram_limit:
-        table = mt.gram(m).toPandas()  # at most gram_limit^2 numbers
-        names = sorted(table["f1"].unique())
-        at = {f: i for i, f in enumerate(names)}
-        g = np.zeros((p, p))
-        g[table["f1"].map(at), table["f2"].map(at)] = table["s"]
-        if center:
-            mu = {r["feature"]: r["mean"] for r in means.collect()}
-            vec = np.array([mu[f] for f in names])
-            g -= n * np.outer(vec, vec)
-        lam, w = np.linalg.eigh((g + g.T) / 2)
-        lam, w = np.maximum(lam[::-1][:k], 0.0), w[:, ::-1][:, :k]
-        w *= np.where(w[np.abs(w).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
-        v = spark.createDataFrame(pd.DataFrame({"feature": names, "vec": [r.tolist() for r in w]}), "feature string, vec array<double>")
-        s = np.sqrt(lam)
-    else:
-        size = min(k + OVERSAMPLE, p, n)
-        noise = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: hash_uniform(F.col("feature"), i, seed=seed) - 0.5)
-        v = features.select("feature", noise.alias("vec"))
-        for _ in range(n_iter):
-            v = _orthonormal(v, size)
-            y = project(m, v, size, cells, _mean_times(means, v, size) if center else None)
-            back = m.join(y, "cell")
-            v = cut_lineage(sum_vectors(back.groupBy("feature"), [F.col("value") * F.col("rep")[i] for i in range(size)], "vec"))
-        v = cut_lineage(_orthonormal(v, size))
-        y = project(m, v, size, cells, _mean_times(means, v, size) if center else None)
-        lam, w = np.linalg.eigh(_small_gram(y, "rep", size))
-        lam, w = np.maximum(lam[::-1][:k], 0.0), w[:, ::-1][:, :k]
-        v, s = _times(v, "vec", w), np.sqrt(lam)
-        top = v.agg(*[F.max_by(F.col("vec")[i], F.abs(F.col("vec")[i])).alias(f"c{i}") for i in range(k)]).first()
-        v = cut_lineage(_times(v, "vec", np.diag([-1.0 if (x or 0) < 0 else 1.0 for x in top])))
-    shift = _mean_times(means, v, k) if center else [0.0] * k
-    scores = project(m, v, k, cells, shift if center else None)
-    inv = F.array(*[F.lit(1.0 / x if x > 1e-12 else 0.0) for x in s])
-    u = scores.withColumn("rep", F.zip_with("rep", inv, lambda a, b: a * b))
-    return Svd(u, [float(x) for x in s], v, shift)
-
-
-def _orthonormal(v: DataFrame, size: int) -> DataFrame:
-    lam, w = np.linalg.eigh(_small_gram(v, "vec", size))
-    return _times(v, "vec", w / np.sqrt(np.maximum(lam, lam.max() * 1e-14)))
+    x = SparseRows(m, cells.count(), center)
+    k = min(k, x.p, x.n)
+    vectors, lam, shift = leading_vectors(x, k, seed, tol)
+    k = len(lam)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for fj, body in zip(b.column("fj").to_pylist(), b.column("body").to_pylist()):
+                v = np.frombuffer(body).reshape(-1, k)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * k, pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(fj * len(v) + np.arange(len(v)), pa.int64()), vec], names=["pos", "vec"])
+
+    v = cut_lineage(vectors.mapInArrow(unpack, "pos long, vec array<double>").join(x.features, "pos").select("feature", "vec"))
+    top = v.agg(*[F.max_by(F.col("vec")[i], F.struct(F.abs(F.col("vec")[i]), "feature")).alias(f"c{i}") for i in range(k)]).first()
+    sign = [-1.0 if (c or 0) < 0 else 1.0 for c in top]
+    signs = F.array(*[F.lit(c) for c in sign])
+    s = np.sqrt(lam)
+    s[s <= 1e-7 * s.max(initial=0.0)] = 0.0
+    bare = F.array(*[F.lit(-float(c)) for c in shift])  # a cell without entries
+    scores = cells.join(x.times(vectors, k, shift), "cell", "left").withColumn("rep", F.coalesce("rep", bare))
+    scale = F.array(*[F.lit(c / y if y > 1e-12 else 0.0) for c, y in zip(sign, s)])
+    u = scores.withColumn("rep", F.zip_with("rep", scale, lambda a, b: a * b))
+    return Svd(u, [float(y) for y in s], v.withColumn("vec", F.zip_with("vec", signs, lambda a, b: a * b)), [float(c * y) for c, y in zip(sign, shift)])
 
 
 def _lsi_input(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -147,8 +78,7 @@ def _lsi_input(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return x.join(total, "cell").select("cell", "feature", F.log1p(F.col("value") / F.col("_l1") * 1e4).alias("value"))
 
 
-def lsi(m: DataFrame, cells: DataFrame, n_components: int = 20, features: DataFrame | None = None, n_iter: int = 8,
-        gram_limit: int = GRAM_LIMIT) -> DataFrame:
+def lsi(m: DataFrame, cells: DataFrame, n_components: int = 20, features: DataFrame | None = None) -> DataFrame:
     """(cell, rep): left singular vectors of the log-scaled TF-IDF matrix, each cell z-scored.
 
     ``features`` with a ``highly_variable`` flag restricts the input. Every row of ``cells`` comes out; a cell without an entry in
@@ -157,14 +87,14 @@ def lsi(m: DataFrame, cells: DataFrame, n_components: int = 20, features: DataFr
     if features is not None:
         m = m.join(features.where("highly_variable").select("feature"), "feature", "left_semi")
     x = cut_lineage(_lsi_input(m, cells))
-    out = svd(x, n_components, cells, n_iter=n_iter, gram_limit=gram_limit)
+    out = svd(x, n_components, cells)
     return out.u.withColumn("rep", zscore("rep"))
 
 
-def lsi_project(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame, gram_limit: int = GRAM_LIMIT) -> DataFrame:
+def lsi_project(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame) -> DataFrame:
     """LSI fitted on the masked cells and projected to all: X V / s, then z-scored per cell (NaN for a cell without entries)."""
     x = cut_lineage(_lsi_input(m, cells))
-    fit = svd(x.join(mask.select("cell"), "cell", "left_semi"), k, mask, gram_limit=gram_limit)
+    fit = svd(x.join(mask.select("cell"), "cell", "left_semi"), k, mask)
     size = len(fit.s)
     inv = F.array(*[F.lit(1.0 / s if s > 1e-12 else 0.0) for s in fit.s])
     rep = project(x, fit.v, size, cells).withColumn("rep", F.zip_with("rep", inv, lambda a, b: a * b))
@@ -175,9 +105,8 @@ class AllCoolsLsi:
     """LSI in two steps: idf and SVD are fitted once, then any batch (or stream) of cells is
     projected with two stateless joins."""
 
-    def __init__(self, n_components: int = 100, scale_factor: float = 1e5, seed: int = 0, idf: DataFrame | None = None,
-                 gram_limit: int = GRAM_LIMIT) -> None:
-        self.n_components, self.scale_factor, self.seed, self.gram_limit = n_components, scale_factor, seed, gram_limit
+    def __init__(self, n_components: int = 100, scale_factor: float = 1e5, seed: int = 0, idf: DataFrame | None = None) -> None:
+        self.n_components, self.scale_factor, self.seed = n_components, scale_factor, seed
         self.idf = idf
         self.v: DataFrame | None = None
         self.s: list[float] = []
@@ -191,7 +120,7 @@ class AllCoolsLsi:
         x, _ = mt.tfidf_allcools(m, self.scale_factor, fresh)
         self.idf = fresh if self.idf is None else self.idf
         k = min(n - 1, m.select("feature").distinct().count() - 1, self.n_components)
-        out = svd(x, k, cells, gram_limit=self.gram_limit)
+        out = svd(x, k, cells)
         self.v, self.s = out.v, out.s
         return self
 
@@ -207,8 +136,7 @@ class AllCoolsLsi:
         return rep.withColumn("rep", F.zip_with("rep", inv, lambda a, b: a * b))
 
 
-def pca(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame | None = None, max_value: float | None = 10,
-        gram_limit: int = GRAM_LIMIT) -> tuple[DataFrame, list[float]]:
+def pca(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame | None = None, max_value: float | None = 10) -> tuple[DataFrame, list[float]]:
     """(cell, rep) principal component scores of the standardised matrix, and component variances.
 
     The standardised matrix is dense, but equals a sparse one plus a constant row, which centring
@@ -217,7 +145,7 @@ def pca(m: DataFrame, cells: DataFrame, k: int, mask: DataFrame | None = None, m
     diff, _ = mt.scale_sparse(m, cells, max_value, mask)
     diff, cells = cut_lineage(diff), cut_lineage(cells.select("cell"))
     base, used = (diff, cells) if mask is None else (diff.join(mask.select("cell"), "cell", "left_semi"), mask)
-    fit = svd(base, k, used, center=True, gram_limit=gram_limit)
+    fit = svd(base, k, used, center=True)
     n = used.count()
     scores = project(diff, fit.v, len(fit.s), cells, fit.shift)
     return scores, [s * s / (n - 1) for s in fit.s]

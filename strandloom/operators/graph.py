@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.joins import salted_join
-from strandloom.functions.ranks import positions, running_sum
+from strandloom.functions.ranks import cumulate, positions, running_sum
 from strandloom.functions.runtime import cut_lineage, hash_uniform
 from strandloom.functions.vectors import dimension, dot, sigmoid, sum_vectors
 
@@ -63,21 +63,49 @@ def collapse(edges: DataFrame, merges: Mapping[str, str | Callable[[str], Column
     return edges.groupBy("source", "target").agg(*aggs).dropna(subset=list(merges)) if aggs else edges.select("source", "target").distinct()
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_iter: int = 1000) -> DataFrame:
+#: Tables of longer hops may hold so many rows per edge.
+HOP_GROWTH = 4
+
+
+def hop_tables(edges: DataFrame) -> list[DataFrame]:
+    """(source, target) pairs 1, 2, 4, ... hops apart, each joined from the one before and written once.
+
+    Doubling ends when no pair is left, when the hops would be longer than any path, or when the next table could outgrow the graph
+    ``HOP_GROWTH``-fold, which is known from the degrees before it is joined. Chains and trees never outgrow it.
+    """
+    hops = cut_lineage(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct())
+    n_edges = hops.count()
+    tables, reach = [hops], 1
+    while n_edges and reach <= n_edges:
+        last = tables[-1]
+        into, out = last.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("a")), last.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("b"))
+        pairs = into.join(out, "node").agg(F.sum(F.col("a") * F.col("b")).alias("n")).first()["n"]
+        if not pairs or pairs > HOP_GROWTH * n_edges:
+            break
+        a, b = last.select("source", F.col("target").alias("_mid")), last.select(F.col("source").alias("_mid"), "target")
+        tables.append(cut_lineage(a.join(b, "_mid").select("source", "target").where(F.col("source") != F.col("target")).distinct()))
+        reach *= 2
+    return tables
+
+
+def reachable(edges: DataFrame, sources: DataFrame, max_sweeps: int = 1000) -> DataFrame:
     """(node) reachable from the ``sources`` nodes, which are always included.
 
-    Breadth-first: each round joins the frontier with the edges and drops what is known; the
-    frontier is checkpointed, so plans stay short and lost executors cost one round.
+    A sweep goes through the hop tables from the shortest on: with hops of 1, 2, 4, ..., 2^k it reaches everything within 2^(k+1) - 1 hops,
+    so a chain of a thousand nodes takes ten steps. Sweeps end when single hops find nothing new.
     """
-    hops = edges.select("source", "target").distinct()
-    visited = frontier = cut_lineage(sources.select("node").distinct())
-    for _ in range(max_iter):
-        step = frontier.join(hops, frontier["node"] == hops["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = cut_lineage(step.join(visited, "node", "left_anti"))
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)
-    raise RuntimeError(f"the frontier is not empty after {max_iter} rounds")
+    tables = hop_tables(edges)
+    known = cut_lineage(sources.select("node").distinct())
+    for _ in range(max_sweeps):
+        for number, hops in enumerate(tables):
+            step = known.join(hops, known["node"] == hops["source"]).select(F.col("target").alias("node")).distinct()
+            new = cut_lineage(step.join(known, "node", "left_anti"))
+            if new.isEmpty():
+                if number == 0:
+                    return known
+                continue
+            known = cut_lineage(known.unionByName(new))
+    raise RuntimeError(f"nodes are still being reached after {max_sweeps} sweeps")
 
 
 def propagate_flag(edges: DataFrame, anchors: DataFrame, others: DataFrame, flag: str = "highly_variable") -> DataFrame:
@@ -193,57 +221,86 @@ def edge_score(edges: DataFrame, node_rep: DataFrame, out: str = "likelihood") -
     return edges.join(s, "source").join(t, "target").withColumn(out, sigmoid(F.col("sign") * dot("_s", "_t"))).select(*edges.columns, out)
 
 
-def _draw(draws: DataFrame, ranges: DataFrame, weight: str, cell: Column, u: str = "u") -> DataFrame:
-    """Join uniform draws in [0, total) with the ranges that hold them, via unit cells."""
-    first, last = F.floor(F.col("lo") / cell), F.floor((F.col("lo") + F.col(weight)) / cell)
-    filed = ranges.withColumn("_cell", F.explode(F.sequence(first, last)))
-    hit = draws.withColumn("_cell", F.floor(F.col(u) / cell)).join(filed, "_cell")
+#: Real weights are drawn as whole numbers whose sum is about this.
+UNITS = 1 << 52
+
+
+def whole_weights(df: DataFrame, weight: str, out: str) -> DataFrame:
+    """``weight`` as a whole number of units, its share of ``UNITS`` rounded down; positive weights have one unit at least."""
+    total = df.agg(F.sum(weight).alias("s")).first()["s"] or 0.0
+    share = F.floor(F.col(weight) * (UNITS / total)) if total > 0 else F.lit(0)
+    return df.withColumn(out, F.when(F.col(weight) > 0, F.greatest(share, F.lit(1))).otherwise(0).cast("long"))
+
+
+def _draw(draws: DataFrame, ranges: DataFrame, weight: str, total: int, n: int, u: str = "u") -> DataFrame:
+    """Join whole draws in [0, total) with the ranges that hold them. Ranges are filed under cells of their mean size, so about two rows each."""
+    cell = max(1, total // max(n, 1))
+    held = ranges.where(F.col(weight) > 0)
+    first, last = F.expr(f"lo div {cell}"), F.expr(f"(lo + {weight} - 1) div {cell}")
+    filed = held.withColumn("_cell", F.explode(F.sequence(first, last)))
+    hit = draws.withColumn("_cell", F.expr(f"{u} div {cell}")).join(filed, "_cell")
     return hit.where((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("lo") + F.col(weight))).drop("_cell")
 
 
+def _whole_draw(total: Column, *ids: str, seed: int) -> Column:
+    """A whole number in [0, total)."""
+    return F.least(F.floor(hash_uniform(*ids, seed=seed) * total).cast("long"), total - 1)
+
+
+def _past_taken(draws: DataFrame, taken: DataFrame, by: Sequence[str], u: str = "u") -> DataFrame:
+    """Draws among what is free, as places among all: ``u`` plus the sizes of the taken ranges before it.
+
+    taken: by, lo, size, one row per range. The range that starts at lo lies before free place lo less the taken sizes before it. Both sums run
+    over all groups at once, split by value, so that one group with very many ranges is no single task.
+    """
+    by = list(by)
+    cum = cumulate(taken.select(*by, "lo", "size"), by, "lo", ["size"])
+    starts = cum.select(*by, (F.col("lo") - F.col("cum_size") + F.col("size")).cast("long").alias("_v"), "size")
+    wanted = draws.select(*by, F.col(u).alias("_v"), F.lit(0).cast("long").alias("size"))
+    steps = cumulate(starts.unionByName(wanted).groupBy(*by, "_v").agg(F.sum("size").alias("size")), by, "_v", ["size"])
+    shift = steps.select(*by, F.col("_v").alias(u), F.col("cum_size").alias("_shift"))
+    return draws.join(shift, [*by, u]).withColumn(u, F.col(u) + F.col("_shift")).drop("_shift")
+
+
 def sample_edges(edges: DataFrame, neg_samples: int = 1, weighted: bool = True, deemphasize_loops: bool = True,
-                 seed: int = 0, max_rounds: int = 100) -> DataFrame:
+                 seed: int = 0) -> DataFrame:
     """Edges for training: round(sum of weights) positives drawn with probability ~ weight, and
     ``neg_samples`` corrupted copies of each, their target drawn ~ vertex degree, such that
-    (source, target, sign) is no existing edge. Columns: draw, source, target, weight, sign."""
-    e = edges.select("source", "target", F.col("weight").cast("double").alias("weight"), F.col("sign").cast("int").alias("sign"))
-    total = e.agg(F.sum("weight").alias("s")).first()["s"] or 0.0
-    n = round(total)
+    (source, target, sign) is no existing edge. Columns: draw, copy (-1: positive), source, target, weight, sign.
+
+    Negative targets are drawn from the complement at once: a draw among the degrees that are free for (source, sign) is moved past the
+    ranges of its known targets. Copies of a source that is linked to every vertex have no negative and are left out.
+    """
+    e = cut_lineage(edges.select("source", "target", F.col("weight").cast("double").alias("weight"), F.col("sign").cast("int").alias("sign")))
+    n = round(e.agg(F.sum("weight").alias("s")).first()["s"] or 0.0)
     spark = edges.sparkSession
-    ranges = running_sum(e, ["source", "target", "sign", "weight"], "weight", seed)
-    draws = spark.range(n).select(F.col("id").alias("draw"), (hash_uniform("id", seed=seed + 1) * total).alias("u"))
-    pos = cut_lineage(_draw(draws, ranges, "weight", F.lit(1.0)).select("draw", "source", "target", "sign"))
-    positive = pos.withColumn("weight", F.lit(1.0)).withColumn("copy", F.lit(-1))
+    units = whole_weights(e, "weight", "units").where("units > 0")
+    ranges = cut_lineage(running_sum(units, ["source", "target", "sign", "weight"], "units", seed))
+    size = ranges.agg(F.max("total").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    total = size["t"] or 0
+    draws = spark.range(n if total else 0).select(F.col("id").alias("draw"), _whole_draw(F.lit(total), "id", seed=seed + 1).alias("u"))
+    pos = cut_lineage(_draw(draws, ranges, "units", total, size["n"]).select("draw", "source", "target", "sign"))
+    positive = pos.select("draw", F.lit(-1).alias("copy"), "source", "target", F.lit(1.0).alias("weight"), "sign")
+    if not neg_samples or not total:
+        return positive
 
     base = e.where(F.col("source") != F.col("target")) if deemphasize_loops else e
-    deg = vertex_degrees(base, "both")
     nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    deg = nodes.join(deg, "node", "left").select("node", (F.coalesce("degree", F.lit(0.0)) if weighted else F.lit(1.0)).alias("degree"))
-    stats = deg.agg(F.sum("degree").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    if not stats["s"]:
-        deg, dsum = deg.withColumn("degree", F.lit(1.0)), float(stats["n"] or 1)
-    else:
-        dsum = stats["s"]
-    cell = F.lit(dsum / max(stats["n"], 1))
-    vertex = running_sum(deg.where(F.col("degree") > 0), ["node"], "degree", seed + 2).select("node", "degree", "lo")
-    known = e.select("source", "target", "sign").distinct()
-    open_ = pos.select("draw", "source", "sign", F.explode(F.sequence(F.lit(0), F.lit(neg_samples - 1))).alias("copy")) if neg_samples else None
-    done = []
-    for r in range(max_rounds if neg_samples else 0):
-        u = open_.withColumn("u", hash_uniform("draw", "copy", seed=seed + 3 + r) * dsum)
-        drawn = cut_lineage(_draw(u, vertex, "degree", cell).select("draw", "copy", "source", F.col("node").alias("target"), "sign"))
-        good = drawn.join(known, ["source", "target", "sign"], "left_anti")
-        done.append(good)
-        open_ = drawn.join(known, ["source", "target", "sign"], "left_semi").select("draw", "source", "sign", "copy")
-        if open_.isEmpty():
-            break
-    else:
-        if neg_samples:
-            raise RuntimeError("the graph is too dense to draw negative edges")
-    out = positive
-    for g in done:
-        out = out.unionByName(g.withColumn("weight", F.lit(0.0)))
-    return out.select("draw", "copy", "source", "target", "weight", "sign")
+    deg = nodes.join(vertex_degrees(base, "both"), "node", "left").select("node", (F.coalesce("degree", F.lit(0.0)) if weighted else F.lit(1.0)).alias("degree"))
+    deg = cut_lineage(deg)
+    if not deg.agg(F.sum("degree").alias("s")).first()["s"]:
+        deg = deg.withColumn("degree", F.lit(1.0))
+    vertex = cut_lineage(running_sum(whole_weights(deg, "degree", "size").where("size > 0"), ["node"], "size", seed + 2).select("node", "size", "lo", "total"))
+    stats = vertex.agg(F.max("total").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    by = ["source", "sign"]
+    taken = cut_lineage(e.select("source", "target", "sign").distinct().join(vertex.select(F.col("node").alias("target"), "lo", "size"), "target").select(*by, "lo", "size"))
+    held = taken.groupBy(*by).agg(F.sum("size").alias("_held"))
+    copies = pos.select("draw", *by, F.explode(F.sequence(F.lit(0), F.lit(neg_samples - 1))).alias("copy")).join(held, by, "left")
+    free = F.lit(stats["t"]) - F.coalesce("_held", F.lit(0))
+    open_ = cut_lineage(copies.where(free > 0).select("draw", "copy", *by, _whole_draw(free, "draw", "copy", seed=seed + 3).alias("u")))
+    drawn = _draw(_past_taken(open_, taken, by), vertex.select("node", "size", "lo"), "size", stats["t"], stats["n"])
+    negative = drawn.select("draw", "copy", "source", F.col("node").alias("target"), F.lit(0.0).alias("weight"), "sign")
+    return positive.unionByName(negative)
 
 
 def validate_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -327,8 +384,8 @@ def corrupt_edges(edges: DataFrame, rate: float, sources: DataFrame, targets: Da
     """Replace round(rate * E) random edges by random pairs that are no edges; each new edge
     takes over the attributes of the one it replaces.
 
-    Pairs come from the complement: a source is drawn by its number of free targets, then one of these by rank. The j-th free position of a
-    source is j plus the number of its k-th neighbours t with t - k <= j, a running count over neighbours and draws together. Without a free pair it raises.
+    Pairs come from the complement: a source is drawn by its number of free targets, then one of these by rank, moved past the known ones.
+    Without a free pair it raises.
     """
     attrs = [c for c in edges.columns if c not in ("source", "target")]
     keyed = cut_lineage(positions(edges, [], edges.columns, seed))
@@ -336,20 +393,17 @@ def corrupt_edges(edges: DataFrame, rate: float, sources: DataFrame, targets: Da
     if n_bad == 0:
         return edges
     kept = keyed.where(F.col("pos") >= n_bad).select(*edges.columns)
-    src = cut_lineage(positions(sources.select("node").distinct(), [], ["node"], seed + 1).select(F.col("pos").alias("_ps"), F.col("node").alias("source")))
-    tgt = cut_lineage(positions(targets.select("node").distinct(), [], ["node"], seed + 2).select(F.col("pos").alias("_pt"), F.col("node").alias("target")))
-    known = cut_lineage(edges.select("source", "target").distinct().join(src, "source").join(tgt, "target").select("_ps", "_pt"))
+    src = cut_lineage(sources.select(F.col("node").alias("source")).distinct())
+    tgt = cut_lineage(positions(targets.select("node").distinct(), [], ["node"], seed + 2).select(F.col("pos").alias("lo"), F.col("node").alias("target")))
+    taken = cut_lineage(edges.select("source", "target").distinct().join(src, "source", "left_semi").join(tgt, "target").select("source", "lo", F.lit(1).cast("long").alias("size")))
     nt = tgt.count()
-    taken = known.groupBy("_ps").agg(F.count(F.lit(1)).alias("_taken"))
-    free = cut_lineage(src.join(taken, "_ps", "left").select("_ps", "source", (nt - F.coalesce("_taken", F.lit(0))).cast("double").alias("free")).where("free > 0"))
+    held = taken.groupBy("source").agg(F.count(F.lit(1)).alias("_held"))
+    free = cut_lineage(src.join(held, "source", "left").select("source", (nt - F.coalesce("_held", F.lit(0))).cast("long").alias("free")).where("free > 0"))
     total, n = free.agg(F.sum("free"), F.count(F.lit(1))).first()
     if not n:
         raise RuntimeError("every pair is an edge")
-    draws = keyed.where(F.col("pos") < n_bad).select("pos", *attrs, F.floor(hash_uniform("pos", seed=seed + 3) * total).cast("double").alias("u"))
-    drawn = cut_lineage(_draw(draws, running_sum(free, ["_ps"], "free", seed + 4), "free", F.lit(total / n)).withColumn("_j", (F.col("u") - F.col("lo")).cast("long")))
-    order = Window.partitionBy("_ps").orderBy("_pt")
-    steps = known.select("_ps", (F.col("_pt") - F.row_number().over(order) + 1).cast("long").alias("_j"), F.lit(1).alias("_known"), F.lit(None).cast("long").alias("pos"))
-    events = steps.unionByName(drawn.select("_ps", "_j", F.lit(0).alias("_known"), F.col("pos").cast("long").alias("pos")))
-    upto = Window.partitionBy("_ps").orderBy("_j", F.col("_known").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = events.withColumn("_pt", F.col("_j") + F.sum("_known").over(upto)).where(F.col("pos").isNotNull()).select("pos", "_pt").join(tgt, "_pt")
-    return kept.unionByName(drawn.drop("_pt").join(placed.select("pos", "target"), "pos").select(*edges.columns))
+    draws = keyed.where(F.col("pos") < n_bad).select("pos", *attrs, _whole_draw(F.lit(total), "pos", seed=seed + 3).alias("u"))
+    ranges = running_sum(free, ["source"], "free", seed + 4).select("source", "free", F.col("lo"))
+    drawn = cut_lineage(_draw(draws, ranges, "free", total, n).select("pos", "source", *attrs, (F.col("u") - F.col("lo")).cast("long").alias("u")))
+    placed = _past_taken(drawn, taken, ["source"]).join(tgt, F.col("u") == F.col("lo"))
+    return kept.unionByName(placed.select(*edges.columns))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.joins import pair_grid, salted_join
 from strandloom.functions.ranks import bh_fdr, cumulate, exact_quantiles, positions, top_per_group, value_ranks
-from strandloom.functions.runtime import cut_lineage, hash_uniform, scalar
+from strandloom.functions.runtime import cut_lineage, scalar
 from strandloom.functions.vectors import dot, l2_normalize
+from strandloom.operators.cis_sampling import place_key, samples_above
 from strandloom.operators.graph import edge_product
 from strandloom.operators.intervals import overlap_pairs
 
@@ -27,7 +27,7 @@ def empirical_quantile(fg: DataFrame, bg: DataFrame, value: str, side: str = "le
     both = fg.select(value, F.lit(0).alias("_b")).unionByName(bg.select(value, F.lit(1).alias("_b"))).where(F.col(value).isNotNull())
     cum = cumulate(both.groupBy(value).agg(F.sum("_b").alias("_b")), [], value, ["_b"])
     below = F.col("cum__b") - (F.col("_b") if side == "left" else F.lit(0))
-    return fg.join(cum.select(value, (below / F.col("tot__b")).alias(out)), value, "left").select(*fg.columns, out)
+    return fg.join(cum.select(value, F.coalesce(F.try_divide(below, F.col("tot__b")), F.lit(float("nan"))).alias(out)), value, "left").select(*fg.columns, out)
 
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
@@ -146,8 +146,8 @@ def cis_regulatory_enrichment(gene2region: DataFrame, region2tf: DataFrame, regi
 
     ``observed`` counts gene-region-TF paths with multiplicity. Each sample replaces every region
     by a random one of its length bin; ``enrich`` counts the samples whose path number does not
-    exceed the observed one. Only samples above it have to be counted, so pairs and samples
-    without a path never appear as rows. ``regions`` is (region [, length]).
+    exceed the observed one. Samples are drawn and counted in packed blocks (``cis_sampling``).
+    ``regions`` is (region [, length]).
     """
     g2r = cut_lineage(gene2region.groupBy("source", "target").agg(F.count(F.lit(1)).alias("d")))
     r2t = cut_lineage(region2tf.groupBy("source", "target").agg(F.count(F.lit(1)).alias("d")))
@@ -158,16 +158,11 @@ def cis_regulatory_enrichment(gene2region: DataFrame, region2tf: DataFrame, regi
     lens = regions.select("region", F.col("length").cast("double").alias("length")) if "length" in regions.columns else regions.select("region", F.lit(1.0).alias("length"))
     unique = lens.agg(F.count_distinct("length")).first()[0]
     binned = qcut(lens, "length", min(unique, 500))
-    place = cut_lineage(positions(binned, ["bin"], ["region"], seed).select("region", "bin", "pos", "n"))
-    links = g2r.select(F.col("source").alias("gene"), F.col("target").alias("region"), "d").join(place, "region")
-    draws = links.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    draws = draws.select("gene", "d", "k", "bin", F.floor(hash_uniform("gene", "region", "k", seed=seed + 1) * F.col("n")).cast("long").alias("pos"))
-    drawn = draws.join(place.select("bin", "pos", "region"), ["bin", "pos"]).groupBy("gene", "k", "region").agg(F.sum("d").alias("d"))
-    hits = r2t.select(F.col("source").alias("region"), F.col("target").alias("tf"), F.col("d").alias("c"))
-    paths = salted_join(drawn, hits, ["region"], ["gene", "k"]).select("gene", "tf", "k", (F.col("d") * F.col("c")).alias("p"))
-    per = paths.join(obs.select("gene", "tf"), ["gene", "tf"], "left_semi").groupBy("gene", "tf", "k").agg(F.sum("p").alias("p"))
-    above = per.join(obs, ["gene", "tf"]).where(F.col("p") > F.col("observed")).groupBy("gene", "tf").agg(F.count(F.lit(1)).alias("_above"))
-    return obs.join(above, ["gene", "tf"], "left").select("gene", "tf", "observed", (F.lit(n_samples) - F.coalesce("_above", F.lit(0))).cast("double").alias("enrich"))
+    places = cut_lineage(positions(binned, ["bin"], ["region"], key=place_key("region", seed)).select("region", "bin", "pos", "n"))
+    links = g2r.select(F.col("source").alias("gene"), F.col("target").alias("region"), "d")
+    counts = r2t.select(F.col("source").alias("region"), F.col("target").alias("tf"), F.col("d").alias("c"))
+    above = samples_above(links, counts, obs, places, n_samples, seed)
+    return obs.join(above, ["gene", "tf"], "left").select("gene", "tf", "observed", (F.lit(n_samples) - F.coalesce("above", F.lit(0))).cast("double").alias("enrich"))
 
 
 def cis_regulatory_ranking(gene2region: DataFrame, region2tf: DataFrame, genes: DataFrame, regions: DataFrame, tfs: DataFrame,
@@ -252,17 +247,48 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 
 # ---------------------------------------------------------------- edge sets
 
+def _log_pmf(k: int, row: int, col: int, n: int) -> float:
+    """Logarithm of the hypergeometric probability of k."""
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    return choose(row, k) + choose(n - row, col - k) - choose(n, col)
+
+
+def _tail(k: int, step: int, row: int, col: int, n: int, lo: int, hi: int) -> float:
+    """Sum of the probabilities from k outwards, until the terms no longer count."""
+    total, term = 0.0, math.exp(_log_pmf(k, row, col, n))
+    while lo <= k <= hi and term > 0:
+        total += term
+        if step > 0:
+            ratio = (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
+        else:
+            ratio = k * (n - row - col + k) / ((row - k + 1) * (col - k + 1))
+        if term < 1e-18 * total and ratio < 1:
+            break
+        term, k = term * ratio, k + step
+    return total
+
+
 def _fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of hypergeometric probabilities not above the observed one."""
+    """Sum of hypergeometric probabilities not above the observed one.
+
+    The probabilities fall on both sides of the mode, so these are two tails: the one of the observed count, and beyond the mode the one
+    whose start is found by bisection. Both are summed outwards by their ratios.
+    """
     row, col, n = a + b, a + c, a + b + c + d
     lo, hi = max(0, row + col - n), min(row, col)
-    k = np.arange(lo, hi, dtype=float)
-    steps = np.log((row - k) * (col - k)) - np.log((k + 1) * (n - row - col + k + 1))
-    logp = np.concatenate([[0.0], np.cumsum(steps)])
-    logp -= logp.max()
-    p = np.exp(logp)
-    p /= p.sum()
-    return float(min(1.0, p[p <= p[a - lo] * (1 + 1e-7)].sum()))
+    mode = min(max((row + 1) * (col + 1) // (n + 2), lo), hi)
+    bound = _log_pmf(a, row, col, n) + 1e-7
+    if _log_pmf(mode, row, col, n) <= bound:
+        return 1.0
+    side = 1 if a > mode else -1
+    near, far = mode, lo if side > 0 else hi  # the other tail ends at ``far``; at ``near`` the probability is above the bound
+    total = _tail(a, side, row, col, n, lo, hi)
+    if _log_pmf(far, row, col, n) <= bound:
+        while abs(far - near) > 1:
+            mid = (near + far) // 2
+            near, far = (near, mid) if _log_pmf(mid, row, col, n) <= bound else (mid, far)
+        total += _tail(far, -side, row, col, n, lo, hi)
+    return float(min(1.0, total))
 
 
 def fisher_edges(a: DataFrame, b: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

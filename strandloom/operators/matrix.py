@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.joins import pair_grid
+from strandloom.functions.loess import loess
 from strandloom.functions.ranks import exact_quantiles, positions, top_per_group, value_ranks
 from strandloom.functions.runtime import cut_lineage, scalar
 
@@ -252,11 +253,12 @@ def spr_mat(m: DataFrame, m2: DataFrame | None = None, cells: DataFrame | None =
 # ---------------------------------------------------------------- TF-IDF
 
 def tfidf_seurat(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """(value / cell sum) * (number of cells / feature sum)."""
+    """(value / cell sum) * (number of cells / feature sum); NaN where a sum of stored entries is 0."""
     rows = m.groupBy("cell").agg(F.sum("value").alias("_r"))
     cols = m.groupBy("feature").agg(F.sum("value").alias("_c"))
     out = m.join(cols, "feature").join(rows, "cell").withColumn("_n", n_cells(m, cells))
-    return out.select("cell", "feature", (F.col("value") / F.col("_r") * (F.col("_n") / F.col("_c"))).alias("value"))
+    tf, idf = F.try_divide(F.col("value"), F.col("_r")), F.try_divide(F.col("_n"), F.col("_c"))
+    return out.select("cell", "feature", F.coalesce(tf * idf, F.lit(float("nan"))).alias("value"))
 
 
 def fit_idf(m: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -360,28 +362,25 @@ def filter_by_group_detection(m: DataFrame, cells: DataFrame, by: str, min_frac:
     return m.join(hits.where(ok), "feature", "left_semi")
 
 
-def standardized_variance(m: DataFrame, cells: DataFrame, by: str | None = None) -> DataFrame:
+def standardized_variance(m: DataFrame, cells: DataFrame, by: str | None = None, span: float = 0.3) -> DataFrame:
     """(group, feature, mean, var, score): variance after stabilisation along the mean-variance
-    trend, a second-degree least-squares curve of log10(var) on log10(mean) per group."""
+    trend, a local quadratic regression of log10(var) on log10(mean) per group.
+
+    The variance is summed around the mean of the stored entries; the missing ones add their share of the shift.
+    """
     group = F.col(by).cast("string") if by else F.lit("all")
     labelled = cells.select("cell", group.alias("group"))
     sizes = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    e = m.join(labelled, "cell")
-    v = F.col("value")
-    st = e.groupBy("group", "feature").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).join(sizes, "group")
+    e = cut_lineage(m.join(labelled, "cell").select("cell", "group", "feature", F.col("value").cast("double").alias("value")))
+    st = e.groupBy("group", "feature").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("k"), F.var_samp("value").alias("v"), F.avg("value").alias("a")).join(sizes, "group")
     st = st.withColumn("mean", F.col("s") / F.col("n")).withColumn(
-        "var", (F.col("q") / F.col("n") - F.col("mean") * F.col("mean")) * F.col("n") / (F.col("n") - 1))
-    ok = st.where((F.col("mean") > 0) & (F.col("var") > 1e-12)).withColumns({"x": F.log10("mean"), "y": F.log10("var")})
-    # least squares on 1, x, x^2 by orthogonalising x^2 and then y against (1, x)
-    line = ok.groupBy("group").agg(F.regr_slope(F.col("x") * F.col("x"), F.col("x")).alias("qb"), F.regr_intercept(F.col("x") * F.col("x"), F.col("x")).alias("qa"),
-                                   F.regr_slope("y", "x").alias("yb"), F.regr_intercept("y", "x").alias("ya"))
-    res = ok.join(line, "group").withColumns({"rq": F.expr("x * x - qa - qb * x"), "ry": F.expr("y - ya - yb * x")})
-    bend = res.groupBy("group").agg(F.regr_slope("ry", "rq").alias("c"))
-    fit = res.join(bend, "group").withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.expr("ya + yb * x + coalesce(c, 0) * rq"))))
-    fit = fit.select("group", "feature", "mean", "var", "n", "sd", (F.col("sd") * F.sqrt("n") + F.col("mean")).alias("clip"))
-    clipped = e.join(fit.select("group", "feature", "clip"), ["group", "feature"]).withColumn("c", F.least("value", "clip"))
-    sums = clipped.groupBy("group", "feature").agg(F.sum("c").alias("cs"), F.sum(F.col("c") * F.col("c")).alias("cq"))
-    score = F.expr("(n * mean * mean + cq - 2 * mean * cs) / ((n - 1) * sd * sd)")
+        "var", F.try_divide(F.coalesce("v", F.lit(0.0)) * (F.col("k") - 1) + F.col("k") * F.expr("(a - mean) * (a - mean)") + (F.col("n") - F.col("k")) * F.expr("mean * mean"), F.col("n") - 1))
+    ok = cut_lineage(st.where((F.col("mean") > 0) & (F.col("var") > 1e-12)).select("group", "feature", "n", "mean", "var", F.log10("mean").alias("x"), F.log10("var").alias("y")))
+    fit = loess(ok, "group", "x", "y", span, "trend").withColumn("sd", F.sqrt(F.pow(F.lit(10.0), "trend")))
+    fit = cut_lineage(fit.select("group", "feature", "mean", "var", "n", "sd", (F.col("sd") * F.sqrt("n") + F.col("mean")).alias("clip")))
+    clipped = e.join(fit.select("group", "feature", "clip", "mean"), ["group", "feature"]).withColumn("c", F.least("value", "clip") - F.col("mean"))
+    sums = clipped.groupBy("group", "feature").agg(F.sum(F.col("c") * F.col("c")).alias("cq"), F.count(F.lit(1)).alias("k"))
+    score = F.expr("(cq + (n - k) * mean * mean) / ((n - 1) * sd * sd)")
     return fit.join(sums, ["group", "feature"]).select("group", "feature", "mean", "var", score.alias("score"))
 
 

@@ -15,6 +15,7 @@ from strandloom.functions.ranks import positions, value_ranks
 from strandloom.functions.runtime import cut_lineage, scalar
 from strandloom.operators import matrix as mt
 from strandloom.operators.aggregate import Dataset, metacells
+from strandloom.operators.regression import BLOCK, blocked, closed_fit, sparse_fit
 
 
 def _stack(ms: Sequence[DataFrame]) -> DataFrame:
@@ -97,163 +98,27 @@ def metacell_corr(*datasets: Dataset, skeleton: DataFrame, use_rep: str, n_meta:
     return skeleton_corr([m for m, _ in meta], skeleton, meta[0][1].select("cell"), method, prep_fns)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, model: str, alpha: float, l1_ratio: float, max_iter: int, tol: float) -> np.ndarray:
-    """Linear models with an intercept; coordinate descent for the L1 ones."""
-    n, p = x.shape
-    x, y = x - x.mean(axis=0), y - y.mean()
-    if model == "LinearRegression":
-        return np.linalg.lstsq(x, y, rcond=None)[0]
-    if model == "Ridge":
-        return np.linalg.solve(x.T @ x + alpha * np.eye(p), x.T @ y)
-    l1 = alpha * (1.0 if model == "Lasso" else l1_ratio)
-    l2 = 0.0 if model == "Lasso" else alpha * (1 - l1_ratio)
-    w, r, sq = np.zeros(p), y.copy(), (x * x).sum(axis=0) / n
-    for _ in range(max_iter):
-        change = 0.0
-        for j in range(p):
-            if sq[j] == 0:
-                continue
-            old = w[j]
-            rho = x[:, j] @ r / n + sq[j] * old
-            w[j] = np.sign(rho) * max(abs(rho) - l1, 0.0) / (sq[j] + l2)
-            if w[j] != old:
-                r -= x[:, j] * (w[j] - old)
-                change = max(change, abs(w[j] - old))
-        if change <= tol * max(1e-30, np.abs(w).max(initial=0.0)):
-            break
-    return w
-
-
-def _penalties(model: str, alpha: float, l1_ratio: float, n: int) -> tuple[float, float]:
-    """L1 and L2 weights next to RSS / (2n)."""
-    return {"Lasso": (alpha, 0.0), "ElasticNet": (alpha * l1_ratio, alpha * (1 - l1_ratio)), "Ridge": (0.0, alpha / n), "LinearRegression": (0.0, 0.0)}[model]
-
-
-def _dense(entries: pd.Series, n: int) -> np.ndarray:
-    """Centred predictor vectors from lists of (i, value)."""
-    x = np.zeros((len(entries), n))
-    for row, items in enumerate(entries):
-        for it in items:
-            if it["i"] is not None:
-                x[row, it["i"]] = it["value"]
-    return x - x.mean(axis=1, keepdims=True)
-
-
-def _fit_wide(packed: DataFrame, goals: dict[str, np.ndarray], n: int, l1: float, l2: float, max_iter: int, tol: float) -> DataFrame:
-    """The same regressions for targets with too many predecessors for one task.
-
-    Accelerated proximal gradient: predictors stay spread over the cluster with their own
-    coefficient, and only one vector over metacells per target travels between rounds.
-    """
-    schema = "target string, source string, e array<struct<i:bigint,value:double>>, w double, z double, d double"
-
-    def combine(df: DataFrame, column: str) -> dict[str, np.ndarray]:
-        def part(batches):
-            sums: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                x = _dense(pdf["e"], n) * pdf[column].to_numpy()[:, None]
-                for t in pdf["target"].unique():
-                    sums[t] = sums.get(t, 0.0) + x[(pdf["target"] == t).to_numpy()].sum(axis=0)
-            for t, v in sums.items():
-                yield pd.DataFrame({"target": t, "i": np.arange(n), "s": v})
-
-        out = {t: np.zeros(n) for t in goals}
-        for r in df.mapInPandas(part, "target string, i long, s double").groupBy("target", "i").agg(F.sum("s").alias("s")).collect():
-            out[r["target"]][r["i"]] = r["s"]
-        return out
-
-    def scores(df: DataFrame, vectors: dict[str, np.ndarray]) -> DataFrame:
-        def part(batches):
-            for pdf in batches:
-                v = np.stack([vectors[t] for t in pdf["target"]]) if len(pdf) else np.zeros((0, n))
-                yield pdf.assign(z=(_dense(pdf["e"], n) * v).sum(axis=1))
-        return df.mapInPandas(part, schema)
-
-    state = cut_lineage(packed.select("target", "source", "e", F.lit(0.0).alias("w"), F.lit(0.0).alias("z"), F.lit(0.0).alias("d")))
-    # step size: largest eigenvalue of X X' / n by power iteration
-    v = {t: np.random.default_rng(0).normal(size=n) for t in goals}
-    top = {t: 1.0 for t in goals}
-    for _ in range(20):
-        v = {t: x / max(np.linalg.norm(x), 1e-300) for t, x in v.items()}
-        v = combine(scores(state, v), "z")
-        top = {t: max(np.linalg.norm(x) / n, 1e-12) for t, x in v.items()}
-    step = {t: 1.0 / (1.1 * x + l2) for t, x in top.items()}
-    y = {t: g - g.mean() for t, g in goals.items()}
-    resid, momentum = y, 1.0
-    for _ in range(max_iter):
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        push = (momentum - 1) / following
-
-        def update(batches, resid=resid, push=push):
-            for pdf in batches:
-                if len(pdf):
-                    r, h = np.stack([resid[t] for t in pdf["target"]]), np.array([step[t] for t in pdf["target"]])
-                    z, w = pdf["z"].to_numpy(), pdf["w"].to_numpy()
-                    go = z + h * ((_dense(pdf["e"], n) * r).sum(axis=1) / n - l2 * z)
-                    new = np.sign(go) * np.maximum(np.abs(go) - h * l1, 0.0)
-                    pdf = pdf.assign(w=new, z=new + push * (new - w), d=np.abs(new - w))
-                yield pdf
-
-        state = cut_lineage(state.mapInPandas(update, schema))
-        fitted = combine(state, "z")
-        resid, momentum = {t: y[t] - fitted[t] for t in goals}, following
-        size = state.agg(F.max("d").alias("d"), F.max(F.abs("w")).alias("w")).first()
-        if size["d"] <= tol * max(size["w"], 1e-30):
-            break
-    return state.select("source", "target", F.col("w").alias("regr"))
-
-
-TASK_VALUES = 50_000_000
-
-
 def skeleton_regr(ms: Sequence[DataFrame], skeleton: DataFrame, cells: DataFrame, model: str = "Lasso", alpha: float = 1.0, l1_ratio: float = 0.5,
-                  max_iter: int = 10_000, tol: float = 1e-8, task_values: int = TASK_VALUES) -> DataFrame:
+                  max_iter: int = 10_000, tol: float = 1e-9, block: int = BLOCK) -> DataFrame:
     """(source, target, regr): coefficients of each target's regression on its predecessors, on
     count-normalised values. Objectives: RSS / (2n) + alpha * L1 (Lasso), the elastic-net mix of
-    both penalties, RSS + alpha * L2 (Ridge), RSS (LinearRegression).
+    both penalties, RSS + alpha * L2 (Ridge), RSS (LinearRegression, smallest norm).
 
-    A target whose data (predecessors x metacells) fit ``task_values`` is fitted by one task; hub
-    targets beyond that are fitted by all tasks together.
+    No target's data have to fit one task (``regression``). Where a solver does not converge, an error is raised.
     """
     if model not in ("Lasso", "ElasticNet", "Ridge", "LinearRegression"):
         raise ValueError(f"unknown model: {model}")
-    x = cut_lineage(_stack([mt.count_prep(m) for m in ms]))
-    pairs = cut_lineage(skeleton.select("source", "target").distinct())
+    x = _stack([mt.count_prep(m) for m in ms])
+    pairs = skeleton.select("source", "target").distinct()
     n = cells.count()
     index = positions(cells.select("cell"), [], ["cell"]).select("cell", F.col("pos").alias("i"))
-    v = cut_lineage(x.join(index, "cell").select("feature", "i", "value"))
-    degree = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("p"))
-    hubs = [r["target"] for r in degree.where(F.col("p") * n > task_values).select("target").collect()]
-    wide = F.col("target").isin(hubs) if hubs else F.lit(False)
-
-    def predictors(pairs: DataFrame) -> DataFrame:
-        known = salted_join(v.withColumnRenamed("feature", "source"), pairs, ["source"], ["i"]).select("target", "source", "i", "value")
-        lone = pairs.join(v.select(F.col("feature").alias("source")).distinct(), "source", "left_anti")
-        return known.unionByName(lone.select("target", "source", F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("value")))
-
-    def goals(pairs: DataFrame) -> DataFrame:
-        return v.withColumnRenamed("feature", "target").join(pairs.select("target").distinct(), "target", "left_semi").select(
-            "target", F.lit(None).cast("string").alias("source"), "i", "value")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["source"].isna()
-        names, codes = np.unique(pdf.loc[~own, "source"].to_numpy(dtype=str), return_inverse=True)
-        mat, y = np.zeros((n, len(names))), np.zeros(n)
-        mat[pdf.loc[~own, "i"].to_numpy(), codes] = pdf.loc[~own, "value"].to_numpy()
-        y[pdf.loc[own, "i"].to_numpy()] = pdf.loc[own, "value"].to_numpy()
-        w = _fit(mat, y, model, alpha, l1_ratio, max_iter, tol)
-        return pd.DataFrame({"source": names, "target": pdf["target"].iloc[0], "regr": w})
-
-    small = pairs.where(~wide)
-    out = predictors(small).unionByName(goals(small)).groupBy("target").applyInPandas(solve, "source string, target string, regr double")
-    if not hubs:
-        return out
-    large = pairs.where(wide)
-    packed = predictors(large).groupBy("target", "source").agg(F.collect_list(F.struct("i", "value")).alias("e"))  # one entry per metacell
-    y = {t: np.zeros(n) for t in hubs}
-    for r in goals(large).collect():  # one vector over metacells per hub
-        y[r["target"]][r["i"]] = r["value"]
-    return out.unionByName(_fit_wide(packed, y, n, *_penalties(model, alpha, l1_ratio, n), max_iter, tol))
+    packed = cut_lineage(x.join(index, "cell").groupBy("feature").agg(F.collect_list(F.struct("i", "value")).alias("e")))  # one entry per metacell
+    rows = cut_lineage(blocked(pairs, block).join(packed.withColumnRenamed("feature", "source"), "source", "left"))
+    goals = cut_lineage(pairs.select("target").distinct().join(packed.select(F.col("feature").alias("target"), F.col("e").alias("y")), "target", "left"))
+    if model in ("Lasso", "ElasticNet"):
+        share = 1.0 if model == "Lasso" else l1_ratio
+        return sparse_fit(rows, goals, n, alpha * share, alpha * (1 - share), max_iter, tol, block)
+    return closed_fit(rows, goals, n, alpha if model == "Ridge" else 0.0)
 
 
 def metacell_regr(*datasets: Dataset, use_rep: str, n_meta: int, skeleton: DataFrame, model: str = "Lasso", seed: int = 0, **kwargs: Any) -> DataFrame:

@@ -77,6 +77,30 @@ def test_sampling_is_valid_and_deterministic(spark):
     assert all(((s, t) in known) == (w == 1.0) for _, _, s, t, w, _ in got)
 
 
+def test_hop_tables_double(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(7, 7)], "source long, target long")
+    assert len(gr.hop_tables(chain)) == 10
+    got = gr.reachable(chain, spark.createDataFrame([(990,), (2000,)], "node long"))
+    assert rows(got) == [(i,) for i in range(990, 1001)] + [(2000,)]
+    assert gr.reachable(chain, spark.createDataFrame([(0,)], "node long")).count() == 1001
+    hub = [(0, i) for i in range(1, 300)] + [(i, 300) for i in range(1, 300)] + [(300, i) for i in range(301, 600)] + [(599, 0), (600, 601), (601, 600)]
+    assert gr.reachable(spark.createDataFrame(hub, "source long, target long"), spark.createDataFrame([(5,)], "node long")).count() == 600
+
+
+def test_sampling_draws_by_weight_and_degree(spark):
+    """Shares of positives and of negatives close to what they should be; a source without a free target has no negative."""
+    e = spark.createDataFrame([("a", "x", 3000.0, 1), ("a", "y", 1000.0, 1), ("b", "x", 2000.0, 1), ("b", "x", 2000.0, -1)] + [("c", t, 100.0, 1) for t in "abcxy"],
+                              "source string, target string, weight double, sign int")
+    out = gr.sample_edges(e, neg_samples=1, deemphasize_loops=False, seed=5)
+    pos = {(r.source, r.target, r.sign): r["count"] for r in out.where("copy = -1").groupBy("source", "target", "sign").count().collect()}
+    assert sum(pos.values()) == 8500 and abs(pos["a", "x", 1] - 3000) < 200 and abs(pos["c", "x", 1] - 100) < 50
+    neg = {(r.source, r.target, r.sign): r["count"] for r in out.where("copy = 0").groupBy("source", "target", "sign").count().collect()}
+    assert not any(s == "c" for s, *_ in neg) and sum(neg.values()) == 8500 - sum(n for (s, *_), n in pos.items() if s == "c")
+    degree = {"a": 4100, "b": 4100, "c": 500}  # both ends count; x and y are taken
+    n = sum(c for (s, *_), c in neg.items() if s == "a")
+    assert all(abs(neg["a", t, 1] / n - d / 8700) < 0.03 for t, d in degree.items())
+
+
 def test_corrupt_keeps_size_and_avoids_edges(spark):
     e = spark.createDataFrame([(f"s{i}", f"t{i * 7 % 40}", float(i)) for i in range(50)], "source string, target string, w double")
     src, tgt = e.select(F.col("source").alias("node")), e.select(F.col("target").alias("node"))

@@ -7,9 +7,11 @@ from test_embed import cells_of, long_of
 
 from strandloom.operators import aggregate as ag
 from strandloom.operators import cohort as co
+from strandloom.operators import cis_sampling as cs
 from strandloom.operators import inference as nf
 from strandloom.operators import labels as lb
 from strandloom.operators import matrix as mt
+from strandloom.operators import regression as rg
 from strandloom.operators import runs as rn
 from strandloom.operators import skeleton as sk
 
@@ -56,25 +58,44 @@ def test_overlapping_features_are_an_error(spark):
         sk.skeleton_corr([m, m], spark.createDataFrame([("f000", "f001")], "source string, target string"), m.select("cell").distinct())
 
 
-def test_lasso_meets_its_optimality_conditions(spark):
+def test_coordinate_descent_meets_its_optimality_conditions():
     rng = np.random.default_rng(3)
     x, alpha = rng.normal(size=(80, 6)), 0.1
+    x[:, 5] = x[:, 4]
     y = x @ np.array([1, 0, -2, 0, 0, 0.5]) + rng.normal(size=80) * 0.1
-    w = sk._fit(x, y, "Lasso", alpha, 0.5, 10_000, 1e-12)
-    xc, yc = x - x.mean(axis=0), y - y.mean()
-    g = xc.T @ (yc - xc @ w) / 80
+    w = rg.descend(x.T @ x / 80, x.T @ y / 80, alpha, 0.0, np.zeros(6), 10_000, 1e-10)
+    g = x.T @ (y - x @ w) / 80
     assert np.all(np.abs(g) <= alpha + 1e-8) and np.allclose(g[w != 0], alpha * np.sign(w[w != 0]))
+    with pytest.raises(ArithmeticError):
+        rg.descend(x.T @ x / 80, x.T @ y / 80, alpha, 0.0, np.zeros(6), 1, 1e-14)
 
 
-def test_hub_regression_equals_single_task_fit(spark):
+@pytest.mark.parametrize("model", ["Lasso", "ElasticNet", "Ridge", "LinearRegression"])
+def test_regression_of_hub_and_small_targets(spark, model):
+    """Blocks of two predecessors: several rounds of the active set, K in parts; more predecessors than metacells."""
     rng = np.random.default_rng(11)
-    x = np.round(rng.random((40, 6)) * 50)
-    x[:, 5] = np.round(x[:, 0] * 0.5 + x[:, 1] + rng.random(40) * 5)
+    x = np.round(rng.random((24, 40)) * 50)
+    x[:, 39] = np.round(x[:, 0] * 0.5 + x[:, 1] + 2 * x[:, 2] + rng.random(24) * 5)
     m, c = long_of(spark, x), cells_of(spark, x).select("cell")
-    edges = spark.createDataFrame([(f"f{i:03d}", "f005") for i in range(5)] + [("f999", "f005"), ("f001", "f000")], "source string, target string")
-    one = rows(sk.skeleton_regr([m], edges, c, "Lasso", alpha=0.01))
-    hub = rows(sk.skeleton_regr([m], edges, c, "Lasso", alpha=0.01, task_values=100, max_iter=30, tol=1e-6))
-    assert [r[:2] for r in one] == [r[:2] for r in hub] and np.allclose([r[2] for r in one], [r[2] for r in hub], atol=2e-3)
+    edges = [(f"f{i:03d}", "f039") for i in range(39)] + [("f999", "f039"), ("f001", "f000"), ("f002", "f000"), ("f003", "f998")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    got = {(s, t): r for s, t, r in rows(sk.skeleton_regr([m], df, c, model, alpha=0.02, block=2), "source", "target", "regr")}
+    assert set(got) == set(edges)
+    z = np.log1p(x * np.median(x.sum(axis=1)) / x.sum(axis=1, keepdims=True))
+    z = np.column_stack([z - z.mean(axis=0), np.zeros(24)])
+    at = lambda f: min(int(f[1:]), 40)
+    for target in ("f039", "f000", "f998"):
+        names = [s for s, t in edges if t == target]
+        a, y, w = z[:, [at(s) for s in names]], z[:, at(target)], np.array([got[s, target] for s in names])
+        if model == "LinearRegression":
+            assert np.allclose(w, np.linalg.pinv(a) @ y, atol=1e-6)
+        elif model == "Ridge":
+            assert np.allclose(w, np.linalg.solve(a.T @ a + 0.02 * np.eye(len(names)), a.T @ y))
+        else:
+            l1, l2 = (0.02, 0.0) if model == "Lasso" else (0.01, 0.01)
+            g = a.T @ (y - a @ w) / 24 - l2 * w
+            assert np.all(np.abs(g) <= l1 + 1e-7) and np.allclose(g[w != 0], l1 * np.sign(w[w != 0]), atol=1e-7)
+            assert target != "f039" or 2 < (w != 0).sum() < 24
 
 
 def test_feature_r2_of_several_layers(spark):
@@ -146,6 +167,42 @@ def test_cis_ranking(spark):
     assert e.where("enrich < 0 OR enrich > 40").count() == 0
 
 
+@pytest.mark.parametrize("cells", [16_000_000, 500])
+def test_cis_samples_in_blocks(spark, monkeypatch, cells):
+    """Against sampling by hand; small limits cut slices, draws and ranges of samples."""
+    import hashlib
+
+    monkeypatch.setattr(cs, "TABLE_CELLS", cells)
+    if cells == 500:
+        for name, value in (("TASK_DRAWS", 300), ("TERMS_AT_ONCE", 90)):
+            monkeypatch.setattr(cs, name, value)
+    rng, n = np.random.default_rng(4), 60
+    g2r = [(f"g{a}", f"r{b}") for a, b in zip(rng.integers(0, 9, 120), rng.integers(0, 40, 120))] + [("g0", f"r{b}") for b in range(40)]
+    r2t = [(f"r{a}", f"t{b}") for a, b in zip(rng.integers(0, 40, 150), rng.integers(0, 6, 150))]
+    lens = {f"r{i}": i % 3 for i in range(45)}
+    frame = lambda x, c: spark.createDataFrame(x, c)
+    got = nf.cis_regulatory_enrichment(frame(g2r, "source string, target string"), frame(r2t, "source string, target string"), frame(list(lens.items()), "region string, length long"), n, seed=7)
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    bins = {b: sorted((r for r in lens if lens[r] == b), key=lambda r: (int(md5(f"7|{r}")[:15], 16), r)) for b in range(3)}
+    tfs = {}
+    for r, t in r2t:
+        tfs.setdefault(r, []).append(t)
+    above, observed = {}, {}
+    for g, r in g2r:
+        for t in tfs.get(r, []):
+            observed[g, t] = observed.get((g, t), 0) + 1
+    for k in range(n):
+        paths = {}
+        for g, r in g2r:
+            s = [int(md5(f"8|{g}|{r}")[8 * i:8 * i + 8], 16) % cs.P for i in range(4)]
+            u = (s[0] + s[1] * k + s[2] * k * k + s[3] * k ** 3) % cs.P
+            for t in tfs.get(bins[lens[r]][u * len(bins[lens[r]]) // cs.P], []):
+                paths[g, t] = paths.get((g, t), 0) + 1
+        for pair, o in observed.items():
+            above[pair] = above.get(pair, 0) + (paths.get(pair, 0) > o)
+    assert rows(got, "gene", "tf", "observed", "enrich") == sorted((g, t, float(o), float(n - above[g, t])) for (g, t), o in observed.items())
+
+
 def test_fisher(spark):
     assert abs(nf._fisher_two_sided(3, 1, 1, 3) - 0.48571428571) < 1e-9
     assert abs(nf._fisher_two_sided(8, 2, 1, 5) - 0.03496503496) < 1e-9
