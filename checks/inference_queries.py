@@ -308,6 +308,19 @@ def _(spark, sf):
     return rounded(nf.roc(load(spark, sf, "ls"), "label", "score", max_points=10**9))
 
 
+THINNED = """, p AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS cnt FROM c), th AS (SELECT * FROM p WHERE cnt <= 100 OR r = 1 OR floor((r - 2) * 100 / cnt) <> floor((r - 1) * 100 / cnt))"""
+
+
+@query("inf11_roc_thinned", f"WITH {CURVE}{THINNED} SELECT round(cn / tn, 6) AS fpr, round(cp / tp, 6) AS tpr, score AS threshold FROM th")
+def _(spark, sf):
+    return rounded(nf.roc(load(spark, sf, "ls"), "label", "score", max_points=100))
+
+
+@query("inf12_prc_thinned", f"WITH {CURVE}{THINNED} SELECT round(cp / tp, 6) AS recall, round(cp / (cp + cn), 6) AS precision, score AS threshold FROM th")
+def _(spark, sf):
+    return rounded(nf.prc(load(spark, sf, "ls"), "label", "score", max_points=100))
+
+
 @query("inf12_average_precision", f"WITH {CURVE} SELECT round(sum(p * cp / (cp + cn)) / max(tp), 6) AS average_precision FROM c")
 def _(spark, sf):
     return rounded(nf.average_precision(load(spark, sf, "ls"), "label", "score"))
@@ -325,9 +338,13 @@ def _(spark, sf):
     return _fisher(spark, sf).drop("pval")
 
 
-@query("inf13_fisher_edges")
+@query("inf13_fisher_edges", """WITH a AS (SELECT DISTINCT source, target FROM ed WHERE sign = -1), b AS (SELECT DISTINCT source, target FROM ed WHERE type = 'O'), j AS (SELECT a.source AS x, b.source AS y FROM a FULL JOIN b ON a.source = b.source AND a.target = b.target),
+    t AS (SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS k, count(*) FILTER (WHERE x IS NOT NULL) AS r, count(*) FILTER (WHERE y IS NOT NULL) AS c, (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) AS n FROM j),
+    l AS (SELECT *, lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(c - i + 1) - lgamma(n - r - c + i + 1) - lgamma(n + 1) + lgamma(c + 1) + lgamma(n - c + 1) AS lp
+        FROM (SELECT *, unnest(range(greatest(0, r + c - n), least(r, c) + 1)) AS i FROM t))
+    SELECT k AS "both", r - k AS only_a, c - k AS only_b, n - r - c + k AS neither, round(least(1, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)), 6) AS pval FROM (SELECT *, max(lp) FILTER (WHERE i = k) OVER () AS own FROM l) GROUP BY k, r, c, n""")
 def _(spark, sf):
-    return _fisher(spark, sf)
+    return rounded(_fisher(spark, sf))
 
 
 def _fisher(spark, sf):

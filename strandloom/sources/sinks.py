@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.genome import rectify_bed
+from strandloom.functions.runtime import cut_lineage, scratch_path
 
 
 def write_bed(df: DataFrame, path: str, ncols: int | None = None) -> None:
@@ -42,29 +47,75 @@ def annotated_links(edges: DataFrame, bed1: DataFrame, bed2: DataFrame, score: s
     return _ends(named, bed1, bed2, ["score", "gene"]).where(F.col("chrom_x") == F.col("chrom_y"))
 
 
-def rank_table(ranks: DataFrame, version: int = 2) -> DataFrame:
-    """Wide TF x gene table of 16-bit ranks from (gene, tf, rank), rows and columns sorted.
+RANK_SUFFIX = ".genes_vs_tracks.rankings.feather"
+#: TFs of a part file; genes of a block.
+FILE_TFS, BLOCK_GENES = 64, 1024
+
+
+def write_rank_table(ranks: DataFrame, path: str, version: int = 2) -> None:
+    """Wide TF x gene table of ranks from (gene, tf, rank) as a folder of Parquet files, TFs and genes sorted by name.
+
+    Ranks are 16-bit whole numbers, or 32-bit ones in every column if one of them is above 32,767; fractions are cut off, absent ranks are null.
+    Version 1 has the key column ``features`` in front, version 2 ``tracks`` at the end and a fixed file suffix.
 
-    The gene list is the column list of the result, so it is what the driver has to know.
+    Two stages: each TF's ranks are packed per block of genes, and the task that writes a file of ``FILE_TFS`` TFs lays the blocks side by
+    side, next to the blocks of gene names, which every file gets. Neither the driver nor the plan knows the genes.
     """
     if version not in (1, 2):
         raise ValueError("unknown rank table version")
+    if version == 2 and not path.endswith(RANK_SUFFIX):
+        raise ValueError(f"file name must end with {RANK_SUFFIX}")
     key = "features" if version == 1 else "tracks"
-    genes = [r["gene"] for r in ranks.select("gene").distinct().orderBy("gene").collect()]
-    wide = ranks.groupBy(F.col("tf").alias(key)).agg(
-        *[F.max(F.when(F.col("gene") == g, F.col("rank"))).cast("short").alias(g) for g in genes])
-    return wide.select(key, *[f"`{g}`" for g in genes]) if version == 1 else wide.select(*[f"`{g}`" for g in genes], key)
+    given = cut_lineage(ranks.groupBy("gene", "tf").agg(F.max("rank").cast("long").alias("rank")))
+    shape = given.agg(F.max("rank").alias("top"), F.count_distinct("gene").alias("genes"), F.count_distinct("tf").alias("tfs")).first()
+    kind = pa.int32() if (shape["top"] or 0) > 32_767 else pa.int16()
+    n_blocks, n_files = -(-shape["genes"] // BLOCK_GENES) or 1, -(-shape["tfs"] // FILE_TFS) or 1
+    block = F.pmod(F.xxhash64("gene"), F.lit(n_blocks)).cast("int")
+    number = F.floor((F.row_number().over(Window.orderBy("tf")) - 1) / FILE_TFS).cast("int")  # over the TF names only
+    files = cut_lineage(given.select("tf").distinct().select("tf", number.alias("file")))
+    names = (given.select("gene").distinct().groupBy(block.alias("blk")).agg(F.collect_list("gene").alias("genes"))
+                  .select(F.explode(F.sequence(F.lit(0), F.lit(n_files - 1))).alias("file"), F.lit("").alias("tf"), F.lit(0).alias("tag"), "genes", F.lit(None).cast("array<bigint>").alias("ranks")))
+    packed = given.join(files, "tf").groupBy("file", "tf", block.alias("blk")).agg(F.collect_list(F.struct("gene", "rank")).alias("e"))
+    packed = packed.select("file", "tf", F.lit(1).alias("tag"), F.col("e.gene").alias("genes"), F.col("e.rank").alias("ranks"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        now, genes, rows, at = None, [], {}, {}
+
+        def flush() -> pa.RecordBatch:
+            tfs = sorted(rows)
+            stacked = np.stack([rows[t] for t in tfs])
+            cols = {g: pa.array(stacked[:, at[g]], kind, mask=stacked[:, at[g]] == np.iinfo(np.int64).min) for g in sorted(at)}
+            table = pa.table({key: pa.array(tfs), **cols} if version == 1 else {**cols, key: pa.array(tfs)})
+            with fs.open_output_stream(f"{root}/part-{now:05d}.parquet") as out:  # the same name and content whichever attempt writes it
+                pq.write_table(table, out)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(tfs)], pa.int64())], names=["file", "n"])
+
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for file, tf, tag, some, ranked in zip(*(b.column(c).to_pylist() for c in ("file", "tf", "tag", "genes", "ranks"))):
+                if file != now:
+                    if now is not None:
+                        yield flush()
+                    now, genes, rows, at = file, [], {}, {}
+                if tag == 0:
+                    genes += some
+                    continue
+                at = at or {g: i for i, g in enumerate(genes)}
+                row = rows.setdefault(tf, np.full(len(genes), np.iinfo(np.int64).min))
+                row[[at[g] for g in some]] = ranked
+        if now is not None:
+            yield flush()
+
+    rows = names.unionByName(packed).repartition(min(n_files, 200), "file").sortWithinPartitions("file", "tag", "tf")
+    rows.mapInArrow(write, "file int, n long").agg(F.sum("n")).collect()
 
 
-RANK_SUFFIX = ".genes_vs_tracks.rankings.feather"
-
-
-def write_rank_table(ranks: DataFrame, path: str, version: int = 2) -> None:
-    """Rank table as Parquet; version 2 names must carry the expected suffix."""
-    if version == 2 and not path.endswith(RANK_SUFFIX):
-        raise ValueError(f"file name must end with {RANK_SUFFIX}")
-    wide = rank_table(ranks, version)
-    wide.sort(wide.columns[0] if version == 1 else wide.columns[-1]).write.parquet(path)
+def rank_table(ranks: DataFrame, version: int = 2) -> DataFrame:
+    """The table of :func:`write_rank_table`, written to the shared folder and read back."""
+    path = scratch_path(ranks.sparkSession, "ranks") + (RANK_SUFFIX if version == 2 else "")
+    write_rank_table(ranks, path, version)
+    return load(ranks.sparkSession, path)
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
