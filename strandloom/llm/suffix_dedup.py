@@ -140,17 +140,17 @@ class Phrases:
     phrase: np.ndarray
 
 
-def parse(data: np.ndarray, ends: np.ndarray, length: int, window: int) -> Phrases:
+def parse(data: np.ndarray, ends: np.ndarray, length: int, window: int, chunk: int = CHUNK_BYTES) -> Phrases:
     """Phrases of documents that lie one after the other in ``data`` and end at ``ends``; texts beyond a chunk are parsed in overlapping pieces."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     found: list[tuple] = []
     at = 0
     while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, "right")))
         first, last = int(starts[at]), int(ends[to - 1])
         if to == at + 1:
-            for p in range(first, max(last - length + 1, first), CHUNK_BYTES):
-                size = min(last, p + CHUNK_BYTES + length - 1) - p
+            for p in range(first, max(last - length + 1, first), chunk):
+                size = min(last, p + chunk + length - 1) - p
                 a, *rest = _parse_chunk(data[p:p + size], np.array([0]), np.array([size]), length, window)
                 found.append((np.full(len(a), at), a + p, *rest))
         else:
@@ -225,13 +225,13 @@ class Batch:
         if "row" in part.schema.names:
             self.rows.append(part.column("row"))
 
-    def load(self, length: int, window: int) -> Batch:
+    def load(self, length: int, window: int, chunk: int) -> Batch:
         self.of = np.concatenate(self._of) if self._of else np.zeros(0, np.int64)
         self.data = np.concatenate(self._data) if self._data else np.zeros(0, np.uint8)
         self.sizes = np.concatenate(self._sizes) if self._sizes else np.zeros(0, np.int64)
         self.ids = np.concatenate(self._ids) if self._ids else np.zeros(0, np.int64)
         self._data = []
-        self.found = parse(self.data, np.cumsum(self.sizes), length, window)
+        self.found = parse(self.data, np.cumsum(self.sizes), length, window, chunk)
         self.id_of = self.ids[self.found.doc]
         self.begins = np.flatnonzero(np.append(True, self.found.trigger[1:] != self.found.trigger[:-1])[:len(self.found.trigger)])
         return self
@@ -249,16 +249,16 @@ def _each(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int,
                 last = value[lo]
 
 
-def _document_batches(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[Batch]:
+def _document_batches(batches: Iterator[pa.RecordBatch], *sizes: int) -> Iterator[Batch]:
     now: Batch | None = None
     for number, part, new in _each(batches, "batch"):
         if new:
             if now is not None:
-                yield now.load(length, window)
+                yield now.load(*sizes)
             now = Batch(number)
         now.add(part)
     if now is not None:
-        yield now.load(length, window)
+        yield now.load(*sizes)
 
 
 REQUEST = "bucket long, batch long, base int, n int, body binary"
@@ -301,7 +301,7 @@ def _answers(rows: list[dict], owner: np.ndarray, tag: int, *columns: np.ndarray
     return [(rows[int(owner[order[lo]])]["batch"], tag, b"".join(c[order[lo:hi]].tobytes() for c in columns)) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
-def meet_triggers(rows: list[dict]) -> list[tuple]:
+def meet_triggers(rows: list[dict], hot: int) -> list[tuple]:
     """Per entry whose trigger others have, too: smallest id of its only phrase, or that its suffixes must be sorted."""
     cut = [np.frombuffer(r["body"], np.uint8).reshape(3, -1) for r in rows]
     trigger, entry, first = (np.concatenate([_unpacked(c[i], t) for c in cut]) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
@@ -317,7 +317,7 @@ def meet_triggers(rows: list[dict]) -> list[tuple]:
     entry, first = entry[order], first[order]
     low, high, least = np.minimum.reduceat(entry, begins), np.maximum.reduceat(entry, begins), np.minimum.reduceat(first, begins)
     load = np.add.reduceat(np.where(entry & SINGLE, np.uint64(1), entry), begins)
-    state = np.where((low == high) & (low & SINGLE != 0), 0, np.where(load > HOT_PHRASES, HOT, AMBIGUOUS)).astype(np.uint8)
+    state = np.where((low == high) & (low & SINGLE != 0), 0, np.where(load > hot, HOT, AMBIGUOUS)).astype(np.uint8)
     state, least = np.repeat(state, size), np.repeat(least, size)
     tell = (state > 0) | (least < first)
     return _answers(rows, owner[order][tell], 0, index[order][tell], state[tell], least[tell])
@@ -488,7 +488,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     require(docs, "doc_id", text_col)
     if not 0 <= length - window < 32 or window < 1:
         raise ValueError("the window must be shorter than the match, by less than 32 bytes")
-    spark = docs.sparkSession
+    spark, chunk, hot = docs.sparkSession, CHUNK_BYTES, HOT_PHRASES
     text = whole(F.col(f"`{text_col}`"))
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n_batches, n_buckets = -(-total // BATCH_BYTES) or 1, -(-2 * total // ((length - window + 2) * BUCKET_ENTRIES)) or 1
@@ -506,7 +506,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     def exchange(rows: DataFrame, ask: Callable[[Batch], pa.RecordBatch], meet: Callable[[list[dict]], list[tuple]]) -> DataFrame:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _document_batches(batches, length, window):
+            for b in _document_batches(batches, length, window, chunk):
                 yield ask(b)
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,12 +523,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         with _shuffles_dropped(spark):
             return cut_lineage(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWER))
 
-    triggers = exchange(sorted_batches(bare), lambda b: ask_triggers(b, n_buckets), meet_triggers)
+    triggers = exchange(sorted_batches(bare), lambda b: ask_triggers(b, n_buckets), lambda rows: meet_triggers(rows, hot))
     suffixes = exchange(sorted_batches(bare, triggers), lambda b: ask_suffixes(b, n_buckets, length), lambda rows: sort_suffixes(rows, length))
     out = f"row {dealt.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _document_batches(batches, length, window):
+        for b in _document_batches(batches, length, window, chunk):
             if b.n:
                 yield _result(b, removed(b, n_buckets, length))
 
