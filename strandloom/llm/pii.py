@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from strandloom.functions.runtime import cut_lineage
 from strandloom.llm.text import joined, require, spans, tagged, whole
 
-#: The base kinds, in order. Possessive loops match what plain ones would, without recursion.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: The base kinds, in order. Possessive loops match what plain ones would, without recursion. A match begins where a run of
+#: its first characters does or where the last match ended: from any other place of the run it would go on alike, so the first of these is
+#: the leftmost, and a long run is walked once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of further candidates, which may overlap one another and the base spans.

@@ -5,6 +5,8 @@ A null text counts as an empty one everywhere. Words are ``[^\\x20\\x09-\\x0D]+`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,38 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a column mentioned in a lambda would be computed at each of its turns."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
+def _run(steps: Column) -> Column:
+    """struct<at, out>: length of a run of gaps and matches, and the places of its matches within it."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    return F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["out"], F.array(F.struct(
+        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match")))).alias("out")))
+
+
+#: Matches up to which one run is walked; appending copies what is there, so more are walked in as many runs as each has matches.
+ONE_RUN = 64
+
+
+def _placed(steps: Column) -> Column:
+    size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(steps) / size).cast("int") - 1), lambda i: _run(F.slice(steps, i * size + 1, size)))
+
+    def joined_runs(runs: Column) -> Column:
+        begins = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                             lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(runs, begins, lambda r, at: F.transform(r["out"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["match"].alias("match")))))
+
+    return F.when(F.size(steps) <= ONE_RUN, _run(steps)["out"]).otherwise(let(parts, joined_runs))
+
+
 def spans(text: Column, pattern: str, sure: Column | None = None) -> Column:
     """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -49,10 +80,7 @@ def spans(text: Column, pattern: str, sure: Column | None = None) -> Column:
     """
     found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
                        lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("match")))
-    steps = F.filter(found, lambda s: s["match"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    taken = F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["out"], F.array(F.struct(
-        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match")))).alias("out")), lambda a: a["out"])
+    taken = let(F.filter(found, lambda s: s["match"].isNotNull()), _placed)
     test = F.regexp_like(text, F.lit(pattern))
     return F.when(test if sure is None else sure & test, taken).otherwise(F.array().cast(SPANS))
 

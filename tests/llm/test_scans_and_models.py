@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import pandas as pd
@@ -129,3 +130,40 @@ def test_registered():
 
     names = set(queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@pytest.mark.parametrize("piece, pattern", [("10.20.30.40 ", "IP"), ("ab.c@de.fg ", "EMAIL")])
+def test_long_texts_full_of_matches(spark, piece, pattern):
+    """Close to a megabyte of matches: as many spans as pieces, the last one at its place, in about linear time."""
+    from strandloom.llm import pii
+    from strandloom.llm.text import spans
+
+    n = (1 << 20) // len(piece)
+    df = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+    start = time.time()
+    row = df.select(spans(df["text"], getattr(pii, pattern)).alias("s")).selectExpr("size(s) AS n", "s[size(s) - 1].start AS a", "s[size(s) - 1].end AS b", "s[100].start AS c").first()
+    assert tuple(row) == (n, (n - 1) * len(piece), n * len(piece) - 1, 100 * len(piece)) and time.time() - start < 60
+
+
+@pytest.mark.parametrize("text", ["x@ " + "a" * (1 << 20), "7" * (1 << 20), "a" * (1 << 20) + "@b.c"])
+def test_long_runs_without_breaks(spark, text):
+    from strandloom.llm import pii
+    from strandloom.llm.text import spans
+
+    start = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = df.select(spans(df["text"], pii.EMAIL).alias("e"), spans(df["text"], pii.IP).alias("i")).selectExpr("size(e)", "size(i)").first()
+    assert tuple(row) == (int(text.endswith("@b.c")), 0) and time.time() - start < 30
+
+
+def test_matches_that_touch(spark):
+    """Matches that begin where the last one ended, and starts within a run."""
+    from strandloom.llm.pii import pii_digest
+
+    texts = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "1.2.3x4.5.6.7", "x@y z@w.v", "a@b.c@d.e", "%a@b.cc-dd@e.f", "999.1.2.3 1.2.3.4", "..@a.b", "é@a.b 1.1.1.1é"]
+    got = pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        t = texts[r["doc_id"]]
+        mails = len(list(re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)))
+        ips = [m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+        assert (r["n_email"], r["n_ip"]) == (mails, len(ips)), t
