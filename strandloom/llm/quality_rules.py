@@ -107,9 +107,9 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5)
 def keep_good(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` for the documents that are kept, with the failing lines gone from their texts."""
     cols = docs.columns
+    others = [c for c in cols if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
     # a row number that the filter reads keeps it above the measures; below, each would be computed once per mention
-    df = clean_lines(docs).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0").withColumn("text", F.col("cleaned"))
-    if "n_chars" in cols:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*cols)
-
+    df = clean_lines(docs.select(row.alias("row"), "text")).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0")
+    made = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return df.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in cols])

@@ -68,12 +68,20 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
 lw AS (SELECT doc_id, l, k, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws FROM ln),
+lo AS (SELECT *, lower(l) AS low, trim(lower(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ends,
+    trim(lower(l), '| ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_ FROM lw),
+ls AS (SELECT *, regexp_matches(low, '^\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)(\s*[|/>,·-]?\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us))*\s*$') AS menu,
+    regexp_matches(inner_, '^\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)(\s*[|/>,·-]?\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us))*\s*$') AS inner_menu,
+    list_sum(list_transform(list_transform(string_split_regex(low, '[|>»]'), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), lambda n: CASE WHEN n <= 30 THEN n ELSE -n END)) AS balance,
+    length(low) - length(regexp_replace(low, 'all rights reserved|privacy policy|terms of (use|service)|cookie(s)? (policy|settings|consent)|accept (all )?cookies|enable javascript|subscribe to our|click here|lorem ipsum', '', 'g')) AS covered,
+    length(array_to_string(regexp_extract_all(low, '[^\x20\x09-\x0D]+'), ' ')) AS solid FROM lo),
 lr AS (SELECT doc_id, l, k, len(ws) AS n,
     len(ws) > 0 AND (regexp_matches(l, '^[^0-9A-Za-z\x{80}-\x{10FFFF}]+$')
       OR len(list_filter(ws, lambda x: regexp_matches(x, '[!?#*$%&<>~^=_]{2,}$'))) > len(ws) * 0.3
-      OR regexp_matches(lower(l), '([|>»][^|>»]*){3,}|^\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us)(\s*[|/>,·-]?\s*(home|menu|log ?in|sign ?up|next|previous|back|search|contact|about us))*\s*$')
-      OR regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of (use|service)|cookie(s)? (policy|settings|consent)|accept (all )?cookies|enable javascript|subscribe to our|click here|lorem ipsum')) AS bad
-    FROM lw),
+      OR menu OR (len(regexp_extract_all(low, '[|>»]')) >= 3 AND regexp_matches(low, '^[|>»\x20\x09-\x0D]*[^|>»\x20\x09-\x0D][^|>»]*[|>»]')
+        AND CASE WHEN starts_with(ends, '|') AND ends_with(ends, '|') THEN inner_menu ELSE balance >= 0 END)
+      OR (covered > 0 AND covered >= solid * 0.1)) AS bad
+    FROM ls),
 la AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup,
     coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (NOT bad), '') AS cleaned FROM lr GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
