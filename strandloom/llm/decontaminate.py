@@ -255,4 +255,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     bad = contamination(docs, benchmark).where("contaminated").select("_key").distinct()
-    return docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(bad, "_key", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("_key")).join(bad, "_key", "left_anti").select("row.*")

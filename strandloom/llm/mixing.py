@@ -73,16 +73,21 @@ def first_words(text: Column, n: Column) -> Column:
 def mixture(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: every row once per pass that takes it, the row on a cut ended there.
 
-    A row that is taken 0 times is absent (also every row without words). Rows that repeat id and text are
-    mixed as one key: each copy is taken as often as the first of them.
+    A row that is taken 0 times is absent (also every row without words). Rows of a source that repeat id and text share what the plan
+    takes of them: the first copies whole, one in part, so the source's budget is met; copies that differ in other columns go by a hash of these.
     """
     cols = docs.columns
-    plan = mix(docs, seed, weights, max_epochs).groupBy("_key").agg(F.max("size").alias("_size"), F.max("epochs").alias("_e"), F.max("taken").alias("_taken")).where("_taken > 0")
+    rest = F.sum(F.col("taken") - F.col("epochs") * F.col("size"))
+    plan = (mix(docs, seed, weights, max_epochs).groupBy("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"))
+            .agg(F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), rest.alias("_rest")).where((F.col("_epochs") * F.col("_size") > 0) | (F.col("_rest") > 0)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    df = docs.withColumn("_key", key).join(plan, "_key")
-    rest = F.col("_taken") - F.col("_e") * F.col("_size")
-    df = df.withColumn("_take", F.explode(F.concat(F.array_repeat(F.col("_size"), F.col("_e").cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
-    df = df.withColumn("text", F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*cols)
+    row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    other = F.xxhash64(*[F.col(f"`{c}`") for c in cols if c not in ("doc_id", "text", "source")] or [F.lit(0)])
+    df = docs.select(row.alias("row"), key.alias("_key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), other.alias("_other")).join(plan, ["_key", "_source"])
+    copy = F.row_number().over(Window.partitionBy("_key", "_source").orderBy("_other"))
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_rest") - (F.col("_copy") - 1) * F.col("_size")))
+    df = df.withColumn("_copy", copy).withColumn("_last", last)
+    passes = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")), F.when(F.col("_last") > 0, F.array("_last")).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("_take", F.explode(passes)).withColumn("_text", F.when(F.col("_take") < F.col("_size"), first_words(F.col("row.text"), F.col("_take"))).otherwise(F.col("row.text")))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return df.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in cols])

@@ -126,13 +126,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of rows that repeat that id, one stays; components without any id keep one row. All but these rare rows stream
     past the list of rows to drop.
     """
-    cols = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     found = cut_lineage(near_duplicates(docs))
     head = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("x"))
     kept = cut_lineage(head.select(F.col("x._key").alias("_key")).distinct())
     drop = found.join(kept, "_key", "left_anti").select("_key").distinct()
     twice = found.join(kept, "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(drop, "_key", "left_anti")
+    keyed = docs.select(row.alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("_key")).join(drop, "_key", "left_anti")
     once = keyed.join(twice, "_key", "left_anti")
     again = keyed.join(twice, "_key", "left_semi").dropDuplicates(["_key"])
-    return once.select(*cols).union(again.select(*cols))
+    return once.select("row.*").union(again.select("row.*"))

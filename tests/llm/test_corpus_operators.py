@@ -295,3 +295,57 @@ def test_sharding(spark, docs, empty, tmp_path):
     path = write_shards(docs, f"{tmp_path}/shards", 3)
     assert spark.read.parquet(path).count() == docs.count()
     assert shard(empty).count() == 0
+
+
+CLASHES = ["_t", "_w", "_l", "_s", "_k", "_no", "row", "_key", "_source", "_size", "_rest", "_epochs", "_copy", "_take", "_last", "_other", "_taken", "n_words", "lost", "kept", "cleaned", "base_failed", "fp", "size", "taken", "target"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns of any name come back as they were."""
+    from strandloom.llm.decontaminate import decontaminated
+    from strandloom.llm.mixing import mixture
+    from strandloom.llm.quality_rules import keep_good
+    from strandloom.llm.simhash import deduplicated
+
+    texts = [(k, prose(k, 40 + k), "xy"[k % 2]) for k in range(1, 7)]
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(d, t, s, len(t), *[f"{c}-{d}" for c in CLASHES]) for d, t, s in texts], f"doc_id long, text string, source string, n_chars long, {names}")
+    item = spark.createDataFrame([("i1", prose(3, 43))], "item_id string, text string")
+    for out in (keep_good(df), deduplicated(df), decontaminated(df, item), mixture(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in CLASHES)
+
+
+def test_mixture_meets_its_budgets_with_repeated_rows(spark):
+    from strandloom.llm.mixing import mixture
+
+    rows = [(1, prose(1, 10), s, str(i % 3)) for s in "xy" for i in range(100)] + [(k, prose(k, 7), "z", "0") for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    taken = Counter()
+    for r in mixture(df).collect():
+        taken[r["source"]] += len(re.findall(WS, r["text"]))
+    total, sizes = 2000 + 38 * 7, {"x": 1000, "y": 1000, "z": 266}
+    weights = {"x": 5.0, "y": 2.0, "z": 1.0}
+    goal = {s: total * weights[s] / 8 for s in sizes}
+    assert all(abs(taken[s] - min(goal[s], 3 * sizes[s])) < 1.01 for s in sizes), (taken, goal)
+    again = Counter(tuple(r) for r in mixture(df.repartition(7)).collect())
+    assert again == Counter(tuple(r) for r in mixture(df).collect())
+
+
+def test_quality_twin_follows_the_line_rules(spark, tmp_path):
+    """Lines on which the rule goes by shares, in the SQL twin as in the operator."""
+    import duckdb
+
+    from strandloom.llm.queries import OP5_SQL
+    from strandloom.llm.quality_rules import clean_lines
+
+    lines = ["home | about us | contact | search", "| cell one | cell two | cell three |", "| home | menu | search |", "> quoted reply with > more > marks", "a > b > c > d", "click here",
+             prose(3, 80) + " click here " + prose(4, 60), "privacy policy and terms of use", prose(5, 40) + " | x > y | " + prose(6, 60), "word >>> !!! ###", "next previous back", "»»» ---", "all is well. all is well."]
+    df = spark.createDataFrame([(k, "\n".join([prose(100 + k, 12)] * (k % 2) + [x] * n + [prose(200 + k, 25)])) for k, (x, n) in enumerate((x, n) for x in lines for n in (1, 3))], "doc_id long, text string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(OP5_SQL).fetchall()
+    got = clean_lines(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
