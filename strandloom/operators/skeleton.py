@@ -34,7 +34,7 @@ def _stack(ms: Sequence[DataFrame]) -> DataFrame:
 def skeleton_corr(ms: Sequence[DataFrame], skeleton: DataFrame, cells: DataFrame, method: str = "spr",
                   prep_fns: Sequence[Callable[[DataFrame], DataFrame] | None] | None = None) -> DataFrame:
     """Skeleton EDGES with ``corr``: Pearson or Spearman over ``cells``, missing entries are zeros,
-    stored NaN are left out. Biased deviations; a constant feature gives null.
+    stored NaN are left out. Biased deviations; a constant feature, or one that is NaN throughout, gives null.
 
     Only features on the skeleton are read. The zero level of every feature is split off, so each
     edge joins stored entries only.
@@ -78,10 +78,10 @@ def skeleton_corr(ms: Sequence[DataFrame], skeleton: DataFrame, cells: DataFrame
     # joint count and sums of the shifted values over cells valid on both sides
     e = e.withColumn("total", n).withColumns({
         "nj": F.col("total") - F.col("nans_s") - F.col("nans_t") + F.col("nn"), "sx": F.col("s_s") - F.col("xn"), "sy": F.col("s_t") - F.col("yn")})
-    joint = F.expr("(xy + base_s * sy + base_t * sx) / nj + base_s * base_t")
-    mean_s, mean_t = F.expr("s_s / n_s + base_s"), F.expr("s_t / n_t + base_t")
-    var_s, var_t = F.expr("q_s / n_s - (s_s / n_s) * (s_s / n_s)"), F.expr("q_t / n_t - (s_t / n_t) * (s_t / n_t)")
-    varies = (var_s > 1e-12 * F.greatest(F.expr("q_s / n_s"), F.lit(1e-300))) & (var_t > 1e-12 * F.greatest(F.expr("q_t / n_t"), F.lit(1e-300)))
+    joint = F.expr("(xy + base_s * sy + base_t * sx) / nullif(nj, 0) + base_s * base_t")
+    mean_s, mean_t = F.expr("s_s / nullif(n_s, 0) + base_s"), F.expr("s_t / nullif(n_t, 0) + base_t")
+    var_s, var_t = F.expr("q_s / nullif(n_s, 0) - (s_s / nullif(n_s, 0)) * (s_s / nullif(n_s, 0))"), F.expr("q_t / nullif(n_t, 0) - (s_t / nullif(n_t, 0)) * (s_t / nullif(n_t, 0))")
+    varies = (var_s > 1e-12 * F.greatest(F.expr("q_s / nullif(n_s, 0)"), F.lit(1e-300))) & (var_t > 1e-12 * F.greatest(F.expr("q_t / nullif(n_t, 0)"), F.lit(1e-300)))
     corr = F.when(varies, (joint - mean_s * mean_t) / F.sqrt(var_s * var_t))
     return skeleton.join(e.select("source", "target", corr.alias("corr")), ["source", "target"], "left")
 

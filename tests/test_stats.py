@@ -11,9 +11,11 @@ from strandloom.operators import cis_sampling as cs
 from strandloom.operators import inference as nf
 from strandloom.operators import labels as lb
 from strandloom.operators import matrix as mt
+from strandloom.operators import metrics as me
 from strandloom.operators import regression as rg
 from strandloom.operators import runs as rn
 from strandloom.operators import skeleton as sk
+from strandloom.sources import sinks
 
 
 def test_self_correlation_is_one(spark):
@@ -267,3 +269,69 @@ def test_run_summaries(spark):
     s = {(d, k): (m, sd, n) for d, k, m, sd, n in rows(rn.summarise_runs(r, ["dataset", "method"], ["m"]))}
     assert s["e", "b"] == (5.0, None, 1) and s["d", "a"][0] == 2.0
     assert rows(rn.complete_grid(r, ("dataset", "method")).where("annotation IS NOT NULL"), "dataset", "method") == [("d", "b"), ("e", "a")]
+
+
+def test_rank_table_by_blocks(spark, tmp_path, monkeypatch):
+    """More TFs than a file and more genes than a block hold; absent ranks, fractions and ranks above 16 bits."""
+    monkeypatch.setattr(sinks, "FILE_TFS", 4)
+    monkeypatch.setattr(sinks, "BLOCK_GENES", 7)
+    pairs = [(f"g{g:03d}", f"t{t:02d}", float(g * 10 + t) + 0.5) for g in range(40) for t in range(11) if (g + t) % 9]
+    for version, high in ((2, 0.0), (1, 40_000.0)):
+        ranks = spark.createDataFrame([*pairs, ("g000", "t01", 1.0 + high)], "gene string, tf string, rank double").repartition(5)
+        path = str(tmp_path / f"v{version}") + sinks.RANK_SUFFIX
+        sinks.write_rank_table(ranks, path, version)
+        got = spark.read.parquet(path)
+        key = "tracks" if version == 2 else "features"
+        names = [f"g{g:03d}" for g in range(40)]
+        assert got.columns == ([*names, key] if version == 2 else [key, *names])
+        assert dict(got.dtypes)["g005"] == ("smallint" if version == 2 else "int")
+        want = {(g, t): int(r) for g, t, r in pairs} | {("g000", "t01"): int(1 + high)}
+        found = got.toPandas().set_index(key)
+        assert sorted(found.index) == [f"t{t:02d}" for t in range(11)]
+        assert all((pd.isna(found.at[t, g]) and (g, t) not in want) or found.at[t, g] == want[g, t] for g in names for t in found.index)
+    with pytest.raises(ValueError):
+        sinks.write_rank_table(ranks, str(tmp_path / "x"), 2)
+    with pytest.raises(ValueError):
+        sinks.write_rank_table(ranks, str(tmp_path / "x"), 3)
+
+
+def test_correlation_of_a_feature_without_numbers(spark):
+    m = spark.createDataFrame([(f"c{i}", f, float("nan") if f == "a" else float(i * (3 if f == "b" else i))) for i in range(6) for f in "abd"], "cell string, feature string, value double")
+    e = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "a")], "source string, target string")
+    for method in ("pcc", "spr"):
+        got = {(s, t): c for s, t, c in rows(sk.skeleton_corr([m], e, m.select("cell").distinct(), method), "source", "target", "corr")}
+        assert got["a", "b"] is None and got["a", "a"] is None and got["b", "d"] > 0.9
+
+
+def test_silhouettes_with_columns_of_any_name(spark):
+    x = np.random.default_rng(2).normal(size=(30, 3))
+    c = cells_of(spark, x, label=[str(i % 2) for i in range(30)], n=[str(i % 3) for i in range(30)])
+    assert 0 <= me.avg_silhouette_width_batch(c, "n", "label").first()[0] <= 1
+    assert 0 <= me.avg_silhouette_width_batch(c, "label", "n").first()[0] <= 1
+    assert 0 <= me.avg_silhouette_width(c, "label").first()[0] <= 1
+
+
+def test_fisher_tails_against_all_terms():
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    for a, b, c, d in rng.integers(0, 40, (200, 4)).tolist():
+        row, col, n = a + b, a + c, a + b + c + d
+        p = {k: comb(row, k) * comb(n - row, col - k) / comb(n, col) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        assert abs(nf._fisher_two_sided(a, b, c, d) - min(1.0, sum(x for x in p.values() if x <= p[a] * (1 + 1e-7)))) < 1e-9
+    assert nf._fisher_two_sided(3_000_000, 2_000_000, 2_000_000, 900_000_000) < 1e-300
+
+
+def test_loess_in_tiles(spark):
+    """Tiles of five points against one tile of all; a line is reproduced."""
+    from strandloom.functions.loess import loess
+
+    rng = np.random.default_rng(3)
+    xs = np.sort(rng.random(60)).tolist()
+    data = [("a", f"f{i}", x, float(np.sin(5 * x))) for i, x in enumerate(xs)] + [("b", f"f{i}", float(i), 2.0 * i + 1) for i in range(12)] + [("c", "f0", 1.0, 3.0), ("c", "f1", 1.0, 5.0)]
+    df = spark.createDataFrame(data, "g string, feature string, x double, y double")
+    small, large = (rows(loess(df, "g", "x", "y", tile=t), "g", "feature", "fit") for t in (5, 4096))
+    assert len(small) == len(large) == 74 and np.allclose([r[2] for r in small], [r[2] for r in large])
+    fit = {(g, f): v for g, f, v in small}
+    assert all(abs(fit["b", f"f{i}"] - (2 * i + 1)) < 1e-6 for i in range(12)) and fit["c", "f0"] == 4.0
+    assert max(abs(fit["a", f"f{i}"] - np.sin(5 * x)) for i, x in enumerate(xs)) < 0.1
