@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.genome import BED_COLUMNS, GTF_COLUMNS, rectify_bed, rectify_gtf
-from strandloom.functions.runtime import scalar
+from strandloom.functions.runtime import cut_lineage, scalar
 
 
 def _tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -36,15 +36,34 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta_chunks(spark: SparkSession, path: str, chunk_size: int = 65536) -> DataFrame:
     """(chrom, chunk, seq): every sequence cut into pieces of one size.
 
-    Lines carry no name, so each line is numbered inside its record: a record is one text row.
+    The scan is split like that of any text, so a chromosome is read by many tasks. Within a split, running sums give each line its place
+    behind the last name line; what lies before a split's first name line continues the record of the splits before it, whose lengths are added
+    up over the small table of splits. Lines before the first name are left out, blanks inside lines removed; a record without letters has no piece.
     """
-    records = spark.read.text(path, lineSep=">").where(F.length("value") > 0)
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    cut = records.select(name.alias("chrom"), body.alias("_body")).where(F.length("_body") > 0)
-    pieces = F.sequence(F.lit(0), F.floor((F.length("_body") - 1) / chunk_size))
-    return cut.select("chrom", "_body", F.explode(pieces).alias("chunk")).select(
-        "chrom", "chunk", F.substring("_body", (F.col("chunk") * chunk_size + 1).cast("int"), F.lit(chunk_size)).alias("seq"))
+    where = ["file", "split"]
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                                       F.monotonically_increasing_id().alias("line"), "value")
+    named = F.startswith("value", F.lit(">"))
+    seq = F.when(named, F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))
+    lines = cut_lineage(raw.select(*where, "line", F.when(named, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), seq.alias("seq"), F.length(seq).cast("long").alias("n")))
+    upto = Window.partitionBy(*where).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("end", F.sum("n").over(upto))
+    placed = placed.withColumns({"begin": F.last(F.when(F.col("name").isNotNull(), F.col("end")), True).over(upto), "own": F.last("name", True).over(upto)})
+    last = F.max(F.when(F.col("name").isNotNull(), F.struct("line", "end", "name")))
+    splits = placed.groupBy(*where).agg(F.sum("n").alias("total"), last.alias("last"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # over splits, not lines
+    splits = splits.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).withColumn("at", F.col("base") + F.col("last.end"))
+    splits = splits.select(*where, "base", F.last("at", True).over(before).alias("from_at"), F.last("last.name", True).over(before).alias("from_name"))
+    whole = placed.where("n > 0").join(splits, where).select(
+        "file", F.coalesce(F.col("base") + F.col("begin"), "from_at").alias("record"), F.coalesce("own", "from_name").alias("chrom"), "seq", "n",
+        (F.col("base") + F.col("end") - F.col("n")).alias("at")).where(F.col("record").isNotNull()).withColumn("off", F.col("at") - F.col("record"))
+    size = F.lit(chunk_size).cast("long")
+    cut = whole.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("off") / size), F.floor((F.col("off") + F.col("n") - 1) / size))))
+    first, end = F.greatest(F.col("chunk") * size, "off"), F.least((F.col("chunk") + 1) * size, F.col("off") + F.col("n"))
+    part = F.substring("seq", (first - F.col("off") + 1).cast("int"), (end - first).cast("int"))
+    pieces = F.array_sort(F.collect_list(F.struct("off", part.alias("part"))))  # chunk_size letters in all
+    return (cut.groupBy("file", "record", "chrom", "chunk").agg(F.array_join(F.transform(pieces, lambda x: x["part"]), "").alias("seq"))
+               .select("chrom", "chunk", "seq"))
 
 
 def read_bedmap(spark: SparkSession, path: str, var_col: int = 3, obs_col: int = 6,

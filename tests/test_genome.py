@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -102,3 +103,26 @@ def test_make_unique_and_prefer(spark):
     assert rows(g.make_unique(df, "name", ["id"])) == [(1, "x"), (2, "x-1"), (3, "y"), (4, "x-2")]
     t = spark.createDataFrame([("k", "hg19", 1), ("k", "GRCh38", 2), ("k", "GRCh38", 3), ("j", "hg19", 4)], "t string, a string, i int")
     assert rows(g.prefer(t, "t", "a", ["GRCh38", "hg19"]), "i") == [(2,), (3,), (4,)]
+
+
+def test_fasta_is_read_in_splits(spark, tmp_path):
+    """Records over many splits, several in one, without letters, of one name, and in two files."""
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("ACGTN"), n))
+    records = [("chr1", letters(5000)), ("chr2", letters(37)), ("empty", ""), ("chr3", letters(1)), ("chr1", letters(800)), ("chr4", letters(64))]
+    fold = lambda name, seq: f">{name} some words\n" + "".join(seq[i:i + 60] + "\n" for i in range(0, len(seq), 60))
+    (tmp_path / "a.fa").write_text("; a remark\n" + "".join(fold(*r) for r in records[:4]))
+    (tmp_path / "b.fa").write_text("".join(fold(*r) for r in records[4:]).rstrip())
+    want = sorted((name, i, seq[i * 64:i * 64 + 64]) for name, seq in records for i in range(-(-len(seq) // 64)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("97", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = text.read_fasta_chunks(spark, str(tmp_path), 64)
+            assert sorted(tuple(r) for r in got.collect()) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
