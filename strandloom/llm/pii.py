@@ -6,11 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.runtime import cut_lineage
-from strandloom.llm.text import joined, require, spans, tagged, whole
+from strandloom.llm.pii_examples import examples, labelled
+from strandloom.llm.text import digits_of, joined, luhn_sum, require, spans, tagged, whole
 
 #: The base kinds, in order. Possessive loops match what plain ones would, without recursion. A match begins where a run of
 #: its first characters does or where the last match ended: from any other place of the run it would go on alike, so the first of these is
@@ -28,8 +28,11 @@ GENERATORS = {
     "long_number": r"(?<![0-9A-Za-z])[0-9]{9,16}(?![0-9A-Za-z])",
 }
 KINDS = ["email", "ip", "card", "phone", *GENERATORS]
-#: Words that announce personal data, looked for in the CONTEXT characters before a candidate.
-CUES = r"(?i)(phone|tel|call|mobile|fax|mail|contact|write to|card|visa|account|iban|bank|ssn|social|passport|id|ip|host|address)[^A-Za-z]*$"
+#: Words that announce personal data, and words that announce other numbers, looked for in the CONTEXT characters before a candidate.
+CUES = (r"(?i)(?<![a-z])(?:telephone|phone|tel|call|mobile|fax|e-?mail|contact|write\x20to|card|visa|account|iban|bank|ssn|social\x20security|passport|id|ip|host|address)s?"
+        r"(?:[^a-z]+(?:no|nr|num|number|is|us|me))?[^a-z]*$")
+COUNTERS = (r"(?i)(?<![a-z])(?:order|invoice|part|item|ref|reference|version|build|page|isbn|issn|doi|serial|sku|model|ticket|lot|batch|section|score)s?"
+            r"(?:[^a-z]+(?:no|nr|num|number|id|is))?[^a-z]*$")
 CONTEXT = 24
 #: Checks of the generators' candidates that need no cue; IBANs are checked by iban_fits, long numbers by luhn.
 NATIONAL_ID = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
@@ -37,21 +40,17 @@ NATIONAL_ID = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 PHONE_GROUPS = r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$|^(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4})\(?0[1-9][0-9]{0,3}\)?(?:[\x20./-][0-9]{2,5}){2,4}$"
 TLD = r"(?:com|org|net|edu|gov|info|biz|io|co|me|uk|ie|us|ca|mx|br|ar|au|nz|in|jp|cn|kr|za|ru|eu|de|at|ch|fr|be|nl|es|pt|it|se|no|dk|fi|pl)"
 SPELT = rf"(?i)[(\[]|\x20dot\x20{TLD}$"
+ENDING = rf"(?i)(?:\.|dot[)\]]?\x20?){TLD}$"
+DATE = r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})(?![0-9])"
 
-#: Features of a candidate, all small integers: kind, digits, length, separators, longest run of digits, distinct digits, whether a cue stands
-#: before it, whether a letter touches it, whether its kind's check fits, whether it overlaps a base span.
-FEATURES = ["kind", "digits", "length", "separators", "run", "variety", "cue", "touched", "check", "overlap"]
-
-
-def digits_of(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
+#: Features of a candidate, all small integers: kind, digits, length, separators, longest run of digits, distinct digits, whether the check of its
+#: kind fits, whether it ends as a spelt address, whether it begins as a date, whether a cue or a counter word stands before it.
+FEATURES = ["kind", "digits", "length", "separators", "run", "variety", "check", "ending", "date", "cue", "counter"]
 
 
 def luhn(digits: Column) -> Column:
     """Whether the check digit fits."""
-    back = F.split(F.reverse(digits), "(?!$)", -1)
-    value = lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise((d.cast("int") * 2) % 10 + F.floor(d.cast("int") * 2 / 10).cast("int"))
-    return F.aggregate(F.transform(back, value), F.lit(0), lambda a, x: a + x) % 10 == 0
+    return luhn_sum(digits) % 10 == 0
 
 
 def iban_fits(m: Column) -> Column:
@@ -79,42 +78,34 @@ def base_spans(text: Column) -> list[Column]:
             F.filter(spans(text, PHONE, F.contains(text, F.lit("+"))), lambda s: (size(s) >= 10) & (size(s) <= 15))]
 
 
-def candidate_rows(docs: DataFrame) -> DataFrame:
-    """docs' columns doc_id and _row with base (spans with order and kind) and options: candidates with their features."""
-    t = F.col("_t")
-    df = docs.withColumn("_t", whole(F.col("text")))
-    df = df.withColumn("base", F.concat(*[tagged(s, k, KINDS[k]) for k, s in enumerate(base_spans(t))]))
-    def ordered(k: int, pattern: str) -> Column:
-        return F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), s["match"].alias("match")))
+def candidates(text: Column) -> Column:
+    """array<struct<start, order, end, kind, x>>: candidates of all generators with their features (x), in time linear in the text."""
+    at = F.regexp_like(text, F.lit(r"[(\[\x20]at[)\]\x20]"))
 
-    found = F.concat(*[ordered(k + 4, p) for k, p in enumerate(GENERATORS.values())])
-    df = df.withColumn("_found", found)
+    def ordered(k: int, kind: str) -> Column:
+        found = spans(text, GENERATORS[kind], at if kind == "spelt_email" else None, CONTEXT)
+        return F.transform(found, lambda s: F.struct(F.lit(k).alias("order"), F.lit(kind).alias("kind"), s.alias("at")))
 
-    def measured(s: Column) -> Column:
+    def measured(c: Column) -> Column:
+        s, flag = c["at"], lambda p, of: F.regexp_like(of, F.lit(p)).cast("int")
         d = digits_of(s["match"])
-        before = F.substring(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        near = F.concat(F.when(s["start"] > 0, F.substring(t, s["start"], F.lit(1))).otherwise(F.lit("")), F.substring(t, s["end"] + 1, F.lit(1)))
         runs = F.array_max(F.transform(F.split(s["match"], "[^0-9]+", -1), lambda x: F.length(x)))
-        cue = F.regexp_like(before, F.lit(CUES))
-        check = check_fits(s["order"], s["match"])
-        valid = F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        bins = [s["order"], F.least(F.length(d), F.lit(20)), F.least(F.length(s["match"]), F.lit(40)), F.least(F.length(F.regexp_replace(s["match"], "[0-9A-Za-z]", "")), F.lit(10)),
+        bins = [c["order"], F.least(F.length(d), F.lit(20)), F.least(F.length(s["match"]), F.lit(40)), F.least(F.length(F.regexp_replace(s["match"], "[0-9A-Za-z]", "")), F.lit(10)),
                 F.least(F.coalesce(runs, F.lit(0)), F.lit(16)), F.when(d == "", F.lit(0)).otherwise(F.size(F.array_distinct(F.split(d, "(?!$)", -1)))),
-                cue.cast("int"), F.regexp_like(near, F.lit("[A-Za-z]")).cast("int"), check.cast("int"), valid.cast("int")]
-        spelt = (s["order"] == F.lit(KINDS.index("spelt_email"))) & F.regexp_like(s["match"], F.lit(rf"(?i)(?:\.|dot[)\]]?)\x20?{TLD}$"))
-        return F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["order"] + 1).alias("kind"),
-                        F.array(*bins).alias("x"), (valid | check).cast("int").alias("y"), (check | cue & ((F.length(d) >= 7) | spelt)).alias("sure"))
+                check_fits(c["order"], s["match"]).cast("int"), flag(ENDING, s["match"]), flag(DATE, s["match"]), flag(CUES, s["before"]), flag(COUNTERS, s["before"])]
+        return F.struct(s["start"].alias("start"), c["order"].alias("order"), s["end"].alias("end"), c["kind"].alias("kind"), F.array(*bins).alias("x"))
 
-    return df.withColumn("options", F.transform("_found", measured)).drop("_t", "_found")
+    return F.transform(F.concat(*[ordered(KINDS.index(k), k) for k in GENERATORS]), measured)
 
 
 @dataclass
 class Boosted:
-    """Trees of depth two on integer features: (feature, cut, left, right), sides being such trees again or numbers."""
+    """Trees on integer features: (feature, cut, left, right), sides being such trees again or numbers."""
 
     start: float = 0.0
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)
+    report: dict[str, tuple[float, float, int]] = field(default_factory=dict)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         def walk(t, rows):
@@ -128,13 +119,10 @@ class Boosted:
         return reduce(lambda a, t: a + walk(t), self.trees, F.lit(self.start))
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rate: float = 0.3, precision: float = 0.9) -> Boosted:
-    """Gradient boosting with logistic loss over weighted distinct feature rows, then a threshold per kind.
-
-    A kind's threshold is the lowest margin above which at least ``precision`` of its weight is positive; without such a margin nothing of the kind is taken.
-    """
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 24, rate: float = 0.4, depth: int = 3) -> Boosted:
+    """Gradient boosting with logistic loss over weighted distinct feature rows."""
     model = Boosted()
-    if not len(x):
+    if not w.sum():
         return model
     mean = np.clip((w * y).sum() / w.sum(), 1e-3, 1 - 1e-3)
     model.start = float(np.log(mean / (1 - mean)))
@@ -161,52 +149,79 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rate: f
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree = grow(np.arange(len(x)), w * (y - p), w * p * (1 - p), 2)
-        model.trees.append(tree)
+        model.trees.append(grow(np.arange(len(x)), w * (y - p), w * p * (1 - p), depth))
         margin = model.margin(x)
-    for kind in np.unique(x[:, 0]):
-        rows = np.flatnonzero(x[:, 0] == kind)
+    return model
+
+
+def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, w: np.ndarray, precision: float) -> None:
+    """Set a threshold for every kind: the lowest margin, not below zero, above which ``precision`` of the kind's weight is positive.
+
+    Of a kind without such a margin nothing is taken.
+    """
+    margin = model.margin(x)
+    for kind in np.unique(x[w > 0, 0]):
+        rows = np.flatnonzero((x[:, 0] == kind) & (w > 0) & (margin >= 0))
         order = rows[np.argsort(-margin[rows], kind="stable")]
+        if not len(order):
+            continue
         good = np.cumsum((w * y)[order]) / np.cumsum(w[order]) >= precision
         last = np.append(np.diff(margin[order]) < -1e-12, True)
         ok = np.flatnonzero(good & last)
         if len(ok):
-            model.thresholds[int(kind)] = float(margin[order][ok[-1]]) - 1e-9
-    return model
+            model.thresholds[int(kind)] = max(0.0, float(margin[order][ok[-1]]) - 1e-9)
 
 
-def fit(rows: DataFrame) -> Boosted:
-    """Boosted trees from all candidates: counts per distinct feature row are summed first.
+#: Fitted models by their parameters; they depend on nothing else.
+_FITTED: dict[tuple, Boosted] = {}
 
-    There are no labelled spans; a candidate counts as personal data where it overlaps a validated base span or passes the check of its kind
-    (see check_fits). The cue is a feature only, so that what it tells is learned from labels made without it. Only distinct rows of small integers reach the driver: their number is
-    bounded by the bins of FEATURES, not by the documents.
+
+def fit(spark: SparkSession, n_examples: int = 8_000, precision: float = 0.98) -> Boosted:
+    """Boosted trees that tell planted personal data from planted look-alikes (``pii_examples``).
+
+    A label says what was planted, which no feature holds: look-alikes pass the check of their kind behind a counter word, and personal data
+    that fails it stands behind a cue. Three fifths of the examples train the trees, one sets the thresholds, one is held out for ``report``
+    (precision and recall of each kind). The model depends on no table, so the same text has the same spans in any corpus. Counts per distinct
+    feature row are summed first; ``n_examples`` bounds what reaches the driver.
     """
-    hist = (rows.select(F.explode("options").alias("o")).groupBy(F.col("o.x").alias("x")).agg(F.sum("o.y").alias("pos"), F.count(F.lit(1)).alias("n")).collect())
-    hist = sorted(hist, key=lambda r: r["x"])
+    if (n_examples, precision) in _FITTED:
+        return _FITTED[n_examples, precision]
+    # explode_outer: the filter that Spark infers for explode would compute texts and candidates once more
+    rows = labelled(examples(spark, n_examples).withColumn("c", F.explode_outer(candidates(F.col("text")))).where("c IS NOT NULL"), F.col("c"))
+    hist = sorted(rows.groupBy(F.col("c.x").alias("x"), "part").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["x"], r["part"]))
     x = np.array([r["x"] for r in hist], int).reshape(len(hist), len(FEATURES))
-    n, pos = np.array([r["n"] for r in hist], float), np.array([r["pos"] for r in hist], float)
-    return boost(np.concatenate([x, x]), np.concatenate([np.ones(len(x)), np.zeros(len(x))]), np.concatenate([pos, n - pos]))
+    n, pos, part = (np.array([r[c] for r in hist], float) for c in ("n", "pos", "part"))
+    x, y, w, part = np.concatenate([x, x]), np.repeat([1.0, 0.0], len(hist)), np.concatenate([pos, n - pos]), np.concatenate([part, part])
+    model = boost(x, y, w * (part >= 2))
+    calibrate(model, x, y, w * (part == 1), precision)
+    taken = model.margin(x) >= np.array([model.thresholds.get(int(k), np.inf) for k in x[:, 0]])
+    for k, kind in enumerate(KINDS):
+        held = w * (part == 0) * (x[:, 0] == k)
+        if (held * y).sum():
+            hits = (held * y)[taken].sum()
+            model.report[kind] = (float(hits / max(held[taken].sum(), 1)), float(hits / (held * y).sum()), int(held.sum()))
+    _FITTED[n_examples, precision] = model
+    return model
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """(doc_id, base, found): validated base spans, and all spans, for every row of ``docs`` (doc_id, text).
 
-    Candidates of all generators are measured in their row. Those that pass the check of their kind, or have seven digits or more or a spelt
-    address behind a cue, join the base spans, which always stay, whatever else the table holds; so do those above their kind's threshold, the trees
-    being column expressions. Null and empty texts have none; rows are independent of one another; extra columns are dropped. Spans are
-    written once between fitting and selection, without the texts.
+    The base spans always stay; beside them every candidate of the generators is decided by the trees alone, which are column expressions:
+    its margin has to reach the threshold of its kind. Candidates may overlap one another and base spans. Null and empty texts have none; rows are
+    independent of one another and of the rest of the table; repeated rows have results of their own; extra columns are dropped. One pass, no shuffle.
     """
     require(docs, "doc_id", "text")
-    rows = cut_lineage(candidate_rows(docs.select("doc_id", "text")).drop("text"))
-    model = fit(rows)
+    model = model or fit(docs.sparkSession)
+    t = whole(F.col("text"))
 
     def chosen(o: Column) -> Column:
-        tests = [(o["order"] == k) & (model.column(o["x"]) >= t) for k, t in model.thresholds.items()]
-        return reduce(lambda a, b: a | b, tests, o["sure"])
+        least = reduce(lambda a, k: F.when(o["order"] == k, F.lit(model.thresholds[k])).otherwise(a), model.thresholds, F.lit(float("inf")))
+        return model.column(o["x"]) >= least
 
-    more = F.transform(F.filter("options", chosen), lambda o: F.struct(o["start"].alias("start"), o["order"].alias("order"), o["end"].alias("end"), o["kind"].alias("kind")))
-    return rows.select("doc_id", "base", F.concat("base", more).alias("found"))
+    more = F.transform(F.filter(candidates(t), chosen), lambda o: F.struct(o["start"].alias("start"), o["order"].alias("order"), o["end"].alias("end"), o["kind"].alias("kind")))
+    base = F.concat(*[tagged(s, k, KINDS[k]) for k, s in enumerate(base_spans(t))])
+    return docs.select("doc_id", base.alias("base"), more.alias("_more")).select("doc_id", "base", F.concat("base", "_more").alias("found"))
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -45,14 +45,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-SPANS = "array<struct<start:int,end:int,match:string>>"
+SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
 
 
 def _run(steps: Column) -> Column:
     """struct<at, out>: length of a run of gaps and matches, and the places of its matches within it."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
     return F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["out"], F.array(F.struct(
-        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match")))).alias("out")))
+        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["match"].alias("match"), s["before"].alias("before")))).alias("out")))
 
 
 #: Matches up to which one run is walked; appending copies what is there, so more are walked in as many runs as each has matches.
@@ -67,19 +67,21 @@ def _placed(steps: Column) -> Column:
         begins = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
                              lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
         return F.flatten(F.zip_with(runs, begins, lambda r, at: F.transform(r["out"], lambda x: F.struct(
-            (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["match"].alias("match")))))
+            (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["match"].alias("match"), x["before"].alias("before")))))
 
     return F.when(F.size(steps) <= ONE_RUN, _run(steps)["out"]).otherwise(let(parts, joined_runs))
 
 
-def spans(text: Column, pattern: str, sure: Column | None = None) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def spans(text: Column, pattern: str, sure: Column | None = None, context: int = 0) -> Column:
+    """array<struct<start, end, match, before>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The pieces between the matches give the places: a match starts after all pieces and matches before it.
+    The pieces between the matches give the places: a match starts after all pieces and matches before it. ``before`` is the end of the piece that
+    leads to the match, at most ``context`` characters; it never reaches into the match before.
     Rows without a match (or where ``sure`` is false) stop at the first test.
     """
+    lead = (lambda p: F.right(p, F.lit(context))) if context else (lambda p: F.lit(""))
     found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
-                       lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("match")))
+                       lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("match"), lead(p).alias("before")))
     taken = let(F.filter(found, lambda s: s["match"].isNotNull()), _placed)
     test = F.regexp_like(text, F.lit(pattern))
     return F.when(test if sure is None else sure & test, taken).otherwise(F.array().cast(SPANS))
@@ -93,3 +95,14 @@ def tagged(found: Column, order: int, kind: str) -> Column:
 def joined(found: Column) -> Column:
     """kind:start:end, comma-joined, by start and then by kind as listed."""
     return F.array_join(F.transform(F.sort_array(found), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def digits_of(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def luhn_sum(digits: Column) -> Column:
+    """Sum of the digits, every second one from the end doubled and added up."""
+    back = F.split(F.reverse(digits), "(?!$)", -1)
+    value = lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise((d.cast("int") * 2) % 10 + F.floor(d.cast("int") * 2 / 10).cast("int"))
+    return F.aggregate(F.transform(back, value), F.lit(0), lambda a, x: a + x)

@@ -86,6 +86,36 @@ def test_personal_data_without_cue(spark):
         assert not any(got[k] for k, _ in table if k > 10), got
 
 
+def test_trees_decide_candidates(spark):
+    """Labels are what was planted, held-out look-alikes are told apart, and no rule takes a candidate past the trees."""
+    from strandloom.llm import pii
+
+    model = pii.fit(spark)
+    assert set(model.report) == set(pii.GENERATORS) and all(p >= 0.95 and r >= 0.9 and n > 200 for p, r, n in model.report.values()), model.report
+    misleading = ["order no. 212-555-0134", "part number 123-45-6789", "invoice 4222222222222", "isbn DE89 3704 0044 0532 0130 00", "call 01.02.2003 10", "contact us at home. We"]
+    table = spark.createDataFrame(list(enumerate(misleading)), "doc_id long, text string")
+    assert [r.spans for r in pii.pii_digest(table).collect()] == [""] * len(misleading)
+    personal = spark.createDataFrame([(1, "x 123-45-6789 y, call 212-555-0134")], "doc_id long, text string")
+    assert pii.find(personal, model).selectExpr("size(found)").first()[0] >= 2
+    assert pii.find(personal, pii.Boosted()).selectExpr("size(found)").first()[0] == 0
+
+
+@pytest.mark.parametrize("piece", ["10.20.30.40 ", "030 1234 5678, "])
+def test_time_of_candidates(spark, piece):
+    """A text four times as long takes at most some six times as long."""
+    from strandloom.llm import pii
+
+    model, times = pii.fit(spark), []
+    for kb in (16, 64, 256):
+        n = (kb << 10) // len(piece)
+        df = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+        start = time.time()
+        row = pii.find(df, model).selectExpr("size(base)", "size(found)").first()
+        times.append(time.time() - start)
+        assert tuple(row)[0] == (n if piece.startswith("10.") else 0) and row[1] >= (n if piece.startswith("03") else 0)
+    assert times[2] < 1 + 6 * times[1], times
+
+
 def test_token_counts(docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
