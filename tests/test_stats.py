@@ -271,6 +271,20 @@ def test_run_summaries(spark):
     assert rows(rn.complete_grid(r, ("dataset", "method")).where("annotation IS NOT NULL"), "dataset", "method") == [("d", "b"), ("e", "a")]
 
 
+def test_grid_in_chunks_is_not_shuffled(spark, monkeypatch):
+    """Several chunks and tasks, null keys and repeated rows; the combinations meet no join."""
+    monkeypatch.setattr(rn, "GRID_ITEMS", 3)
+    monkeypatch.setattr(rn, "GRID_KEYS", 2)
+    data = [(i % 7 if i % 11 else None, f"m{i % 10}" if i % 13 else None, float(i)) for i in range(60)]
+    out = rn.complete_grid(spark.createDataFrame(data, "dataset long, method string, m double"), ("dataset", "method"))
+    held = {(d, k) for d, k, _ in data if d is not None and k is not None}
+    want = [(d, k) for d in [None, *range(7)] for k in [None, *(f"m{i}" for i in range(10))] if (d, k) not in held]
+    got = out.where("annotation = 'N.A.'").select("dataset", "method").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert out.where("annotation IS NULL").count() == len(data)
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()
+
+
 def test_rank_table_by_blocks(spark, tmp_path, monkeypatch):
     """More TFs than a file and more genes than a block hold; absent ranks, fractions and ranks above 16 bits."""
     monkeypatch.setattr(sinks, "FILE_TFS", 4)
