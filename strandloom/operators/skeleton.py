@@ -112,13 +112,14 @@ def skeleton_regr(ms: Sequence[DataFrame], skeleton: DataFrame, cells: DataFrame
     pairs = skeleton.select("source", "target").distinct()
     n = cells.count()
     index = positions(cells.select("cell"), [], ["cell"]).select("cell", F.col("pos").alias("i"))
-    packed = cut_lineage(x.join(index, "cell").groupBy("feature").agg(F.collect_list(F.struct("i", "value")).alias("e")))  # one entry per metacell
+    entries = x.join(index, "cell").groupBy("feature").agg(F.collect_list(F.struct("i", "value")).alias("e"))  # one entry per metacell
+    packed = cut_lineage(entries.select("feature", F.col("e.i").alias("ei"), F.col("e.value").alias("ev")))
     rows = cut_lineage(blocked(pairs, block).join(packed.withColumnRenamed("feature", "source"), "source", "left"))
-    goals = cut_lineage(pairs.select("target").distinct().join(packed.select(F.col("feature").alias("target"), F.col("e").alias("y")), "target", "left"))
+    goals = cut_lineage(pairs.select("target").distinct().join(packed.select(F.col("feature").alias("target"), F.col("ei").alias("yi"), F.col("ev").alias("yv")), "target", "left"))
     if model in ("Lasso", "ElasticNet"):
         share = 1.0 if model == "Lasso" else l1_ratio
         return sparse_fit(rows, goals, n, alpha * share, alpha * (1 - share), max_iter, tol, block)
-    return closed_fit(rows, goals, n, alpha if model == "Ridge" else 0.0)
+    return closed_fit(rows, goals, n, alpha if model == "Ridge" else 0.0, block)
 
 
 def metacell_regr(*datasets: Dataset, use_rep: str, n_meta: int, skeleton: DataFrame, model: str = "Lasso", seed: int = 0, **kwargs: Any) -> DataFrame:

@@ -139,6 +139,28 @@ def test_balancing_weight_errors_and_mean(spark):
         lb.balancing_weight(c, c.where("b = '0'"), cluster="k", use_batch="b")
 
 
+def test_closed_forms_do_not_square_the_metacells(spark, monkeypatch):
+    """Few predecessors, and a hub in pairs of blocks, over more metacells than a Gram matrix takes at once."""
+    rng = np.random.default_rng(13)
+    x = np.round(rng.random((60, 9)) * 50)
+    m, c = long_of(spark, x), cells_of(spark, x).select("cell")
+    edges = [(f"f{i:03d}", "f008") for i in range(7)] + [("f001", "f000"), (None, "f000")]
+    z = np.log1p(x * np.median(x.sum(axis=1)) / x.sum(axis=1, keepdims=True))
+    z -= z.mean(axis=0)
+    e = z[:, [1]], z[:, :7]
+    monkeypatch.setattr(rg, "CELLS_AT_ONCE", 7)
+    p, i = rg._gram(pd.Series([np.array([2, 0, 9]), None]), pd.Series([np.array([1.0, 2, 5]), None]), 20), np.array([2.0, 0, 1, 0, 0, 0, 0, 0, 0, 5] + [0] * 10)
+    assert np.allclose(p, [[((i - i.mean()) ** 2).sum(), 0], [0, 0]])
+    for model, penalty in (("LinearRegression", 0.0), ("Ridge", 0.5)):
+        out = sk.skeleton_regr([m], spark.createDataFrame(edges, "source string, target string"), c, model, alpha=0.5, block=2)
+        assert "kernel(" not in out._jdf.queryExecution().toString()  # no products over pairs of metacells
+        got = {(s, t): r for s, t, r in map(tuple, out.select("source", "target", "regr").collect())}
+        assert set(got) == set(edges) and got[None, "f000"] == 0.0
+        for target, a in zip(("f000", "f008"), e):
+            w = [r for (s, t), r in sorted((k, v) for k, v in got.items() if k[0]) if t == target]
+            assert np.allclose(w, np.linalg.solve(a.T @ a + penalty * np.eye(a.shape[1]), a.T @ z[:, int(target[1:])]))
+
+
 def test_regulatory_inference(spark):
     rng = np.random.default_rng(8)
     e = spark.createDataFrame(pd.DataFrame({"node": [f"n{i}" for i in range(30)], "rep": rng.normal(size=(30, 4)).tolist()}))
