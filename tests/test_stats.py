@@ -139,6 +139,22 @@ def test_balancing_weight_errors_and_mean(spark):
         lb.balancing_weight(c, c.where("b = '0'"), cluster="k", use_batch="b")
 
 
+def test_counts_go_to_partitions_not_to_blocks(spark, monkeypatch):
+    """Many blocks of pairs and samples, as many copies of the counts as the session has cores; wide counts and places without any."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    numbers, place = [], Classic.repartitionById
+    monkeypatch.setattr(Classic, "repartitionById", lambda df, n, c: numbers.append(n) or place(df, n, c))
+    monkeypatch.setattr(cs, "TABLE_CELLS", 40)
+    g2r = spark.createDataFrame([(f"g{i}", f"r{i * j % 50}") for i in range(30) for j in range(5)], "source string, target string")
+    r2t = spark.createDataFrame([(f"r{i}", f"t{i % 3}") for i in range(0, 50, 2)] + [("r0", "t0")] * 300, "source string, target string")
+    regions = spark.createDataFrame([(f"r{i}",) for i in range(50)], "region string")
+    small = rows(nf.cis_regulatory_enrichment(g2r, r2t, regions, 20, seed=3), "gene", "tf", "observed", "enrich")
+    assert numbers == [spark.sparkContext.defaultParallelism]
+    monkeypatch.setattr(cs, "TABLE_CELLS", 10**6)
+    assert small == rows(nf.cis_regulatory_enrichment(g2r, r2t, regions, 20, seed=3), "gene", "tf", "observed", "enrich") and len(small) > 30
+
+
 def test_closed_forms_do_not_square_the_metacells(spark, monkeypatch):
     """Few predecessors, and a hub in pairs of blocks, over more metacells than a Gram matrix takes at once."""
     rng = np.random.default_rng(13)
