@@ -41,6 +41,19 @@ def test_knn_is_exact_with_and_without_pruning(spark):
         assert rows(nb.knn(c, c, 6, prune_from=prune), "query", "ref", "rank") == want
 
 
+def test_pruned_search_sends_rows_once_per_tile(spark, monkeypatch):
+    """Copies of the reference rows grow with the tiles, not with the pivots; one cell larger than a tile is cut."""
+    x = np.random.default_rng(6).normal(size=(6000, 6))
+    x[:300] = x[0]
+    c = cells_of(spark, x).select(F.col("cell").alias("id"), "rep")
+    sent = nb._pruned_rows(c, c, 5, 6000, 6000, 1e-9).where("tag = 1").count()
+    assert sent <= 8 * 6000, sent  # 38 pivots in seven tiles
+    monkeypatch.setattr(nb, "PRUNED_TILE", 100)
+    cut = nb._pruned_rows(c, c, 5, 6000, 6000, 1e-9)
+    assert cut.where("tag = 0").groupBy("blk", "slc").count().agg(F.max("count")).first()[0] < 400
+    assert nb._pivot_tiles(np.abs(np.subtract.outer(np.arange(4.0), np.arange(4.0))), {0: 5, 1: 9, 3: 2, 2: 1}, 10) == {0: 0, 1: 1, 2: 1, 3: 2}
+
+
 def test_knn_without_self_and_unknown_metric(spark):
     c = cells_of(spark, np.zeros((12, 2)))
     out = nb.knn(c, c, 3, exclude_self=True)
