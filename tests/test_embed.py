@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from strandloom.functions import blocks as bl
 from strandloom.functions import krylov as kr
 from strandloom.operators import embed as em
 from strandloom.operators import ivf
@@ -226,3 +228,39 @@ def test_metric_identities(spark):
         assert 0 <= value.first()[0] <= 1 + 1e-9
     one = c.withColumn("b", F.lit("x"))
     assert me.avg_silhouette_width_batch(one, "b", "ct").first()[0] == 1
+
+
+def test_search_of_a_whole_table_is_exact(spark, monkeypatch):
+    """Copies, a far row that blurs the product form, and more candidates than are held at once."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(700, 5)), np.tile(rng.normal(size=(1, 5)), (300, 1)), np.full((1, 5), 1e7)])
+    table = bl.Table()
+    table.n, table.dim, table.x = *x.shape, x
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = np.argsort(np.round(d, 9), axis=1, kind="stable")
+    for held in (bl.CANDIDATES, 100):
+        monkeypatch.setattr(bl, "CANDIDATES", held)
+        for k in (1, 40, 350, 2000):
+            got = np.concatenate([bl.Search(table).nearest(x[at:at + 200], k) for at in range(0, 1000, 200)])
+            assert np.array_equal(got, want[:1000, :k])
+    few = bl.Search(table).nearest(x[:9], 40, np.zeros(9))
+    assert few.shape == (9, 40)
+
+
+def test_neighbor_hits_send_a_row_once_per_core(spark):
+    """Rows leave the shuffle once per tile, whatever the number of neighbours; results are those of brute force."""
+    rng = np.random.default_rng(13)
+    x, label = rng.normal(size=(900, 4)), rng.integers(0, 3, size=900)
+    x[:90] = x[0]
+    c = cells_of(spark, x, l=label.tolist())
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    np.fill_diagonal(d, np.inf)
+    for k in (3, 400):
+        got = {r["cell"]: r for r in me.neighbor_hits(c, "l", k).collect()}
+        for i in range(900):
+            hit = label[np.argsort(d[i], kind="stable")[:k]] == label[i]
+            ap = (np.cumsum(hit) / np.arange(1, k + 1))[hit].mean() if hit.any() else 0.0
+            assert got[f"c{i:04d}"]["n_hits"] == hit.sum() and abs(got[f"c{i:04d}"]["ap"] - ap) < 1e-9
+    base = c.select(F.col("cell").alias("id"), "rep", F.col("l").cast("string").alias("aux"))
+    held, tiles = bl.spool(base, base, lambda table, left, x: iter([{"n": [table.n]}]), "n long", pa.schema([("n", pa.int64())])).agg(F.sum("n"), F.count("n")).first()
+    assert tiles <= spark.sparkContext.defaultParallelism and held == 900 * tiles
