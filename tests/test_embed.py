@@ -264,3 +264,25 @@ def test_neighbor_hits_send_a_row_once_per_core(spark):
     base = c.select(F.col("cell").alias("id"), "rep", F.col("l").cast("string").alias("aux"))
     held, tiles = bl.spool(base, base, lambda table, left, x: iter([{"n": [table.n]}]), "n long", pa.schema([("n", pa.int64())])).agg(F.sum("n"), F.count("n")).first()
     assert tiles <= spark.sparkContext.defaultParallelism and held == 900 * tiles
+
+
+def test_neighbor_conservation_writes_no_neighbours(spark, monkeypatch):
+    """Brute force, with copies of a vector; single cells are compared inside the search."""
+    rng = np.random.default_rng(14)
+    x, y, b = rng.normal(size=(300, 3)), rng.normal(size=(300, 3)), np.arange(300) % 3
+    x[:30] = x[0]
+    c = cells_of(spark, x, rep2=y.tolist(), b=b.tolist())
+    scores = []
+    for v in range(3):
+        at = np.flatnonzero(b == v)
+        near = []
+        for z in (x[at], y[at]):
+            d = np.round(((z[:, None] - z[None]) ** 2).sum(axis=2), 9)
+            np.fill_diagonal(d, np.inf)
+            near.append([set(r) for r in np.argsort(d, axis=1, kind="stable")[:, :30]])
+        scores.append(np.mean([len(p & q) / len(p | q) for p, q in zip(*near)]))
+    twice = c.unionByName(c.where("cell < 'c0010'"))
+    want = me.neighbor_conservation(twice, "rep", "rep2", "b", 0.1).first()[0]
+    assert 0 < want < 1
+    monkeypatch.setattr(me, "knn", None)
+    assert abs(me.neighbor_conservation(c, "rep", "rep2", "b", 0.1).first()[0] - np.mean(scores)) < 1e-9
