@@ -17,16 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.blocks import squared_distances, task_count
+from strandloom.functions.blocks import PAIRS_AT_ONCE, Table, fast_squares, pair_squares, spool, squared_distances, task_count
 from strandloom.functions.runtime import cut_lineage, hash_key, hash_uniform
 
 #: Rows of a list; sampled rows per centre; Lloyd rounds of a cell; rows of a task that deals out rows of one cell.
 LIST_ROWS, PER_CENTRE, LLOYD, TASK_ROWS = 128, 32, 8, 200_000
+#: Queries of a cell searched at once; candidates held before they are cut to the nearest.
+QUERIES, HELD = 2048, 1_000_000
+FOUND = pa.schema([("query", pa.string()), ("ref", pa.string()), ("dist", pa.float64())])
 
 
 def _reps(batch: pa.RecordBatch, name: str = "rep") -> np.ndarray:
@@ -61,6 +65,116 @@ def _split(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"top": int(pdf["top"].iloc[0]), "sub": np.arange(len(centres), dtype=np.int32), "centre": list(centres)})
 
 
+class _Lists:
+    """The lists of a file in one task: a head (centre and radius) before the rows of each."""
+
+    def __init__(self, table: Table, tops: np.ndarray) -> None:
+        self.table, self.tops = table, tops
+        name = table.aux.to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        self.begin, self.end, self.radius = start + 1, np.append(start[1:], len(name)), table.num[start]
+        top = np.array([int(n.split(":")[0]) for n in name[start]])
+        self.of = [np.flatnonzero(top == c) for c in range(len(tops))]
+        self.centre, self.size = np.array(table.x[start]), self.end - self.begin
+        self.held = np.array([self.size[f].sum() for f in self.of])
+        self.rank = np.empty(table.n, np.int64)
+        order = pc.sort_indices(table.ids, null_placement="at_start").to_numpy()
+        self.rank[order] = np.arange(table.n)
+        known = pc.dictionary_encode(table.ids, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        self.code = known
+
+    def near_order(self, x: np.ndarray) -> np.ndarray:
+        near = np.concatenate([squared_distances(x[at:at + QUERIES], self.tops).argmin(axis=1) for at in range(0, len(x), QUERIES)])
+        return np.argsort(near, kind="stable")
+
+    def search(self, q: np.ndarray, times: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, place in the table, squared distance), k per row. ``times``: how often a query's ID is there, 0 for none, which sees its first lists only."""
+        dt = squared_distances(q, self.tops)
+        best = _Best(self, q, k)
+        near = np.argsort(dt, axis=1, kind="stable")
+        before = np.cumsum(self.held[near], axis=1) - self.held[near]
+        want = np.zeros(dt.shape)
+        np.put_along_axis(want, near, np.where((before < k) & (self.held[near] > 0), k - before, 0), axis=1)
+        seen: dict[int, np.ndarray] = {}
+        for c in np.flatnonzero((want > 0).any(axis=0)):
+            rows = np.flatnonzero(want[:, c] > 0)
+            by = np.argsort(squared_distances(q[rows], self.centre[self.of[c]]), axis=1, kind="stable")
+            size = self.size[self.of[c]][by]
+            row, col = np.nonzero(np.cumsum(size, axis=1) - size < want[rows, c][:, None])
+            which = self.of[c][by[row, col]]
+            for f in np.unique(which):
+                seen[f] = rows[row[which == f]]
+                best.measure(seen[f], f)
+        best.cut()
+        last = best.kth(times)
+        bound = _half_way(dt, self.tops)
+        for c in np.flatnonzero((bound <= reach * last[:, None]).any(axis=0) & (self.held > 0)):
+            rows = np.flatnonzero(bound[:, c] <= reach * last)
+            d = squared_distances(q[rows], self.centre[self.of[c]])
+            ok = np.maximum(np.maximum(_half_way(d, self.centre[self.of[c]]), np.sqrt(d) - self.radius[self.of[c]]), bound[rows, c][:, None]) <= reach * last[rows][:, None]
+            for j in np.flatnonzero(ok.any(axis=0)):
+                f = self.of[c][j]
+                best.measure(np.setdiff1d(rows[ok[:, j]], seen[f], assume_unique=True) if f in seen else rows[ok[:, j]], f)
+        best.cut()
+        return best.rows, best.place, best.dist
+
+
+class _Best:
+    """The k nearest rows of each query so far; in a list, and among the lists, ties go by ID."""
+
+    def __init__(self, lists: _Lists, q: np.ndarray, k: int) -> None:
+        self.lists, self.q, self.k = lists, q, k
+        self.reach = np.full(len(q), np.inf)
+        self.rows, self.place, self.dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        self.new: list = []
+        self.n_new = 0
+
+    def measure(self, rows: np.ndarray, f: int) -> None:
+        """The rows of list ``f`` that may be among the nearest of some queries: k of them for each at most."""
+        begin, end = self.lists.begin[f], self.lists.end[f]
+        for at in range(0, len(rows) if end > begin else 0, max(1, 4 * PAIRS_AT_ONCE // max(1, end - begin))):
+            some = rows[at:at + max(1, 4 * PAIRS_AT_ONCE // (end - begin))]
+            x = np.array(self.lists.table.x[begin:end])
+            d, error = fast_squares(self.q[some], x)
+            within = self.reach[some][:, None]
+            if d.shape[1] > self.k:
+                within = np.minimum(within, np.partition(d + error, self.k - 1, axis=1)[:, self.k - 1:self.k])
+            flat = np.flatnonzero(d - error <= within)
+            if not len(flat):
+                continue
+            row, col = np.divmod(flat, d.shape[1])
+            exact = pair_squares(self.q[some], x, row, col)
+            order = np.lexsort((self.lists.rank[begin + col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+            self.new.append((some[row[keep]], begin + col[keep], exact[keep]))
+            self.n_new += int(keep.sum())
+        if self.n_new > HELD:
+            self.cut()
+
+    def cut(self) -> None:
+        """Keep the k nearest of each query; equal rows under one ID count once."""
+        rows, place, dist = (np.concatenate(v) for v in zip((self.rows, self.place, self.dist), *self.new))
+        order = np.lexsort((self.lists.rank[place], dist, rows))
+        rows, place, dist = rows[order], place[order], dist[order]
+        code = self.lists.code[place]
+        first = np.append(True, (rows[1:] != rows[:-1]) | (dist[1:] != dist[:-1]) | (code[1:] != code[:-1])) if len(rows) else np.zeros(0, bool)
+        rows, place, dist = rows[first], place[first], dist[first]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < self.k
+        self.rows, self.place, self.dist, self.new, self.n_new = rows[keep], place[keep], dist[keep], [], 0
+        full = rank[keep] == self.k - 1
+        self.reach[self.rows[full]] = self.dist[full]
+
+    def kth(self, times: np.ndarray) -> np.ndarray:
+        """Distance of each query's k-th row, or of its last; of one of fewer for an ID that is there more than once, none (-1) without one."""
+        rank = np.arange(len(self.rows)) - np.searchsorted(self.rows, self.rows)
+        out = np.full(len(self.q), -1.0)
+        at = rank < -(-self.k // np.maximum(times, 1))[self.rows]
+        np.maximum.at(out, self.rows[at], np.sqrt(self.dist[at]))
+        return np.where(times > 0, out, -1.0)
+
+
 class InvertedFile:
     """Index over ``ref`` (id, rep)."""
 
@@ -173,6 +287,31 @@ class InvertedFile:
         pairs = queries.select("id", "rep", "u").mapInArrow(cells, "id string, rep array<double>, top int, bound double, u double")
         return self._meet(cut_lineage(pairs), self.centres, lists, "id string, rep array<double>, top int, sub int, bound double")
 
+    def search(self, queries: DataFrame, k: int, reach: float) -> DataFrame:
+        """(query, ref, dist): for each query (id, rep) the k nearest rows of its nearest lists and of those within ``reach`` of their k-th.
+
+        The lists lie in a temporary file of each task, in order, so a row is sent once per core and no query is copied.
+        """
+        radius = self.centres.select("top", "sub", "radius", "centre")
+        rows = self.rows.select("id", "rep", F.concat_ws(":", "top", "sub").alias("aux"), F.lit(0.0).alias("num"), F.format_string("%010d %010d 1", "top", "sub").alias("ord"))
+        heads = radius.select(F.lit(None).cast("string").alias("id"), F.col("centre").alias("rep"), F.concat_ws(":", "top", "sub").alias("aux"), F.col("radius").alias("num"),
+                              F.format_string("%010d %010d 0", "top", "sub").alias("ord"))
+        tops = self.tops
+
+        def fold(table: Table, left: pa.RecordBatch, x: np.ndarray) -> Iterator[dict]:
+            lists = _Lists(table, tops)
+            ids = left.column("id")
+            copies = pc.value_counts(ids).to_pylist()
+            many = {c["values"]: c["counts"] for c in copies}
+            times = np.array([many[i] if i is not None else 0 for i in ids.to_pylist()])
+            order = np.argsort(squared_distances(x, tops).argmin(axis=1), kind="stable") if len(x) <= QUERIES else lists.near_order(x)
+            for at in range(0, len(x), QUERIES):
+                some = order[at:at + QUERIES]
+                row, place, dist = lists.search(x[some], times[some], k, reach)
+                yield {"query": ids.take(pa.array(some[row])), "ref": table.ids.take(pa.array(place)), "dist": np.sqrt(dist)}
+
+        return spool(queries.select("id", "rep"), heads.unionByName(rows), fold, "query string, ref string, dist double", FOUND, order="ord")
+
     def fit_reach(self, bounds: DataFrame, neighbours: DataFrame, target: float) -> float:
         """From sampled queries (id, rep, u) and their exact neighbours (query, ref): the share of u that covers ``target`` of the neighbours' lists."""
         held = self.rows.select(F.col("id").alias("ref"), "top", "sub")

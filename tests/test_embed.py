@@ -286,3 +286,16 @@ def test_neighbor_conservation_writes_no_neighbours(spark, monkeypatch):
     assert 0 < want < 1
     monkeypatch.setattr(me, "knn", None)
     assert abs(me.neighbor_conservation(c, "rep", "rep2", "b", 0.1).first()[0] - np.mean(scores)) < 1e-9
+
+
+def test_knn_approx_copies_no_query_to_lists(spark, monkeypatch):
+    """Queries meet the lists in the tasks, also with copies of a row and k beyond a list; rows of one ID count once."""
+    x = np.random.default_rng(15).normal(size=(400, 3))
+    x[100:180] = x[0]
+    c = cells_of(spark, x)
+    want = rows(nb.knn(c, c, 9), "query", "ref", "rank")
+    monkeypatch.setattr(ivf.InvertedFile, "lists_within", None)
+    monkeypatch.setattr(ivf.InvertedFile, "first_lists", None)
+    monkeypatch.setattr(ivf, "QUERIES", 30)
+    monkeypatch.setattr(ivf, "HELD", 500)
+    assert rows(nb.knn_approx(c, c, 9, reach=1.0, list_rows=6), "query", "ref", "rank") == want
