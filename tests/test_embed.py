@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -299,3 +301,16 @@ def test_knn_approx_copies_no_query_to_lists(spark, monkeypatch):
     monkeypatch.setattr(ivf, "QUERIES", 30)
     monkeypatch.setattr(ivf, "HELD", 500)
     assert rows(nb.knn_approx(c, c, 9, reach=1.0, list_rows=6), "query", "ref", "rank") == want
+
+
+def test_a_block_of_distances_is_held_twice_at_most():
+    """Distances and their error bounds, no further copies of a block."""
+    rng = np.random.default_rng(16)
+    q, r = rng.normal(size=(512, 8)), rng.normal(size=(4096, 8))
+    r[:300] = q[:300] + 1e-9
+    tracemalloc.start()
+    got = bl.squared_distances(q, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * got.nbytes, peak / got.nbytes
+    assert np.allclose(got, ((q[:, None] - r[None]) ** 2).sum(axis=2), rtol=1e-9, atol=0)
