@@ -138,3 +138,24 @@ def test_guidance_graph_errors_and_shape(spark, bed):
             rna_anchored_guidance_graph(rna, atac, **kw)
     corrupted, _ = anchored_guidance_graph(rna, atac, extend_range=15, corrupt_rate=0.3, propagate_highly_variable=False)
     assert corrupted.count() == anchored_guidance_graph(rna, atac, extend_range=15, propagate_highly_variable=False)[0].count()
+
+
+def test_edge_product_sends_no_path(spark, monkeypatch):
+    """Packed targets, middle nodes with several packs, hubs in several tasks, nulls and parallel edges: as many shuffled rows as edges, not as paths."""
+    monkeypatch.setattr(gr, "PACKED", 7)
+    monkeypatch.setattr(gr, "HUB_ROWS", 10)
+    monkeypatch.setattr(gr, "PATHS_AT_ONCE", 50)
+    a = [("hub", f"m{i % 30}", 1.0 + i) for i in range(40)] + [(f"s{i % 9}", f"m{i % 5}", 0.5) for i in range(60)] + [(None, "m1", 2.0), ("s1", None, 1.0), ("s2", "m2", None)]
+    b = [(f"m{i % 30}", f"t{i % 41}é", 1.0) for i in range(900)] + [("m1", None, 3.0), ("m1", "", 1.0), (None, "t1é", 1.0), ("m3", "t9", None)]
+    x, y = (spark.createDataFrame(rows, "source string, target string, w double") for rows in (a, b))
+    want = {}
+    for s, m, v in a:
+        for q, t, w in b:
+            if m is not None and m == q and v is not None and w is not None:
+                want[s, t] = want.get((s, t), 0.0) + v * w
+    out = gr.edge_product(x, y, "w")
+    got = {(r.source, r.target): r.weight for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_body" in plan  # rows of a source carry packed targets
+    assert {r.weight for r in gr.edge_product(x, y, binarize=True).collect()} == {1.0}
