@@ -18,9 +18,9 @@ def put_text(spark, df, name):
 
 
 def put_ordered(spark, df, name):
-    """Write lines whose order (column ``o``) matters as a single file."""
+    """Write lines whose order (column ``o``) matters as files in the order of their names; equal ``o`` may come in any order."""
     path = scratch_path(spark, name)
-    df.repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    df.repartitionByRange("o", F.xxhash64("value")).sortWithinPartitions("o").select("value").write.text(path)
     return path
 
 

@@ -98,12 +98,13 @@ def read_ctx_grn(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_split(df: DataFrame) -> DataFrame:
-    """Mark each line with the file split it came from and its order inside the partition."""
-    return df.withColumns({"_split": F.input_file_block_start(), "_order": F.monotonically_increasing_id()})
+    """Mark each line with the file split it came from, (file, start), and its order inside the partition."""
+    return df.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"),
+                     F.monotonically_increasing_id().alias("_order"), "value")
 
 
 def read_lines_indexed(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): 1-based line numbers of one text file. Windows run per file split."""
+    """(pos, value): 1-based line numbers of one text file, or of a folder of files in the order of their names. Windows run per file split."""
     lines = _with_split(spark.read.text(path))
     sizes = lines.groupBy("_split").agg(F.count(F.lit(1)).alias("c"))
     before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,11 +115,11 @@ def read_lines_indexed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mtx(spark: SparkSession, mtx: str, barcodes: str, features: str) -> DataFrame:
-    """MATRIX from MatrixMarket triplets (feature row, cell column, value) and two name files."""
+    """MATRIX from MatrixMarket triplets (feature row, cell column, value) and two name files; each may be a folder of files in the order of their names."""
     lines = _with_split(spark.read.text(mtx)).where(~F.col("value").startswith("%"))
-    first = scalar(lines.where(F.col("_split") == 0), F.min("_order"))  # the size line
+    size_line = scalar(lines, F.min(F.struct("_split", "_order")))
     parts = F.split(F.trim("value"), r"\s+")
-    entries = lines.where(~((F.col("_split") == 0) & (F.col("_order") == first))).select(
+    entries = lines.where(F.struct("_split", "_order") != size_line).select(
         parts[0].cast("long").alias("_i"), parts[1].cast("long").alias("_j"), parts[2].cast("double").alias("value"))
     name = F.split("value", "\t")[0]
     f = read_lines_indexed(spark, features).select(F.col("pos").alias("_i"), name.alias("feature"))

@@ -126,3 +126,18 @@ def test_fasta_is_read_in_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_mtx_from_folders_of_parts(spark, tmp_path):
+    """Matrix and name files in several parts, which are taken in the order of their names; the size line stands in the second one."""
+    from strandloom.sources.text import read_mtx
+
+    def put(name, *parts):
+        (tmp_path / name).mkdir()
+        for i, lines in enumerate(parts):
+            (tmp_path / name / f"part-{i:05d}.txt").write_text("".join(f"{x}\n" for x in lines))
+        return str(tmp_path / name)
+
+    mtx = put("mtx", ["%%MatrixMarket matrix coordinate real general"], ["%", "4 3 4"], ["1 1 2", "2 3 4"], ["4 2 1.5", "3 3 7"])
+    out = read_mtx(spark, mtx, put("barcodes", ["a"], ["b", "c"]), put("features", ["f\tx", "g\tx"], ["h\tx"], ["i\tx"]))
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "f", 2.0), ("b", "i", 1.5), ("c", "g", 4.0), ("c", "h", 7.0)]
