@@ -41,32 +41,100 @@ def project(m: DataFrame, v: DataFrame, size: int, cells: DataFrame | None = Non
     return rep
 
 
-def svd(m: DataFrame, k: int, cells: DataFrame, center: bool = False, seed: int = 0, tol: float = 1e-9) -> Svd:
-    """Truncated SVD of the (centred) matrix by a block Krylov method, the same for any number of features.
+#: Cells up to which their products are one small matrix; singular values below this share of the largest are left to the Krylov method.
+FEW_CELLS, LEAST_SHARE = 512, 1e-4
 
-    An error is raised if the residual of a wanted pair stays above ``tol`` times the largest squared singular value.
+
+def _few_cells(m: DataFrame, n: int, k: int, center: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, DataFrame] | None:
+    """(feature, vec), squared singular values, means times vectors and (cell, rep) from the products of a few cells, added up over features.
+
+    Features are rows of cells here, and no vector of the length of the features is sent anywhere. None where there are more cells, or too small singular values.
     """
-    m, cells = cut_lineage(m.select("cell", "feature", "value")), cut_lineage(cells.select("cell"))
-    x = SparseRows(m, cells.count(), center)
-    k = min(k, x.p, x.n)
-    vectors, lam, shift = leading_vectors(x, k, seed, tol)
-    k = len(lam)
+    spark = m.sparkSession
+    names = [r["cell"] for r in m.select("cell").distinct().limit(n + 1).collect()] if n <= FEW_CELLS else []
+    if not names or len(names) > n:
+        return None
+    kind = m.schema["cell"].dataType.simpleString()
+    number = spark.createDataFrame(list(enumerate(names)), f"at int, _cell {kind}")
+    entries = m.where(F.col("feature").isNotNull()).join(F.broadcast(number), F.col("cell").eqNullSafe(F.col("_cell")))
+    rows = cut_lineage(entries.groupBy("feature").agg(F.collect_list(F.struct("at", F.col("value").cast("double").alias("value"))).alias("e")).select("feature", F.col("e.at").alias("cols"), F.col("e.value").alias("vals")))
+
+    def dense(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for at in range(0, b.num_rows, 1024):
+            some = b.slice(at, 1024)
+            sizes = np.diff(some.column("cols").offsets.to_numpy())
+            where = np.repeat(np.arange(some.num_rows), sizes) * n + some.column("cols").flatten().to_numpy()
+            yield some, np.bincount(where, some.column("vals").flatten().to_numpy(zero_copy_only=False), some.num_rows * n).reshape(-1, n)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for b in batches:
+            for _, x in dense(b):
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for b in batches:
+            for s in b.column("s").to_pylist():
+                total += np.frombuffer(s).reshape(n, n)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    gram = np.frombuffer(rows.select("cols", "vals").mapInArrow(products, "s binary").repartition(1).mapInArrow(add, "s binary").first()["s"]).reshape(n, n)
+    mean = gram.mean(axis=0) if center else np.zeros(n)
+    lam, u = np.linalg.eigh(gram - mean - mean[:, None] + mean.mean() if center else gram)
+    lam, u = lam[::-1][:k], u[:, ::-1][:, :k]
+    if not np.isfinite(lam).all() or lam[-1] <= (LEAST_SHARE ** 2) * lam[0]:
+        return None
+    by = u / np.sqrt(lam)
+    if center:
+        by = by - by.mean(axis=0)
+    scores = gram @ by
+    shift = scores.mean(axis=0) if center else np.zeros(k)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fj, body in zip(b.column("fj").to_pylist(), b.column("body").to_pylist()):
-                v = np.frombuffer(body).reshape(-1, k)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * k, pa.int32()), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(fj * len(v) + np.arange(len(v)), pa.int64()), vec], names=["pos", "vec"])
+            for some, x in dense(b):
+                v = x @ by
+                yield pa.RecordBatch.from_arrays([some.column("feature"), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * k, pa.int32()), pa.array(v.ravel()))], names=["feature", "vec"])
 
-    v = cut_lineage(vectors.mapInArrow(unpack, "pos long, vec array<double>").join(x.features, "pos").select("feature", "vec"))
+    v = cut_lineage(rows.mapInArrow(vectors, f"feature {m.schema['feature'].dataType.simpleString()}, vec array<double>"))
+    return v, lam, shift, spark.createDataFrame([(c, (scores[i] - shift).tolist()) for i, c in enumerate(names)], f"cell {kind}, rep array<double>")
+
+
+def svd(m: DataFrame, k: int, cells: DataFrame, center: bool = False, seed: int = 0, tol: float = 1e-9) -> Svd:
+    """Truncated SVD of the (centred) matrix: from the products of all cells where they are few, else by a block Krylov method for any number of features.
+
+    An error is raised if the residual of a wanted pair stays above ``tol`` times the largest squared singular value.
+    """
+    m, cells = cut_lineage(m.select("cell", "feature", "value")), cut_lineage(cells.select("cell"))
+    n = cells.count()
+    few = _few_cells(m, n, min(k, m.select("feature").distinct().count(), n), center) if n <= FEW_CELLS else None
+    if few:
+        v, lam, shift, held = few
+        k = len(lam)
+    else:
+        x = SparseRows(m, n, center)
+        k = min(k, x.p, x.n)
+        vectors, lam, shift = leading_vectors(x, k, seed, tol)
+        k = len(lam)
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for fj, body in zip(b.column("fj").to_pylist(), b.column("body").to_pylist()):
+                    v = np.frombuffer(body).reshape(-1, k)
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * k, pa.int32()), pa.array(v.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(fj * len(v) + np.arange(len(v)), pa.int64()), vec], names=["pos", "vec"])
+
+        v = cut_lineage(vectors.mapInArrow(unpack, "pos long, vec array<double>").join(x.features, "pos").select("feature", "vec"))
+        held = x.times(vectors, k, shift)
     top = v.agg(*[F.max_by(F.col("vec")[i], F.struct(F.abs(F.col("vec")[i]), "feature")).alias(f"c{i}") for i in range(k)]).first()
     sign = [-1.0 if (c or 0) < 0 else 1.0 for c in top]
     signs = F.array(*[F.lit(c) for c in sign])
     s = np.sqrt(lam)
     s[s <= 1e-7 * s.max(initial=0.0)] = 0.0
     bare = F.array(*[F.lit(-float(c)) for c in shift])  # a cell without entries
-    scores = cells.join(x.times(vectors, k, shift), "cell", "left").withColumn("rep", F.coalesce("rep", bare))
+    scores = cells.join(held, "cell", "left").withColumn("rep", F.coalesce("rep", bare))
     scale = F.array(*[F.lit(c / y if y > 1e-12 else 0.0) for c, y in zip(sign, s)])
     u = scores.withColumn("rep", F.zip_with("rep", scale, lambda a, b: a * b))
     return Svd(u, [float(y) for y in s], v.withColumn("vec", F.zip_with("vec", signs, lambda a, b: a * b)), [float(c * y) for c, y in zip(sign, shift)])

@@ -314,3 +314,27 @@ def test_a_block_of_distances_is_held_twice_at_most():
     tracemalloc.stop()
     assert peak < 2.5 * got.nbytes, peak / got.nbytes
     assert np.allclose(got, ((q[:, None] - r[None]) ** 2).sum(axis=2), rtol=1e-9, atol=0)
+
+
+def test_svd_of_few_cells_sends_no_vectors(spark, monkeypatch):
+    """A few cells with many features: from the cells' products, with and without centring, a cell without entries among them."""
+    monkeypatch.setattr(em, "leading_vectors", None)
+    x = np.random.default_rng(8).normal(size=(7, 300)) * (np.random.default_rng(9).random((7, 300)) < 0.6)
+    x[3] = 0.0
+    m = spark.createDataFrame([(f"c{i}", f"f{j:03d}", float(x[i, j])) for i in range(7) for j in range(300) if x[i, j]], "cell string, feature string, value double")
+    cells = spark.createDataFrame([(f"c{i}",) for i in range(7)], "cell string")
+    check_svd(em.svd(m, 4, cells), x, 4)
+    check_svd(em.svd(m, 4, cells, center=True), x - x.mean(axis=0), 4)
+
+
+def test_feature_consistency_forms_no_pairs(spark, monkeypatch):
+    from strandloom.operators import metrics as me
+
+    monkeypatch.setattr(me, "block_rows", None)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(90, 4)), rng.normal(size=(90, 6))
+    b[:, :2] += a[:, :2]
+    x, y = (spark.createDataFrame([(f"f{i}", v.tolist()) for i, v in enumerate(t)], "feature string, rep array<double>") for t in (a, b))
+    u, v = (t / np.linalg.norm(t, axis=1)[:, None] for t in (a, b))
+    want = np.corrcoef((u @ u.T).ravel(), (v @ v.T).ravel())[0, 1]
+    assert abs(me.feature_consistency(x, y, n_features=90, n_repeats=2).first()[0] - want) < 1e-10
