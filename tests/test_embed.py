@@ -320,7 +320,7 @@ def test_svd_of_few_cells_sends_no_vectors(spark, monkeypatch):
     """A few cells with many features: from the cells' products, with and without centring, a cell without entries among them."""
     monkeypatch.setattr(em, "leading_vectors", None)
     x = np.random.default_rng(8).normal(size=(7, 300)) * (np.random.default_rng(9).random((7, 300)) < 0.6)
-    x[3] = 0.0
+    x[0], x[3] = np.arange(300) % 7 - 3.5, 0.0  # every feature has an entry, cell 3 has none
     m = spark.createDataFrame([(f"c{i}", f"f{j:03d}", float(x[i, j])) for i in range(7) for j in range(300) if x[i, j]], "cell string, feature string, value double")
     cells = spark.createDataFrame([(f"c{i}",) for i in range(7)], "cell string")
     check_svd(em.svd(m, 4, cells), x, 4)

@@ -387,3 +387,22 @@ def test_loess_in_tiles(spark):
     fit = {(g, f): v for g, f, v in small}
     assert all(abs(fit["b", f"f{i}"] - (2 * i + 1)) < 1e-6 for i in range(12)) and fit["c", "f0"] == 4.0
     assert max(abs(fit["a", f"f{i}"] - np.sin(5 * x)) for i, x in enumerate(xs)) < 0.1
+
+
+def test_inference_scores_edges_in_one_pass(spark, monkeypatch):
+    """Own and shuffled vectors of both models meet the skeleton once; parallel edges and repeated nodes give a row each."""
+    from strandloom.functions.runtime import cut_lineage
+    from strandloom.operators import inference
+
+    cut = []
+    monkeypatch.setattr(inference, "cut_lineage", lambda df: cut.append(df.columns) or cut_lineage(df))
+    a = [("s", [1.0, 0.0]), ("s", [0.0, 2.0]), ("t", [1.0, 1.0]), ("u", [0.0, 0.0])]
+    b = [("s", [3.0, 4.0]), ("t", [4.0, 3.0]), ("u", [1.0, 0.0]), ("v", [0.0, 1.0])]
+    one, two = (spark.createDataFrame(x, "node string, rep array<double>") for x in (a, b))
+    skeleton = spark.createDataFrame([("s", "t", 1), ("s", "t", 2), ("t", "u", 3)], "source string, target string, dist int")
+    out = inference.regulatory_inference([one, two], skeleton).collect()
+    half = 0.5 ** 0.5
+    want = sorted([("s", "t", d, round((half + 0.96) / 2, 9)) for d in (1, 2) for _ in range(2)] + [("t", "u", 3, 0.4)])
+    assert sorted((r.source, r.target, r.dist, round(r.score, 9)) for r in out) == want
+    assert all(0 <= r.pval <= 1 and 0 <= r.qval <= 1 for r in out)
+    assert sum("_bg" in c for c in cut) == 1
