@@ -1,10 +1,15 @@
 """GRF-* and GUI-* queries."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from checks.interval_queries import DIST
 from checks.registry import query, rounded
 from checks.views import load
+from strandloom.functions.packed import dealt, packed, task_count
+from strandloom.functions.runtime import hash_key
 from strandloom.operators import graph as gr
 from strandloom.plans.guidance import anchored_guidance_graph, rna_anchored_guidance_graph
 
@@ -151,15 +156,46 @@ def _(spark, sf):
     return _sampled(dense, gr.sample_edges(dense, neg_samples=3, seed=1))
 
 
+SAMPLED = ["positives", "negatives", "unknown_positives", "known_negatives", "broken_copies"]
+
+
 def _sampled(edges, out):
-    """Counts that hold whatever was drawn."""
-    known = edges.select("source", "target", "sign").distinct().withColumn("known", F.lit(True))
-    own = out.where("copy = -1").select("draw", F.col("source").alias("s0"), F.col("sign").alias("g0"))
-    j = out.join(known, ["source", "target", "sign"], "left").join(own, "draw", "left")
-    positive = F.col("copy") == -1
-    return j.agg(F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives"), F.count_if(positive & F.col("known").isNull()).alias("unknown_positives"),
-                 F.count_if(~positive & F.col("known").isNotNull()).alias("known_negatives"),
-                 F.count_if(~(F.col("source") == F.col("s0")) | ~(F.col("sign") == F.col("g0")) | (F.col("weight") != positive.cast("double"))).alias("broken_copies"))
+    """Counts that hold whatever was drawn. Rows go in packed blocks to a task of their (source, target, sign), with the known edges, and to one of their draw."""
+    positive, key = F.col("copy") == -1, ["source", "target", "sign"]
+    known = edges.select(*key).dropna()
+    tasks = task_count(edges.sparkSession, 4 * edges.count())
+    link, nothing = F.pmod(hash_key(*key, seed=23), F.lit(tasks)).cast("int").alias("_task"), F.lit(None).cast("string").alias("target")
+    off = F.when(positive, 1).otherwise(2), F.when(positive, 3).otherwise(5) + F.coalesce(F.col("weight") != positive.cast("double"), F.lit(False)).cast("int")
+    twice = F.array(F.struct(link, *key, F.lit(0).cast("long").alias("draw"), off[0].alias("kind")),
+                    F.struct((F.pmod("draw", F.lit(tasks)).cast("int") + tasks).alias("_task"), "source", nothing, "sign", "draw", off[1].alias("kind")))
+    seen = out.select(F.inline(twice)).unionByName(known.select(link, *key, F.lit(0).cast("long").alias("draw"), F.lit(0).alias("kind")))
+
+    def count(blocks):
+        """The counts of one task, by links (known edges: kind 0, positives: 1, negatives: 2) or by draws (positives: 3, negatives: 5, one more for a wrong weight)."""
+        held, task = [], 0
+        for task, _, t in blocks:
+            held.append(t)
+        if not held:
+            return
+        t, counts = pa.concat_tables(held), [0] * len(SAMPLED)
+        kind, n = t.column("kind").to_numpy(), t.column("_n").to_numpy()
+        if task < tasks:
+            t = t.select(key)
+            for k, c in enumerate("kpn"):
+                t = t.append_column(c, pa.array(np.where(kind == k, n, 0)))
+            sums = t.group_by(key, use_threads=False).aggregate([("k", "sum"), ("p", "sum"), ("n", "sum")])
+            k, p, q = (sums.column(f"{c}_sum").to_numpy() for c in "kpn")
+            counts[:4] = p.sum(), q.sum(), p[k == 0].sum(), q[k > 0].sum()
+        else:
+            own = t.filter(pa.array(kind < 5)).select(["draw", "source", "sign"]).rename_columns(["draw", "s0", "g0"])
+            rows = t.select(["draw", "source", "sign", "_n"]).append_column("off", pa.array(kind % 2 == 0)).join(own, "draw", join_type="left outer", use_threads=False)
+            moved = pc.or_kleene(pc.not_equal(rows.column("source"), rows.column("s0")), pc.not_equal(rows.column("sign"), rows.column("g0")))
+            broken = pc.fill_null(pc.or_kleene(moved, rows.column("off")), False)
+            counts[4] = rows.column("_n").to_numpy()[broken.to_numpy()].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([int(c)]) for c in counts], names=SAMPLED)
+
+    parts = dealt(packed(seen, ["draw", "source", "target", "sign"], tally=True), 2 * tasks, count, ", ".join(f"{c} long" for c in SAMPLED))
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SAMPLED])
 
 
 @query("grf15_validate_edges", """SELECT count(*) FILTER (WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
