@@ -30,7 +30,15 @@ REMEMBERED, TEXTS_AT_ONCE, IDS_AT_ONCE = 1_200_000, 256, 1 << 20
 #: pieces are encoded on their own. Texts with the separators 1C-1F, on which notions of white space differ, are encoded whole.
 PIECES = re.compile(r"\s*\S+|\s+")
 UNSURE = re.compile("[\x1c-\x1f]")
-TAIL = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f][.,]$")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+TAIL = re.compile(f"[{LETTERS}][.,]$")
+#: What the byte-level pattern takes as one pre-token, a blank and letters, and a run of ASCII symbols (no apostrophe) behind, which is one, too.
+MARKED = re.compile(f"( ?[{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+SPOILT = re.compile(f" ?[{LETTERS}]*[!-&(-/:-@\\[-`{{-~]*")
+
+#: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on, in order.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SPELT = {b: 256 + k for k, b in enumerate(_OTHERS)}
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -41,31 +49,56 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.code = "H" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.memo: dict[str, bytes] = {}
+        # Words go to the model of the file directly if nothing but the byte-level step would come before it.
+        pre, added = self.tok.pre_tokenizer, [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        plain = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None and isinstance(self.tok.model, BPE)
+        self.model = self.tok.model if plain and not any(map(SPOILT.fullmatch, added)) else None
 
     def batch(self, pieces: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def word(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(SPELT))]).tobytes()
+
+    def learn(self, missed: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces and of the parts that were encoded on their own for them."""
+        memo, new, split, stems = self.memo, {}, {}, {}
+        for p in missed:
+            if self.model is not None and (m := MARKED.fullmatch(p)):
+                w, end = m.groups()
+                if w not in new and w not in memo:
+                    new[w] = self.word(w)
+            elif TAIL.search(p):
+                w, end = p[:-1], p[-1]
+                stems[w] = None
+            else:
+                stems[p], end = None, ""
+            if end:
+                split[p], stems[end] = (w, end), None
+        stems = [x for x in stems if x not in new and x not in memo]
+        new.update(zip(stems, self.batch(stems), strict=True))
+        for p, (w, end) in split.items():
+            if p not in new:
+                new[p] = (new.get(w) or memo[w]) + (new.get(end) or memo[end])
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as bytes. A full stop or comma after a Latin letter is a pre-token of its own, so a new piece that ends so
-        is looked up without it first."""
+        is looked up without it first; so are symbols after a word where the pre-tokens are known to be byte-level."""
         memo = self.memo
         cut = [[t] if UNSURE.search(t) else PIECES.findall(t) for t in texts]
         got = [list(map(memo.get, pieces)) for pieces in cut]
         missed = dict.fromkeys(p for pieces, ids in zip(cut, got, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None)
         if missed:
-            split = {p: p[:-1] for p in missed if TAIL.search(p)}
-            stems = [p for p in dict.fromkeys(split.get(p, p) for p in [*missed, ".", ","]) if p not in memo]
-            new = dict(zip(stems, self.batch(stems), strict=True))
-            for p in missed:
-                if p not in new:
-                    stem = split.get(p, p)
-                    new[p] = (new.get(stem) or memo[stem]) + (new.get(p[-1]) or memo[p[-1]])
+            new = self.learn(missed)
             got = [[new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids for pieces, ids in zip(cut, got, strict=True)]
             if len(memo) + len(new) > REMEMBERED:
                 memo.clear()

@@ -246,6 +246,20 @@ def test_mixing(spark, docs, empty):
     assert mix(empty).count() == 0 and mixture(empty).count() == 0
 
 
+def test_new_words_go_to_the_model(monkeypatch):
+    """Words, also with symbols behind, skip the steps before the model; ids are those of the whole texts."""
+    from strandloom.llm.queries import tokenizer_path
+    from strandloom.llm.records import PieceEncoder
+
+    enc = PieceEncoder(tokenizer_path("byte_bpe_50k.json"))
+    plain, seen = enc.batch, []
+    monkeypatch.setattr(enc, "batch", lambda pieces: seen.extend(pieces) or plain(pieces))
+    texts = [" ".join(f"wo{chr(97 + i % 26)}r{chr(97 + i // 26)}éd{end}" for i in range(200)) for end in ("", "%%%", ".", "***")]
+    odd = ["it's <|endoftext|>a<|endoftext|> b|>.", "", " \n x  ŉſ ª² Ǆ中 don't! 9a a9 _a_ a__b a', 'tis", "a\x1cb. c\x85d\u00a0e,"]
+    assert [bytes(x) for x in enc.encode([*texts, *odd])] == plain([*texts, *odd])
+    assert len(seen) < 60
+
+
 def test_records(spark, docs, empty, tmp_path):
     from public_tokenizers import path
     from tokenizers import Tokenizer
