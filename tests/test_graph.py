@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -200,3 +201,17 @@ def test_edge_product_sends_no_path(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "_body" in plan  # rows of a source carry packed targets
     assert {r.weight for r in gr.edge_product(x, y, binarize=True).collect()} == {1.0}
+
+
+def test_lists_of_targets_are_packed_as_they_come(monkeypatch):
+    """Lists over several batches, beyond a pack, with null names; short lists are not compressed."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(gr, "PACKED", 3)
+    rows_ = [(m, None if i == 1 else f"t{m}.{i}" * (1 + i), float(i)) for m, n in enumerate((1, 700, 2, 3, 4)) for i in range(n)]
+    table = pa.table(dict(zip(("_mid", "target", "_w"), map(list, zip(*rows_)))))
+    out = pa.Table.from_batches(list(gr._pack(iter(table.to_batches(max_chunksize=50)))))
+    n = out.column("_n").to_numpy()
+    assert n.max() == 3 and (out.column("_body")[0].as_py()[0] == 0)
+    target, w = gr._unpack(out.column("_body").to_pylist(), n.astype(np.int64))
+    assert list(zip(np.repeat(out.column("_mid").to_numpy(), n).tolist(), target.to_pylist(), w.tolist())) == rows_

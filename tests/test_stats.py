@@ -406,3 +406,26 @@ def test_inference_scores_edges_in_one_pass(spark, monkeypatch):
     assert sorted((r.source, r.target, r.dist, round(r.score, 9)) for r in out) == want
     assert all(0 <= r.pval <= 1 and 0 <= r.qval <= 1 for r in out)
     assert sum("_bg" in c for c in cut) == 1
+
+
+def test_draws_are_those_of_whole_numbers():
+    """Samples in rows, links in columns; sample numbers whose polynomial does and does not fit 63 bits."""
+    rng = np.random.default_rng(3)
+    seeds, n = np.concatenate([rng.integers(0, cs.P, (40, 4)), np.full((2, 4), cs.P - 1), np.zeros((1, 4), int)]), rng.integers(1, 1 << 31, 43)
+    for k in (np.arange(0, 1600, 37), np.array([1624, 1625, 5000, 10**6])):
+        want = [[sum(int(c) * int(j) ** i for i, c in enumerate(s)) % cs.P * int(m) // cs.P for s, m in zip(seeds, n)] for j in k]
+        assert cs.draws(seeds, n, k).tolist() == want
+
+
+def test_links_are_sent_once_however_many_pairs_and_samples(spark, monkeypatch):
+    """No table of pairs and samples is held, so only very many draws cut a block into ranges of samples."""
+    seen = []
+    monkeypatch.setattr(cs, "TABLE_CELLS", 1)
+    g2r = spark.createDataFrame([(f"g{i}", f"r{j}") for i in range(3) for j in range(4)], "source string, target string")
+    r2t = spark.createDataFrame([(f"r{i}", f"t{i % 3}") for i in range(8)], "source string, target string")
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    place = Classic.repartitionById
+    monkeypatch.setattr(Classic, "repartitionById", lambda df, n, c: seen.append(df.where("tag = 2").count()) or place(df, n, c))
+    nf.cis_regulatory_enrichment(g2r, r2t, spark.createDataFrame([(f"r{i}",) for i in range(8)], "region string"), 50).collect()
+    assert seen == [12]
