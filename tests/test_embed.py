@@ -338,3 +338,32 @@ def test_feature_consistency_forms_no_pairs(spark, monkeypatch):
     u, v = (t / np.linalg.norm(t, axis=1)[:, None] for t in (a, b))
     want = np.corrcoef((u @ u.T).ravel(), (v @ v.T).ravel())[0, 1]
     assert abs(me.feature_consistency(x, y, n_features=90, n_repeats=2).first()[0] - want) < 1e-10
+
+
+def test_copies_of_reference_rows_do_not_grow_with_tables_or_partitions(spark, monkeypatch):
+    """A pruned search has a tile per core or two, whatever the number of shuffle partitions; left rows are folded tile by tile."""
+    x = np.random.default_rng(17).normal(size=(12_000, 3))
+    c = cells_of(spark, x).select(F.col("cell").alias("id"), "rep")
+    monkeypatch.setattr(nb, "LEFT_BLOCK", 64)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows_ = nb._pruned_rows(c, c, 5, 12_000, 12_000, 1e-9, True)
+        assert rows_.where("tag = 0").select("blk").distinct().count() <= 2 * spark.sparkContext.defaultParallelism + 1
+        assert rows_.where("tag = 0").count() == 12_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    base = c.where("id < 'c00300'").select("id", "rep")
+    fold = lambda table, left, x: iter([{"n": [len(x)]}])
+    one = bl.spool(base, base, fold, "n long", pa.schema([("n", pa.int64())])).collect()
+    assert sum(r[0] for r in one) == base.count()
+
+
+def test_left_rows_are_folded_in_tiles(monkeypatch):
+    """The right rows are read once; rows that share an ID stay together."""
+    monkeypatch.setattr(bl, "TILE", 4)
+    row = lambda tag, i: {"grp": "", "blk": 0, "tag": tag, "id": i, "rep": [1.0, 2.0], "aux": None, "num": 0.0}
+    schema = pa.schema([("grp", pa.string()), ("blk", pa.int32()), ("tag", pa.int32()), ("id", pa.string()), ("rep", pa.list_(pa.float64())), ("aux", pa.string()), ("num", pa.float64())])
+    table = pa.Table.from_pylist([row(0, f"r{i}") for i in range(5)] + [row(1, i) for i in "aabbbcddee"], schema=schema)
+    fold = lambda table, left, x: iter([{"n": [table.n], "ids": ["".join(left.column("id").to_pylist())]}])
+    out = list(bl._spooled(fold, pa.schema([("n", pa.int64()), ("ids", pa.string())]))(iter(table.to_batches(max_chunksize=2))))
+    assert [b.to_pylist()[0] for b in out] == [{"n": 5, "ids": "aabbb"}, {"n": 5, "ids": "cddee"}]
